@@ -1,0 +1,6 @@
+"""Intentionally empty.
+
+The reference computes its marts in batch from a full reload of its staging
+tables; it has no stream, watermark, window or state.  Nothing here is built
+(see README, "Not built").
+"""
