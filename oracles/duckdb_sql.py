@@ -444,7 +444,8 @@ def _ingest_report() -> str:
 SEGMENT_FILTER = ("Champions", "Loyal", "At-Risk")
 
 
-def oracle_sql() -> dict[str, str]:
+def selects() -> dict[str, str]:
+    """Final SELECT of every key; they read the CTEs of ``PREFIX``."""
     money_items = {"price", "freight_value", "item_total"}
     sqls = {
         # staging
@@ -566,3 +567,21 @@ def oracle_sql() -> dict[str, str]:
             "FROM cohort_retention_rates WHERE period_number <= 6"),
     }
     return sqls
+
+
+# Keys whose SELECT reads the driver's raw tables, not only staging and views.
+RAW_TABLE_KEYS = {"dedup_order_items", "ingest_report", "dq_pk_violations"}
+
+
+def _unwrap(sql: str) -> str:
+    return sql[len(PREFIX) + 1:] if sql.startswith(PREFIX) else sql
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(selects())
+
+
+def over_staging(key: str) -> str:
+    """The key's SQL over already-registered staging tables (for hand-made rows)."""
+    body = _unwrap(selects()[key])
+    return "WITH " + ",\n".join(f"{n} AS ({b}\n)" for n, b in VIEW_CTES) + "\n" + body

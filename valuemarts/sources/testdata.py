@@ -19,6 +19,7 @@ from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dedup import keep_first
 from .spec import STAGING
@@ -32,6 +33,20 @@ LINEITEM_ORDER = ("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Read with the file's schema remembered per path: the test tables are
+    read-only, and a known schema spares Spark a footer-reading job per read."""
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
+
+
 def _key(prefix: str, c) -> F.Column:
     return F.concat(F.lit(prefix), c.cast("string"))
 
@@ -55,7 +70,7 @@ class TestDataStaging:
         self.dedup = dedup
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     # -- the nine staging tables --------------------------------------------
 
