@@ -114,7 +114,11 @@ class ParquetStaging:
         self.staging_dir = staging_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.staging_dir}/{name}")
+        """The staged table; a table the load skipped reads as empty, with its declared schema."""
+        path = f"{self.staging_dir}/{name}"
+        if not _path_exists(self.spark, path):
+            return self.spark.createDataFrame([], STAGING[name].schema)
+        return self.spark.read.parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in STAGING:

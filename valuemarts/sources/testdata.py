@@ -63,6 +63,8 @@ def _typed(df: DataFrame, table: str) -> DataFrame:
 class TestDataStaging:
     """Lazy staging tables over ``{sf_dir}/{table}.parquet``."""
 
+    __test__ = False  # not a pytest test class
+
     def __init__(self, spark: SparkSession, sf_dir: str, dedup: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
