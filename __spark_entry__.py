@@ -23,6 +23,8 @@ from valuemarts.operators import quality  # noqa: E402
 from valuemarts.operators.dedup import keep_first  # noqa: E402
 from valuemarts.plans import present, rfm  # noqa: E402
 from valuemarts.plans.marts import Marts  # noqa: E402
+from valuemarts.sources.ingest import as_csv_text, stage  # noqa: E402
+from valuemarts.sources.spec import STAGING  # noqa: E402
 from valuemarts.sources.testdata import (  # noqa: E402
     LINEITEM_ORDER, LINEITEM_PK, TestDataStaging, ingest_report)
 
@@ -78,6 +80,13 @@ def _dq_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.pk_violations(TestDataStaging(spark, sf_dir, dedup=False).tables())
 
 
+def _timestamps_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the mapped orders rendered as the loader would read them from CSV (all
+    # text, missing dates as empty strings), then typed and keyed by the loader
+    return for_output(stage(as_csv_text(TestDataStaging(spark, sf_dir).stg_orders),
+                            STAGING["stg_orders"]))
+
+
 def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_report(TestDataStaging(spark, sf_dir))
 
@@ -99,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stg_geolocation": _staging("stg_geolocation"),
         "stg_category_translation": _staging("stg_product_category_translation"),
         "dedup_order_items": _dedup_order_items,
+        "stg_timestamps_coerced": _timestamps_coerced,
         "ingest_report": _ingest_report,
         "dq_pk_violations": _dq_pk,
         "dq_null_counts": _with(lambda m: m.dq_null_counts()),

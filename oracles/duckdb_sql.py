@@ -451,6 +451,7 @@ def selects() -> dict[str, str]:
         # staging
         "stg_customers": q(_staging_select("stg_customers")),
         "stg_orders": q(_staging_select("stg_orders")),
+        "stg_timestamps_coerced": q(_staging_select("stg_orders")),
         "stg_order_items": q(_staging_select("stg_order_items")),
         "stg_order_payments": q(_staging_select("stg_order_payments")),
         "stg_order_reviews": q(_staging_select("stg_order_reviews")),

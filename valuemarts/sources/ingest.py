@@ -70,6 +70,18 @@ def coerce(raw: DataFrame, spec: TableSpec) -> DataFrame:
     return raw.select(*cols)
 
 
+def as_csv_text(df: DataFrame) -> DataFrame:
+    """Every column as the text a CSV export would hold: timestamps as
+    'yyyy-MM-dd HH:mm:ss', NULL as an empty string."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        cols.append(F.coalesce(c.cast("string"), F.lit("")).alias(f.name))
+    return df.select(*cols)
+
+
 def stage(raw: DataFrame, spec: TableSpec) -> DataFrame:
     typed = coerce(raw, spec)
     return keep_first(typed, spec.pk, spec.keep_first_order()) if spec.pk else typed
