@@ -19,6 +19,12 @@ def cohort_base(fact: DataFrame) -> DataFrame:
             .select(ID, month_start("first_order_date").alias("cohort_month"), "first_order_date"))
 
 
+def cohort_base_from(customers: DataFrame) -> DataFrame:
+    """The same from the customer grain (``rfm.customer_orders``)."""
+    return customers.select(ID, month_start("first_order_date").alias("cohort_month"),
+                            "first_order_date")
+
+
 def customer_order_months(fact: DataFrame) -> DataFrame:
     """Distinct (customer, month) pairs with a delivered order."""
     return (delivered_orders(fact)

@@ -13,13 +13,17 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import quality
+from ..session import reliable_checkpoint
 from . import cohort, conform, present, rfm, risk
 
 
 class Marts:
-    def __init__(self, staging, ntile_options: dict | None = None):
+    def __init__(self, staging, ntile_options: dict | None = None, materialize: bool = True):
         self.staging = staging
         self.ntile_options = ntile_options or {}
+        # checkpoint the customer grain once; RFM (read several times by the
+        # NTILE passes), the cohort base and the totals all come from it
+        self.materialize = materialize
 
     # -- staging -------------------------------------------------------------
     def stg(self, name: str) -> DataFrame:
@@ -52,13 +56,19 @@ class Marts:
         return conform.fact_reviews(self.stg("stg_order_reviews"), self.fact_orders)
 
     # -- RFM -----------------------------------------------------------------
+    @cached_property
+    def customer_orders(self):
+        grain = rfm.customer_orders(self.fact_orders)
+        return reliable_checkpoint(grain) if self.materialize else grain
+
     @cached_property
     def rfm_raw(self):
-        return rfm.rfm_raw(self.fact_orders)
+        return rfm.rfm_raw_from(self.customer_orders)
 
     @cached_property
     def rfm_scores(self):
-        return rfm.rfm_scores(self.rfm_raw, **self.ntile_options)
+        options = {"materialize": not self.materialize, **self.ntile_options}
+        return rfm.rfm_scores(self.rfm_raw, **options)
 
     @cached_property
     def rfm_segments(self):
@@ -79,7 +89,7 @@ class Marts:
     # -- cohorts -------------------------------------------------------------
     @cached_property
     def cohort_base(self):
-        return cohort.cohort_base(self.fact_orders)
+        return cohort.cohort_base_from(self.customer_orders)
 
     @cached_property
     def customer_order_months(self):
@@ -141,7 +151,7 @@ class Marts:
     # -- presentation --------------------------------------------------------
     @cached_property
     def totals(self):
-        return present.totals(self.fact_orders)
+        return present.totals_from(self.customer_orders)
 
     def top_categories(self, n: int = 15):
         return present.top_categories(self.category_revenue_delivery, n)

@@ -27,6 +27,16 @@ def totals(fact: DataFrame) -> DataFrame:
                  F.count_distinct(ID).alias("total_customers"))
 
 
+def totals_from(customers: DataFrame) -> DataFrame:
+    """The same three numbers from the customer grain (``rfm.customer_orders``):
+    orders = sum of per-customer counts, revenue = sum of per-customer sums,
+    customers = its rows, so no distinct aggregation over the orders is needed."""
+    return customers.agg(
+        F.coalesce(F.sum("frequency"), F.lit(0)).cast("long").alias("total_orders"),
+        round_money(F.sum("monetary"), 0).alias("total_revenue"),
+        F.count(ID).alias("total_customers"))
+
+
 def top_n(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     """``ORDER BY by DESC LIMIT n`` with PostgreSQL's NULLS FIRST for DESC and a
     unique tie-break, planned as a per-partition top-k merge."""

@@ -28,22 +28,30 @@ OTHER_SEGMENT = "Others"
 SEGMENTS = tuple(name for name, _ in SEGMENT_RULES) + (OTHER_SEGMENT,)
 
 
+def customer_orders(fact: DataFrame) -> DataFrame:
+    """Customer grain of the delivered orders, in one aggregation: first and
+    last purchase, delivered order count, revenue sum (NULL if no delivered
+    order has payments).  RFM, the cohort base and the totals all read it."""
+    return (delivered_orders(fact).groupBy(ID)
+            .agg(F.min("order_purchase_timestamp").alias("first_order_date"),
+                 F.max("order_purchase_timestamp").alias("last_order_date"),
+                 F.count(F.lit(1)).cast("long").alias("frequency"),
+                 F.sum("revenue").alias("monetary")))
+
+
+def rfm_raw_from(customers: DataFrame) -> DataFrame:
+    """Recency against the latest delivered purchase overall; the reference
+    date is the max over the customer grain (one row, broadcast)."""
+    ref = customers.agg(F.max("last_order_date").alias("_ref"))
+    return (customers.crossJoin(F.broadcast(ref))
+            .select(ID, day_diff("_ref", "last_order_date").alias("recency_days"),
+                    "frequency", "monetary"))
+
+
 def rfm_raw(fact: DataFrame) -> DataFrame:
-    """Per customer with a delivered order: days since the last purchase
-    (against the latest delivered purchase overall), delivered order count,
-    revenue sum (NULL if no delivered order has payments).
-
-    The reference date is the max over the per-customer aggregate, so the
-    orders are aggregated once; the one-row reference date is broadcast.
-    """
-    per_customer = (delivered_orders(fact).groupBy(ID)
-                    .agg(F.max("order_purchase_timestamp").alias("_last"),
-                         F.count(F.lit(1)).alias("frequency"),
-                         F.sum("revenue").alias("monetary")))
-    ref = per_customer.agg(F.max("_last").alias("_ref"))
-    return (per_customer.crossJoin(F.broadcast(ref))
-            .select(ID, day_diff("_ref", "_last").alias("recency_days"),
-                    F.col("frequency").cast("long").alias("frequency"), "monetary"))
+    """Per customer with a delivered order: days since the last purchase,
+    delivered order count, revenue sum."""
+    return rfm_raw_from(customer_orders(fact))
 
 
 def rfm_scores(raw: DataFrame, **ntile_options) -> DataFrame:
