@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,12 +103,14 @@ def load_table(spark: SparkSession, data_dir: str, out_dir: str, spec: TableSpec
     path = find_csv(spark, data_dir, spec.csv_stem)
     if path is None:
         return LoadResult(spec.name, "skipped")
-    raw = read_raw_csv(spark, path, spec)
+    seen = Observation(f"load_{spec.name}")
+    # rows read are counted while the write job runs, not by a second scan
+    raw = read_raw_csv(spark, path, spec).observe(seen, F.count(F.lit(1)).alias("rows_in"))
     target = f"{out_dir.rstrip('/')}/{spec.name}"
     # overwrite replaces the folder only after the write job has succeeded
     stage(raw, spec).write.mode("overwrite").parquet(target)
-    rows_in = raw.count()
-    rows_out = spark.read.parquet(target).count()
+    rows_in = seen.get["rows_in"]
+    rows_out = spark.read.parquet(target).count()   # from Parquet footers
     return LoadResult(spec.name, "loaded", rows_in, rows_out)
 
 
