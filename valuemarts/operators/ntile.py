@@ -6,9 +6,9 @@ partition.  Here each row instead gets
 1. a total, unique sort key ``(x IS NULL, x, id)`` — NULLs last, ties on ``x``
    split by ``id``, so a value shared by most rows is spread over many ranges;
 2. a range bucket: the number of sampled boundary keys ``<=`` the row's key,
-   found by a binary search unrolled into ``log2(P)`` projections.  It is a
-   pure function of the row, so retries and recomputation give the same
-   bucket whatever sample was drawn;
+   found by a binary search of ``log2(P)`` steps (one ``aggregate``
+   expression).  It is a pure function of the row, so retries and
+   recomputation give the same bucket whatever sample was drawn;
 3. its global row number: the exact row count of all lower buckets (``P``
    integers, computed by one aggregate) plus ``row_number()`` inside its own
    bucket;
@@ -74,19 +74,20 @@ def pick_bounds(sample: list[tuple], buckets: int) -> list[tuple]:
     return dedup
 
 
-def _with_bucket(df: DataFrame, key: Column, bounds: list[tuple], vtype, itype,
-                 out: str) -> DataFrame:
+def _bucket_of(key: Column, bounds: list[tuple], vtype, itype) -> Column:
+    """Number of boundary keys ``<= key``: a binary search over the sorted
+    boundary literals, written as one ``aggregate`` over the log2(P) step sizes."""
     if not bounds:
-        return df.withColumn(out, F.lit(0))
+        return F.lit(0)
     arr = F.array(*[_bound_literal(v is None, v, i, vtype, itype) for v, i in bounds])
-    df = df.withColumn(out, F.lit(0))
+    steps = []
     step = 1 << (len(bounds).bit_length() - 1)
     while step >= 1:
-        cand = F.col(out) + F.lit(step)
-        # get() is NULL past the end of the array, so the comparison fails there
-        df = df.withColumn(out, F.when(F.get(arr, cand - 1) <= key, cand).otherwise(F.col(out)))
+        steps.append(step)
         step >>= 1
-    return df
+    # get() is NULL past the end of the array, so the comparison fails there
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                       lambda lo, s: F.when(F.get(arr, lo + s - 1) <= key, lo + s).otherwise(lo))
 
 
 def _tile(rn: Column, n: int, k: int) -> Column:
@@ -106,10 +107,10 @@ def add_ntiles(df: DataFrame, specs: list[NtileSpec], id_col: str, *,
     """Append one INT column per spec: NTILE(k) over (order_col ASC NULLS LAST, id_col).
 
     The input is read several times (count, sample, bucket sizes, result), so
-    by default it is first checkpointed to the session's checkpoint folder.
+    by default it is first written to the session's checkpoint folder.
     """
     spark = df.sparkSession
-    base = reliable_checkpoint(df) if materialize else df
+    base = reliable_checkpoint(df, "ntile_input") if materialize else df
     n = base.count()
     if n == 0:
         return base.select("*", *[F.lit(None).cast("int").alias(s.out_col) for s in specs])
@@ -126,15 +127,14 @@ def add_ntiles(df: DataFrame, specs: list[NtileSpec], id_col: str, *,
         cols = [id_col] + [s.order_col for s in specs]
         sample = base.select(*cols).sample(False, fraction, seed).collect()
 
-    out = base
-    bucket_cols = []
+    bucket_cols, bucket_exprs = [], []
     for idx, s in enumerate(specs):
         pairs = [(row[1 + idx], row[0]) for row in sample]
         bounds = pick_bounds(pairs, buckets)
-        bcol = f"_bucket{idx}"
-        out = _with_bucket(out, _key_struct(s.order_col, id_col), bounds,
-                           fields[s.order_col], itype, bcol)
-        bucket_cols.append(bcol)
+        bucket_cols.append(f"_bucket{idx}")
+        bucket_exprs.append(_bucket_of(_key_struct(s.order_col, id_col), bounds,
+                                       fields[s.order_col], itype).alias(f"_bucket{idx}"))
+    out = base.select("*", *bucket_exprs)
 
     # exact size of every bucket of every score, in one aggregate (≤ P rows per score)
     stacked = out.select(F.explode(F.array(*[

@@ -59,7 +59,7 @@ class Marts:
     @cached_property
     def customer_orders(self):
         grain = rfm.customer_orders(self.fact_orders)
-        return reliable_checkpoint(grain) if self.materialize else grain
+        return reliable_checkpoint(grain, "customer_orders") if self.materialize else grain
 
     @cached_property
     def rfm_raw(self):

@@ -7,6 +7,7 @@ caller has.  ``local_session`` is for tests, the bench and command-line use.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -74,7 +75,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def reliable_checkpoint(df):
-    """Materialise ``df`` into the session's checkpoint folder and cut lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def reliable_checkpoint(df, label: str = "table"):
+    """Materialise ``df`` as a Parquet table in the session's checkpoint folder
+    and return a DataFrame that reads it (lineage cut).
+
+    One write job; ``Dataset.checkpoint(eager=True)`` would compute the plan
+    twice (a count, then the checkpoint write) and store row-serialised files.
+    The folder is shared storage on a cluster, so a lost executor loses nothing.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/valuemarts/{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
