@@ -47,11 +47,13 @@ def find_csv(spark: SparkSession, data_dir: str, stem: str) -> str | None:
 
 
 def read_raw_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
-    """All declared columns as text; comments may span lines and hold quotes."""
+    """All columns as text.  Quoted fields may hold quotes; only tables with
+    free text (review comments) are read with multiLine, which makes a file
+    one split — the others stay splittable across tasks."""
     header = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+    return (spark.read.schema(schema).option("header", True)
+            .option("multiLine", spec.multiline).option("escape", '"').csv(path))
 
 
 def coerce(raw: DataFrame, spec: TableSpec) -> DataFrame:

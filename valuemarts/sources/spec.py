@@ -35,6 +35,9 @@ class TableSpec:
     timestamp_cols: tuple[str, ...] = ()
     # declared keep-first order for PK de-duplication (defaults to all non-key columns)
     dedup_order: tuple[str, ...] = field(default=())
+    # free text that may hold line breaks; such a CSV cannot be split, so only
+    # tables that need it read with multiLine
+    multiline: bool = False
 
     @property
     def schema(self) -> T.StructType:
@@ -98,7 +101,8 @@ STAGING = {
          _c("review_comment_message", S), _c("review_creation_date", TS),
          _c("review_answer_timestamp", TS)),
         pk=("review_id",),
-        timestamp_cols=("review_creation_date", "review_answer_timestamp")),
+        timestamp_cols=("review_creation_date", "review_answer_timestamp"),
+        multiline=True),
     "stg_products": TableSpec(
         "stg_products", "olist_products_dataset",
         (_c("product_id", S, False, 50), _c("product_category_name", S, True, 100),
