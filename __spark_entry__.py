@@ -49,14 +49,6 @@ def _marts(spark: SparkSession, sf_dir: str) -> Marts:
     return Marts(TestDataStaging(spark, sf_dir))
 
 
-def _mart(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = _marts(spark, sf_dir)
-        return for_output(getattr(m, name))
-    run.__name__ = name
-    return run
-
-
 def _staging(table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return for_output(TestDataStaging(spark, sf_dir).table(table))
@@ -64,12 +56,6 @@ def _staging(table: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _with(fn) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return for_output(fn(_marts(spark, sf_dir)))
-    return run
-
-
 def _dedup_order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = TestDataStaging(spark, sf_dir).raw("lineitem").select(*LINEITEM_PK, *LINEITEM_ORDER)
     return keep_first(li, LINEITEM_PK, LINEITEM_ORDER)
@@ -96,6 +82,40 @@ def entry(spark: SparkSession) -> DataFrame:
     return for_output(_marts(spark, SMOKE_DIR).revenue_by_segment)
 
 
+# Mart-level queries as functions of a Marts context (any staging source).
+MART_QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
+    "dq_null_counts": lambda m: m.dq_null_counts(),
+    "dq_domain_violations": lambda m: m.dq_domain_violations(),
+    "dq_orphans": lambda m: m.dq_orphans(),
+    "segment_filter": lambda m: rfm.filter_segments(m.rfm_segment_summary, SEGMENT_FILTER),
+    "top_categories": lambda m: m.top_categories(15),
+    "top_seller_states": lambda m: m.top_seller_states(20),
+    "delivery_bands": lambda m: present.delivery_bands(m.delivery_vs_review),
+    "state_bands": lambda m: present.state_bands(m.top_seller_states(20)),
+    "retention_bands": lambda m: present.retention_bands(m.cohort_avg_6),
+    "category_share": lambda m: present.category_share(m.top_categories(10)),
+    "segment_display_table": lambda m: present.segment_display_table(m.rfm_segment_summary),
+    "segment_labels": lambda m: present.segment_labels(m.rfm_segment_summary),
+    "delivery_labels": lambda m: present.delivery_labels(m.delivery_vs_review),
+    "cohort_labels": lambda m: present.cohort_labels(m.cohort_rates_6),
+}
+for _name in ("dim_customers", "dim_products", "fact_orders", "fact_order_items", "fact_reviews",
+              "rfm_raw", "rfm_scores", "rfm_segments", "rfm_segment_summary", "repeat_rate",
+              "rfm_scatter", "cohort_base", "customer_order_months", "cohort_retention_grid",
+              "cohort_sizes", "cohort_retention_rates", "cohort_avg_retention", "cohort_matrix",
+              "cohort_rates_6", "cohort_avg_6", "revenue_by_segment", "kpi_revenue_at_risk",
+              "delivery_vs_review", "delivery_delay_by_seller_state",
+              "segment_delivery_experience", "category_revenue_delivery", "late_rate_ratio",
+              "totals", "kpi_row", "safe_vs_risk"):
+    MART_QUERIES[_name] = (lambda n: lambda m: getattr(m, n))(_name)
+
+
+def _over_testdata(fn: Callable[[Marts], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return for_output(fn(_marts(spark, sf_dir)))
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     qs: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "stg_customers": _staging("stg_customers"),
@@ -111,30 +131,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stg_timestamps_coerced": _timestamps_coerced,
         "ingest_report": _ingest_report,
         "dq_pk_violations": _dq_pk,
-        "dq_null_counts": _with(lambda m: m.dq_null_counts()),
-        "dq_domain_violations": _with(lambda m: m.dq_domain_violations()),
-        "dq_orphans": _with(lambda m: m.dq_orphans()),
-        "segment_filter": _with(lambda m: rfm.filter_segments(m.rfm_segment_summary, SEGMENT_FILTER)),
-        "top_categories": _with(lambda m: m.top_categories(15)),
-        "top_seller_states": _with(lambda m: m.top_seller_states(20)),
-        "delivery_bands": _with(lambda m: present.delivery_bands(m.delivery_vs_review)),
-        "state_bands": _with(lambda m: present.state_bands(m.top_seller_states(20))),
-        "retention_bands": _with(lambda m: present.retention_bands(m.cohort_avg_6)),
-        "category_share": _with(lambda m: present.category_share(m.top_categories(10))),
-        "segment_display_table": _with(lambda m: present.segment_display_table(m.rfm_segment_summary)),
-        "segment_labels": _with(lambda m: present.segment_labels(m.rfm_segment_summary)),
-        "delivery_labels": _with(lambda m: present.delivery_labels(m.delivery_vs_review)),
-        "cohort_labels": _with(lambda m: present.cohort_labels(m.cohort_rates_6)),
     }
-    for name in ("dim_customers", "dim_products", "fact_orders", "fact_order_items", "fact_reviews",
-                 "rfm_raw", "rfm_scores", "rfm_segments", "rfm_segment_summary", "repeat_rate",
-                 "rfm_scatter", "cohort_base", "customer_order_months", "cohort_retention_grid",
-                 "cohort_sizes", "cohort_retention_rates", "cohort_avg_retention", "cohort_matrix",
-                 "cohort_rates_6", "cohort_avg_6", "revenue_by_segment", "kpi_revenue_at_risk",
-                 "delivery_vs_review", "delivery_delay_by_seller_state",
-                 "segment_delivery_experience", "category_revenue_delivery", "late_rate_ratio",
-                 "totals", "kpi_row", "safe_vs_risk"):
-        qs[name] = _mart(name)
+    for name, fn in MART_QUERIES.items():
+        qs[name] = _over_testdata(fn)
     return qs
 
 
