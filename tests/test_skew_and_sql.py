@@ -49,7 +49,8 @@ def _bag(rows, cols):
 
 @pytest.mark.parametrize("key", ["rfm_scores", "rfm_segment_summary", "segment_delivery_experience",
                                  "category_revenue_delivery", "delivery_delay_by_seller_state",
-                                 "cohort_avg_retention", "totals", "fact_order_items"])
+                                 "cohort_avg_retention", "totals", "fact_order_items",
+                                 "delivery_vs_review"])
 def test_hot_keys_match_reference_sql(frames, key):
     staging = hot_staging(frames)
     m = Marts(staging, ntile_options={"rows_per_bucket": 10, "min_rows_per_bucket": 5})

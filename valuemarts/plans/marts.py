@@ -126,7 +126,7 @@ class Marts:
 
     @cached_property
     def delivery_vs_review(self):
-        return risk.delivery_vs_review(self.fact_reviews)
+        return risk.delivery_vs_review(self.fact_orders, self.stg("stg_order_reviews"))
 
     @cached_property
     def delivery_delay_by_seller_state(self):
