@@ -63,7 +63,8 @@ def test_load_report_and_types(spark):
     assert orders["o1"]["order_approved_at"] is None                  # 'n/a' → NULL
     assert orders["o1"]["order_delivered_customer_date"].day == 10
     reviews = {r["review_id"]: r for r in st.table("stg_order_reviews").collect()}
-    assert reviews["r1"]["review_score"] == 1                          # keep-first by declared order
+    assert reviews["r1"]["review_score"] == 4                          # first in file order
+    assert reviews["r1"]["review_comment_message"] == 'ok\nsaid "fine"'  # multi-line, quoted
     assert reviews["r2"]["review_answer_timestamp"] is None
     pay = {(r["order_id"], r["payment_sequential"]): r for r in st.table("stg_order_payments").collect()}
     assert str(pay[("o2", 1)]["payment_value"]) == "141.46"
@@ -87,3 +88,24 @@ def test_marts_export_round_trip(spark):
     export_csv(present.segment_display_table(m.rfm_segment_summary), csv_dir)
     back = spark.read.option("header", True).csv(csv_dir)
     assert "Revenue (R$)" in back.columns and back.count() == m.rfm_segment_summary.count()
+
+
+def test_keep_first_follows_file_order_across_splits(spark):
+    src = tempfile.mkdtemp(prefix="vm-src-", dir="/tmp")
+    out = tempfile.mkdtemp(prefix="vm-stg-", dir="/tmp")
+    rows = [[f"o{i}", "1", "card", "1", f"{i}.00"] for i in range(3000)]
+    rows[2500] = ["o7", "1", "late_copy", "1", "999.00"]      # duplicate key, later in the file
+    rows[40] = ["o2900", "1", "early_copy", "1", "1.23"]       # duplicate key, earlier in the file
+    _write(src, "olist_order_payments_dataset",
+           ["order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"],
+           rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")   # many splits, several tasks
+    try:
+        load_all(spark, src, out)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    pay = {r["order_id"]: r for r in ParquetStaging(spark, out).table("stg_order_payments").collect()}
+    assert pay["o7"]["payment_type"] == "card"
+    assert pay["o2900"]["payment_type"] == "early_copy"
+    assert len(pay) == 2998

@@ -5,7 +5,7 @@ it with every column as text (so zip prefixes keep their leading zeros),
 coerce the listed timestamp columns (a bad value becomes NULL, a missing
 column is left NULL), cast the other columns to the declared types (a bad
 value fails the load, as the database insert would), keep the first row per
-primary key, and overwrite the table's Parquet folder.  The report lists
+primary key in file order, and overwrite the table's Parquet folder.  The report lists
 rows read, rows dropped as duplicates and rows written.
 """
 
@@ -52,12 +52,31 @@ def read_raw_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     one split — the others stay splittable across tasks."""
     header = spark.read.option("header", True).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
-    return (spark.read.schema(schema).option("header", True)
-            .option("multiLine", spec.multiline).option("escape", '"').csv(path))
+    raw = (spark.read.schema(schema).option("header", True)
+           .option("multiLine", spec.multiline).option("escape", '"').csv(path))
+    return with_file_position(raw)
 
 
-def coerce(raw: DataFrame, spec: TableSpec) -> DataFrame:
-    """Typed projection of a text frame onto the table's declared columns."""
+# Columns that record where a row sits in its source file.
+POSITION = ("_src_file", "_src_block", "_src_row")
+
+
+def with_file_position(raw: DataFrame) -> DataFrame:
+    """Tag each row with (file, split offset, row id) right after the scan.
+
+    Within a task rows are read in file order and ``monotonically_increasing_id``
+    grows with them; splits of one file are ordered by their start offset.  So
+    the triple orders rows as they appear in the file, and a re-run task reads
+    the same split and assigns the same ids.
+    """
+    return raw.select("*", F.col("_metadata.file_path").alias(POSITION[0]),
+                      F.col("_metadata.file_block_start").alias(POSITION[1]),
+                      F.monotonically_increasing_id().alias(POSITION[2]))
+
+
+def coerce(raw: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed projection of a text frame onto the table's declared columns
+    (plus the ``keep`` columns, unchanged)."""
     present = set(raw.columns)
     cols = []
     for c in spec.columns:
@@ -69,7 +88,7 @@ def coerce(raw: DataFrame, spec: TableSpec) -> DataFrame:
             cols.append(F.col(c.name).alias(c.name))
         else:
             cols.append(F.trim(F.col(c.name)).cast(c.dtype).alias(c.name))
-    return raw.select(*cols)
+    return raw.select(*cols, *[F.col(k) for k in keep])
 
 
 def as_csv_text(df: DataFrame) -> DataFrame:
@@ -85,8 +104,15 @@ def as_csv_text(df: DataFrame) -> DataFrame:
 
 
 def stage(raw: DataFrame, spec: TableSpec) -> DataFrame:
-    typed = coerce(raw, spec)
-    return keep_first(typed, spec.pk, spec.keep_first_order()) if spec.pk else typed
+    """Typed table, first row per primary key.  "First" is file order when the
+    frame carries file positions (``read_raw_csv``), else the declared order."""
+    located = all(c in raw.columns for c in POSITION)
+    if not spec.pk:
+        return coerce(raw, spec)
+    if located:
+        typed = coerce(raw, spec, keep=POSITION)
+        return keep_first(typed, spec.pk, list(POSITION)).drop(*POSITION)
+    return keep_first(coerce(raw, spec), spec.pk, spec.keep_first_order())
 
 
 @dataclass
