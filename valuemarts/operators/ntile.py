@@ -151,11 +151,12 @@ def add_ntiles(df: DataFrame, specs: list[NtileSpec], id_col: str, *,
             acc += per.get(b, 0)
         offsets.append(offs)
 
+    tiles = []
     for i, s in enumerate(specs):
         b = bucket_cols[i]
         w = (Window.partitionBy(b)
              .orderBy(F.col(s.order_col).asc_nulls_last(), F.col(id_col).asc()))
         offset = F.get(F.array(*[F.lit(o).cast("long") for o in offsets[i]]), F.col(b))
         rn = offset + F.row_number().over(w)
-        out = out.withColumn(s.out_col, _tile(rn, n, s.k))
-    return out.drop(*bucket_cols)
+        tiles.append(_tile(rn, n, s.k).alias(s.out_col))
+    return out.select(*[c for c in out.columns if c not in bucket_cols], *tiles)

@@ -36,10 +36,10 @@ def _with_reviews(orders: DataFrame, stg_order_reviews: DataFrame) -> DataFrame:
     """LEFT JOIN the per-order review aggregate; ``w`` = rows one order row
     becomes after the reference's LEFT JOIN to reviews."""
     rev = reviews_per_order(stg_order_reviews)
-    return (orders.join(rev, "order_id", "left")
-            .withColumn("w", F.coalesce(F.col("n_reviews"), F.lit(1)))
-            .withColumn("score_sum", F.coalesce(F.col("score_sum"), F.lit(0)))
-            .withColumn("score_n", F.coalesce(F.col("score_n"), F.lit(0))))
+    return orders.join(rev, "order_id", "left").withColumns({
+        "w": F.coalesce(F.col("n_reviews"), F.lit(1)),
+        "score_sum": F.coalesce(F.col("score_sum"), F.lit(0)),
+        "score_n": F.coalesce(F.col("score_n"), F.lit(0))})
 
 
 def _late(delay: str = "delivery_delay_days") -> F.Column:
