@@ -45,13 +45,26 @@ def for_output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_STAGING: dict[tuple[int, str], TestDataStaging] = {}
+
+
+def _staging_for(spark: SparkSession, sf_dir: str) -> TestDataStaging:
+    """Lazy staging DataFrames, defined once per session and folder (plan
+    objects only: every query still executes its whole plan)."""
+    key = (id(spark), sf_dir)
+    st = _STAGING.get(key)
+    if st is None or st.spark is not spark:
+        st = _STAGING[key] = TestDataStaging(spark, sf_dir)
+    return st
+
+
 def _marts(spark: SparkSession, sf_dir: str) -> Marts:
-    return Marts(TestDataStaging(spark, sf_dir))
+    return Marts(_staging_for(spark, sf_dir))
 
 
 def _staging(table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return for_output(TestDataStaging(spark, sf_dir).table(table))
+        return for_output(_staging_for(spark, sf_dir).table(table))
     run.__name__ = table
     return run
 
@@ -69,12 +82,12 @@ def _dq_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _timestamps_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the mapped orders rendered as the loader would read them from CSV (all
     # text, missing dates as empty strings), then typed and keyed by the loader
-    return for_output(stage(as_csv_text(TestDataStaging(spark, sf_dir).stg_orders),
+    return for_output(stage(as_csv_text(_staging_for(spark, sf_dir).stg_orders),
                             STAGING["stg_orders"]))
 
 
 def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest_report(TestDataStaging(spark, sf_dir))
+    return ingest_report(_staging_for(spark, sf_dir))
 
 
 def entry(spark: SparkSession) -> DataFrame:

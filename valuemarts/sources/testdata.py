@@ -56,8 +56,14 @@ def _zip(c) -> F.Column:
 
 
 def _typed(df: DataFrame, table: str) -> DataFrame:
+    """Project onto the declared columns, casting only those whose type differs."""
     spec = STAGING[table]
-    return df.select(*[F.col(c.name).cast(c.dtype).alias(c.name) for c in spec.columns])
+    have = {f.name: f.dataType for f in df.schema.fields}
+    if all(have.get(c.name) == c.dtype for c in spec.columns) and \
+            list(have) == spec.column_names:
+        return df
+    return df.select(*[F.col(c.name) if have.get(c.name) == c.dtype
+                       else F.col(c.name).cast(c.dtype).alias(c.name) for c in spec.columns])
 
 
 class TestDataStaging:
