@@ -156,11 +156,12 @@ class ParquetStaging:
         self.staging_dir = staging_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """The staged table; a table the load skipped reads as empty, with its declared schema."""
+        """The staged table, read with its declared schema (no footer-inference
+        job); a table the load skipped reads as empty."""
         path = f"{self.staging_dir}/{name}"
         if not _path_exists(self.spark, path):
             return self.spark.createDataFrame([], STAGING[name].schema)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(STAGING[name].schema).parquet(path)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in STAGING:

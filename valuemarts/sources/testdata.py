@@ -15,6 +15,7 @@ construction here.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -238,3 +239,28 @@ def ingest_report(staging: TestDataStaging) -> DataFrame:
                                  (F.col("rows_in") - F.col("rows_out")).cast("long").alias("rows_dropped"),
                                  F.col("rows_out").cast("long").alias("rows_out")))
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def write_staging(staging: TestDataStaging, out_dir: str, parallel_jobs: int = 4) -> None:
+    """Write the nine staging tables once (the loader's job); marts then read
+    them through ``ingest.ParquetStaging`` instead of re-deriving them.
+
+    The de-duplicated lineitem rows feed two tables, so they are written first
+    and both are derived from that copy.  The nine writes are independent
+    jobs and are submitted from a few driver threads so they share the
+    cluster instead of queueing.
+    """
+    out = out_dir.rstrip("/")
+    first = f"{out}/_lineitem_first"
+    staging.lineitem_first.write.mode("overwrite").parquet(first)
+    staging.__dict__["lineitem_first"] = staging.spark.read.schema(
+        staging.lineitem_first.schema).parquet(first)
+    for cached in ("stg_order_items", "stg_order_payments"):
+        staging.__dict__.pop(cached, None)
+
+    def write(item):
+        name, df = item
+        df.write.mode("overwrite").parquet(f"{out}/{name}")
+
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        list(pool.map(write, staging.tables().items()))
