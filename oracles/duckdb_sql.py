@@ -2,9 +2,11 @@
 
 Written from the reference's view definitions (PostgreSQL) in DuckDB's
 dialect, over the driver's tables (``orders``, ``lineitem``, ... registered
-as views).  It does NOT share code with the Spark implementation: NTILE is the
-plain window function, the fan-out joins are written as joins, the cohort grid
-joins ``cohort_base`` to ``customer_order_months`` with AGE().  Two rules are
+as views).  It shares only the table specs (names, types, limits) with the
+Spark implementation, not its logic: NTILE is the plain window function, the
+fan-out joins are written as joins, the cohort grid joins ``cohort_base`` to
+``customer_order_months`` with AGE(), totals count distinct customers over
+the orders, keep-first is ``row_number()``.  Two rules are
 applied on both sides because the reference's engine implies them and the
 other engines differ (SURVEY §4.3):
 

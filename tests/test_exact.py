@@ -34,3 +34,12 @@ def test_large_values_exact(spark):
 def test_cents(spark):
     df = spark.createDataFrame([(Decimal("12.34"),), (Decimal("-0.05"),)], "m decimal(10,2)")
     assert [int(r[0]) for r in df.select(cents(F.col("m"))).collect()] == [1234, -5]
+
+
+def test_label_helpers(spark):
+    from valuemarts.functions.format import one_place_text, thousands, whole_units
+    df = spark.createDataFrame([(0.25,), (-0.25,), (1234.56,), (-0.04,), (12.0,)], "x double")
+    got = [tuple(r) for r in df.select(one_place_text("x", signed=True), one_place_text("x"),
+                                       thousands(whole_units("x"))).collect()]
+    assert got == [("+0.3", "0.3", "0"), ("-0.3", "-0.3", "0"), ("+1234.6", "1234.6", "1,235"),
+                   ("+0.0", "0.0", "0"), ("+12.0", "12.0", "12")]
