@@ -7,10 +7,12 @@ import tempfile
 from valuemarts.plans.marts import Marts
 from valuemarts.sources.export import export_csv, export_marts, load_mart
 from valuemarts.sources.ingest import ParquetStaging, load_all
+from valuemarts.sources.spec import STAGING
 from valuemarts.plans import present
 
 
-def _write(folder, stem, header, rows):
+def _write(folder, table, header, rows):
+    stem = STAGING[table].csv_stem
     with open(os.path.join(folder, f"{stem}.csv"), "w", newline="") as f:
         w = csv.writer(f)
         w.writerow(header)
@@ -18,12 +20,12 @@ def _write(folder, stem, header, rows):
 
 
 def _source(folder):
-    _write(folder, "olist_customers_dataset",
+    _write(folder, "stg_customers",
            ["customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city",
             "customer_state"],
            [["k1", "u1", "01037", "sao paulo", "SP"], ["k2", "u1", "01037", "sao paulo", "SP"],
             ["k3", "u2", "20000", "rio", "RJ"]])
-    _write(folder, "olist_orders_dataset",
+    _write(folder, "stg_orders",
            ["order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
             "order_delivered_carrier_date", "order_delivered_customer_date",
             "order_estimated_delivery_date"],
@@ -32,12 +34,12 @@ def _source(folder):
             ["o2", "k2", "delivered", "2018-01-05 09:00:00", "", "", "2018-01-20 10:00:00",
              "2018-01-15 00:00:00"],
             ["o3", "k3", "canceled", "2018-02-01 08:00:00", "", "", "", "2018-02-20 00:00:00"]])
-    _write(folder, "olist_order_payments_dataset",
+    _write(folder, "stg_order_payments",
            ["order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"],
            [["o1", "1", "credit_card", "1", "18.12"], ["o1", "2", "voucher", "1", "2.00"],
             ["o2", "1", "boleto", "1", "141.46"], ["o2", "1", "boleto", "1", "999.99"]])
     # a duplicated review id; the comment holds a newline and quotes
-    _write(folder, "olist_order_reviews_dataset",
+    _write(folder, "stg_order_reviews",
            ["review_id", "order_id", "review_score", "review_comment_title", "review_comment_message",
             "review_creation_date", "review_answer_timestamp"],
            [["r1", "o1", "4", "", 'ok\nsaid "fine"', "2017-10-11 00:00:00", "2017-10-12 03:43:48"],
@@ -96,7 +98,7 @@ def test_keep_first_follows_file_order_across_splits(spark):
     rows = [[f"o{i}", "1", "card", "1", f"{i}.00"] for i in range(3000)]
     rows[2500] = ["o7", "1", "late_copy", "1", "999.00"]      # duplicate key, later in the file
     rows[40] = ["o2900", "1", "early_copy", "1", "1.23"]       # duplicate key, earlier in the file
-    _write(src, "olist_order_payments_dataset",
+    _write(src, "stg_order_payments",
            ["order_id", "payment_sequential", "payment_type", "payment_installments", "payment_value"],
            rows)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
