@@ -4,9 +4,10 @@ Staging tables come from the driver's parquet tables
 (``valuemarts.sources.testdata``).  The ingest-level queries (``stg_*``,
 keep-first, PK check, ingest report) run from the raw tables; the mart
 queries read staging tables written once per session (``stage``), as the
-reference's marts are views over its loaded staging tables.  ``oracle_sql`` gives independent DuckDB SQL for
-each key (``oracles/duckdb_sql.py``).  Exact decimals are returned as DOUBLE
-and SMALLINT as INT on both sides so the schemas compare equal.
+reference's marts are views over its loaded staging tables.  ``oracle_sql``
+gives independent DuckDB SQL for each key (``oracles/duckdb_sql.py``).
+Exact decimals are returned as DOUBLE and SMALLINT as INT on both sides so
+the schemas compare equal.
 """
 
 from __future__ import annotations
