@@ -110,3 +110,13 @@ def test_cohort_size_from_grid_period_zero(marts):
              for r in marts.cohort_sizes.collect() if r["cohort_month"] is not None}
     rates = {r["cohort_month"]: r["cohort_size"] for r in marts.cohort_retention_rates.collect()}
     assert rates == sizes
+
+
+def test_release_deletes_materialised_tables(spark):
+    import os
+    m = Marts(TestDataStaging(spark, SF0001))
+    assert m.totals.collect()[0]["total_orders"] > 0
+    paths = list(m._written)
+    assert paths and all(os.path.exists(p.removeprefix("file:")) for p in paths)
+    m.release()
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in paths)

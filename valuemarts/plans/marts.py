@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import quality
-from ..session import reliable_checkpoint
+from ..session import delete_path, materialize
 from . import cohort, conform, present, rfm, risk
 
 
@@ -24,6 +24,7 @@ class Marts:
         # checkpoint the customer grain once; RFM (read several times by the
         # NTILE passes), the cohort base and the totals all come from it
         self.materialize = materialize
+        self._written: list[str] = []
 
     # -- staging -------------------------------------------------------------
     def stg(self, name: str) -> DataFrame:
@@ -59,7 +60,19 @@ class Marts:
     @cached_property
     def customer_orders(self):
         grain = rfm.customer_orders(self.fact_orders)
-        return reliable_checkpoint(grain, "customer_orders") if self.materialize else grain
+        if not self.materialize:
+            return grain
+        df, path = materialize(grain, "customer_orders")
+        self._written.append(path)
+        return df
+
+    def release(self) -> None:
+        """Delete the tables this context wrote under the checkpoint folder.
+        Marts built from them must not be used afterwards."""
+        spark = self.stg("stg_orders").sparkSession
+        for path in self._written:
+            delete_path(spark, path)
+        self._written.clear()
 
     @cached_property
     def rfm_raw(self):

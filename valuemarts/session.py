@@ -75,15 +75,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def reliable_checkpoint(df, label: str = "table"):
-    """Materialise ``df`` as a Parquet table in the session's checkpoint folder
-    and return a DataFrame that reads it (lineage cut).
+def materialize(df, label: str = "table"):
+    """Write ``df`` as a Parquet table in the session's checkpoint folder and
+    return ``(DataFrame reading it, path)`` — lineage cut in one job.
 
-    One write job; ``Dataset.checkpoint(eager=True)`` would compute the plan
-    twice (a count, then the checkpoint write) and store row-serialised files.
-    The folder is shared storage on a cluster, so a lost executor loses nothing.
+    ``Dataset.checkpoint(eager=True)`` would compute the plan twice (a count,
+    then the checkpoint write) and store row-serialised files.  The folder is
+    shared storage on a cluster, so a lost executor loses nothing.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/valuemarts/{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def reliable_checkpoint(df, label: str = "table"):
+    """:func:`materialize`, returning only the DataFrame."""
+    return materialize(df, label)[0]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder written by :func:`materialize` (any Hadoop file system)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:
+        import shutil
+        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
