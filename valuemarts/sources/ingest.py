@@ -12,6 +12,7 @@ rows read, rows dropped as duplicates and rows written.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -142,9 +143,15 @@ def load_table(spark: SparkSession, data_dir: str, out_dir: str, spec: TableSpec
     return LoadResult(spec.name, "loaded", rows_in, rows_out)
 
 
-def load_all(spark: SparkSession, data_dir: str, out_dir: str) -> DataFrame:
-    """Load every staging table; returns the load report."""
-    results = [load_table(spark, data_dir, out_dir, spec) for spec in STAGING.values()]
+def load_all(spark: SparkSession, data_dir: str, out_dir: str, parallel_jobs: int = 4) -> DataFrame:
+    """Load every staging table; returns the load report.
+
+    The tables are independent jobs, submitted from a few driver threads so
+    they share the cluster instead of queueing one after another.
+    """
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        results = list(pool.map(lambda spec: load_table(spark, data_dir, out_dir, spec),
+                                STAGING.values()))
     return spark.createDataFrame([r.row() for r in results], REPORT_SCHEMA)
 
 
