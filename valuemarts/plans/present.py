@@ -2,7 +2,8 @@
 filters, KPI row, bands, shares, display names and labels.
 
 All inputs here are marts that are already aggregated (a few rows to a few
-thousand), except ``totals``, which reads delivered orders.
+thousand), except the totals: ``totals`` reads delivered orders (the
+reference's form), ``totals_from`` the customer grain (what ``Marts`` uses).
 """
 
 from __future__ import annotations
