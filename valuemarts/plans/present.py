@@ -52,16 +52,25 @@ def top_seller_states(state_mart: DataFrame, n: int = 20) -> DataFrame:
     return top_n(state_mart, "avg_delay_days", n, "seller_state")
 
 
+def _one_row(df: DataFrame, *cols: str):
+    """The single row of a one-row frame as a struct-valued scalar subquery."""
+    return df.select(F.struct(*cols).alias("r")).scalar()
+
+
 def kpi_row(totals_df: DataFrame, kpi: DataFrame, repeat: DataFrame) -> DataFrame:
-    """The five headline numbers in one record (one-row inputs)."""
-    return (totals_df.crossJoin(kpi).crossJoin(repeat)
-            .select("total_orders", "total_revenue", "total_customers",
-                    "revenue_at_risk_pct", "revenue_at_risk", "repeat_pct"))
+    """The five headline numbers in one record (one-row inputs, combined as
+    scalar subqueries)."""
+    j = totals_df.select("*", _one_row(kpi, "revenue_at_risk_pct", "revenue_at_risk").alias("_k"),
+                         repeat.select("repeat_pct").scalar().alias("repeat_pct"))
+    return j.select("total_orders", "total_revenue", "total_customers",
+                    F.col("_k.revenue_at_risk_pct").alias("revenue_at_risk_pct"),
+                    F.col("_k.revenue_at_risk").alias("revenue_at_risk"), "repeat_pct")
 
 
 def safe_vs_risk(totals_df: DataFrame, kpi: DataFrame) -> DataFrame:
     """Two slices: total revenue (0 places) minus revenue at risk (2 places), and the latter."""
-    j = totals_df.crossJoin(kpi)
+    j = totals_df.select("total_revenue",
+                         kpi.select("revenue_at_risk").scalar().alias("revenue_at_risk"))
     safe = (F.col("total_revenue").cast(MONEY) - F.col("revenue_at_risk").cast(MONEY)).cast("double")
     return j.select(F.explode(F.array(
         F.struct(F.lit("Safe Revenue").alias("label"), safe.alias("revenue")),

@@ -41,11 +41,11 @@ def customer_orders(fact: DataFrame) -> DataFrame:
 
 def rfm_raw_from(customers: DataFrame) -> DataFrame:
     """Recency against the latest delivered purchase overall; the reference
-    date is the max over the customer grain (one row, broadcast)."""
-    ref = customers.agg(F.max("last_order_date").alias("_ref"))
-    return (customers.crossJoin(F.broadcast(ref))
-            .select(ID, day_diff("_ref", "last_order_date").alias("recency_days"),
-                    "frequency", "monetary"))
+    date is the max over the customer grain, computed once as a scalar
+    subquery and used inside the projection (no join)."""
+    ref = customers.agg(F.max("last_order_date")).scalar()
+    return customers.select(ID, day_diff(ref, "last_order_date").alias("recency_days"),
+                            "frequency", "monetary")
 
 
 def rfm_raw(fact: DataFrame) -> DataFrame:
