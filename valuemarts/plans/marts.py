@@ -76,7 +76,10 @@ class Marts:
 
     @cached_property
     def rfm_raw(self):
-        return rfm.rfm_raw_from(self.customer_orders)
+        if not self.materialize:
+            return rfm.rfm_raw_from(self.customer_orders)
+        # read once from the written grain; the NTILE passes then reuse a literal
+        return rfm.rfm_raw_from(self.customer_orders, rfm.reference_date(self.customer_orders))
 
     @cached_property
     def rfm_scores(self):

@@ -39,11 +39,22 @@ def customer_orders(fact: DataFrame) -> DataFrame:
                  F.sum("revenue").alias("monetary")))
 
 
-def rfm_raw_from(customers: DataFrame) -> DataFrame:
-    """Recency against the latest delivered purchase overall; the reference
-    date is the max over the customer grain, computed once as a scalar
-    subquery and used inside the projection (no join)."""
-    ref = customers.agg(F.max("last_order_date")).scalar()
+def reference_date(customers: DataFrame):
+    """The latest delivered purchase overall, as one value (one small job;
+    use it on a materialised customer grain)."""
+    return customers.agg(F.max("last_order_date").alias("r")).first()["r"]
+
+
+def rfm_raw_from(customers: DataFrame, ref_date=None) -> DataFrame:
+    """Recency against the latest delivered purchase overall.
+
+    With ``ref_date`` given (see :func:`reference_date`) it is a date literal;
+    otherwise it is a scalar subquery over ``customers``, used inside the
+    projection.  Neither needs a join."""
+    if ref_date is None:
+        ref = customers.agg(F.max("last_order_date")).scalar()
+    else:
+        ref = F.lit(ref_date.date() if hasattr(ref_date, "date") else ref_date)
     return customers.select(ID, day_diff(ref, "last_order_date").alias("recency_days"),
                             "frequency", "monetary")
 
