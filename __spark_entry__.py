@@ -34,6 +34,16 @@ from valuemarts.sources.spec import STAGING  # noqa: E402
 from valuemarts.sources.testdata import (  # noqa: E402
     LINEITEM_ORDER, LINEITEM_PK, TestDataStaging, ingest_report, write_staging)
 
+# the text operators and the pipeline are an optional part
+try:
+    from valuemarts.llm import queries as llm  # noqa: E402
+except ImportError:
+    llm = None
+try:
+    import corpus_pipeline  # noqa: E402
+except ImportError:
+    corpus_pipeline = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 SEGMENT_FILTER = ("Champions", "Loyal", "At-Risk")
 
@@ -167,9 +177,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     for name, fn in MART_QUERIES.items():
         qs[name] = _over_testdata(fn)
+    if llm is not None:
+        qs.update(llm.QUERIES)
+    if corpus_pipeline is not None:
+        qs["pipeline"] = corpus_pipeline.run
     return qs
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles.duckdb_sql import oracle_sql as sqls
-    return sqls()
+    out = dict(sqls())
+    if llm is not None:
+        out.update(llm.ORACLE_SQL)
+    if corpus_pipeline is not None and corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
