@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.session import checkpoint_dir
+from valuemarts.session import checkpoint_dir, delete_path
 
 U64 = np.uint64
 #: fixed odd multipliers of the word hash
@@ -31,12 +31,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/valuemarts/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it
-    back: cuts the lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Scratch:
+    """Tables below the shared checkpoint folder, written as Parquet and read
+    back: this cuts the lineage and survives lost executors.  Leaving the
+    ``with`` block deletes those not marked ``keep``."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        for p in self.paths:
+            delete_path(self.spark, p)
+
+    def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        path = scratch_path(self.spark, f"{self.name}-{name}")
+        df.write.parquet(path)
+        if not keep:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from valuemarts.llm import bpe
+from valuemarts.llm import bpe, langid, near_dup, toxicity
+from valuemarts.llm.common import split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,7 +22,30 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, ids=False)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, split_of("doc_id", 4) != 2)
+    out = langid.predict(docs, model)
+    return out.select("doc_id", F.coalesce(split_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), split_of("doc_id", 3) != 1)
+    out = toxicity.predict(docs, model)
+    return out.select("doc_id", F.coalesce(split_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dup.groups(table(spark, sf_dir, "documents"), shingle=2, threshold=80)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_langid": op4_langid,
+    "op5_toxicity": op5_toxicity,
+    "op7_near_dup": op7_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {}
