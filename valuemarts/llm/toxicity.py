@@ -1,13 +1,14 @@
 """Operator 5: toxicity by a factorization machine over hashed terms.
 
-Terms (runs of letters, lower-cased) are hashed to 2^17 buckets; a text is
-the set of its buckets.  score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>):
+Terms (runs of letters, lower-cased, and the first 4 and 5 bytes of longer
+ones) are hashed to 2^17 buckets; a text is the set of its buckets.  score = sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>):
 the pair term raises texts where, say, an insult meets a group mention.
 Weights are learned on the driver from a bounded sample of labelled rows
 (``max_positive`` and ``max_negative`` rows, chosen by a hash of the id);
 the sampling rates are undone by weights, so the score is a probability.
-Terms seen in fewer than ``min_rows`` sampled rows, and terms whose linear
-weight is shrunk to zero, carry nothing.
+Terms seen in fewer than ``min_rows`` sampled rows, or whose share of toxic
+rows differs from the rest by fewer than ``min_z`` standard errors, and terms
+whose linear weight is shrunk to zero, carry nothing.
 
 Edge cases: null and empty texts score sigmoid(w0); a document with several
 labels is toxic if one says so; null labels and null ids teach nothing; with
@@ -25,10 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from valuemarts.llm.common import U64, arrow_map, chunks, flat_utf8, span_hash
+from valuemarts.llm.common import U64, arrow_map, chunks, flat_utf8, mix64, span_hash
 
 BITS = 17
 FACTORS = 4
+PREFIXES = (4, 5)             # bytes
 _INNER = np.zeros(258, dtype=bool)
 _INNER[[*range(97, 123), *range(128, 256)]] = True       # letters; bytes of other scripts
 
@@ -47,8 +49,15 @@ def term_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         begin[at], stop[at - 1] = inside[1:-1][at], inside[1:-1][at - 1]
         start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
         row = np.searchsorted(cut, start, side="right") - 1
-        h = (span_hash(part, start, end) >> U64(64 - BITS)).astype(np.int64)
-        key = np.unique((row << BITS) | h)
+        keys_of = []
+        for size in (None, *PREFIXES):             # whole words, then the beginnings of longer words
+            use = slice(None) if size is None else np.flatnonzero(end - start > size)
+            a = start[use]
+            h = span_hash(part, a, end if size is None else a + size)
+            if size is not None:
+                h = mix64(h + U64(size))
+            keys_of.append((row[use] << BITS) | (h >> U64(64 - BITS)).astype(np.int64))
+        key = np.unique(np.concatenate(keys_of))
         sizes.append(np.bincount(key >> BITS, minlength=j - i))
         keys.append((key & ((1 << BITS) - 1)).astype(np.int32))
     n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
@@ -81,19 +90,23 @@ class FactorMachine:
         return 1 / (1 + np.exp(-np.clip(self.logits(idx, off), -30, 30)))
 
 
-def train(idx: np.ndarray, off: np.ndarray, y: np.ndarray, weight: np.ndarray, min_rows: int = 5,
-          rounds: int = 60, batch: int = 2000, rate: float = 0.15, shrink: float = 2e-4, seed: int = 1) -> FactorMachine:
-    """Minibatch AdaGrad on the weighted logistic loss, with a proximal
-    (soft-threshold) step on the linear weights and decay of the factors."""
+def train(idx: np.ndarray, off: np.ndarray, y: np.ndarray, weight: np.ndarray, min_rows: int = 5, min_z: float = 4.0,
+          rounds: int = 80, batch: int = 1000, rate: float = 0.2, shrink: float = 2e-5, seed: int = 1) -> FactorMachine:
+    """Minibatch AdaGrad on the weighted logistic loss over the terms that
+    tell the classes apart, with a proximal (soft-threshold) step on the
+    linear weights and decay of the factors."""
     rng = np.random.default_rng(seed)
     df = np.bincount(idx, minlength=1 << BITS)
-    ok = df[idx] >= min_rows
+    toxic = np.bincount(idx, weights=np.repeat(y, np.diff(off)), minlength=1 << BITS)
+    p = y.mean()
+    z = (toxic - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9))
+    ok = ((df >= min_rows) & (np.abs(z) >= min_z))[idx]
     off, idx = np.concatenate([[0], np.cumsum(ok)])[off], idx[ok]
     cols, idx = np.unique(idx, return_inverse=True)
     m = len(cols)
     w = np.zeros((m, 1 + FACTORS))
     w[:, 1:] = rng.normal(0, 0.02, (m, FACTORS))
-    grad2 = np.full((m, 1 + FACTORS), 1e-4)
+    grad2 = np.full((m, 1 + FACTORS), 1e-3)
     prior = float((y * weight).sum() / max(weight.sum(), 1e-9))
     bias, bias2 = float(np.log((prior + 1e-4) / (1 - prior + 1e-4))), 1e-4
     for r in range(rounds):
@@ -130,7 +143,7 @@ def train(idx: np.ndarray, off: np.ndarray, y: np.ndarray, weight: np.ndarray, m
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: Column, text: str = "text", key: str = "doc_id",
-        label: str = "toxic", max_positive: int = 3000, max_negative: int = 9000) -> FactorMachine:
+        label: str = "toxic", max_positive: int = 5000, max_negative: int = 10000) -> FactorMachine:
     """Learn from labelled documents where ``train_rows`` (on the column ``doc_id``) holds."""
     known = (labels.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("__y"))
              .where(F.col("doc_id").isNotNull() & F.col("__y").isNotNull() & train_rows)
