@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.llm import bpe, langid, near_dup, toxicity
+from valuemarts.llm import bpe, decontam, langid, line_dedup, near_dup, toxicity
 from valuemarts.llm.common import split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,38 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), TOKENIZER, ids=False)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.clean(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines_removed").cast("long").alias("lines_removed"),
+                      F.col("__chars_removed").cast("long").alias("chars_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP3_SQL = """
+WITH lines AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
+spread AS (
+  SELECT t AS line FROM (SELECT source, trim(unnest(parts), ' ' || chr(9) || chr(13)) AS t FROM lines)
+  WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+marked AS (
+  SELECT doc_id, text, parts, (SELECT list(line) FROM spread) AS bad FROM lines),
+cut AS (
+  SELECT doc_id, text,
+         list_filter(parts, lambda x: coalesce(list_contains(bad, trim(x, ' ' || chr(9) || chr(13))), false)) AS gone,
+         list_filter(parts, lambda x: NOT coalesce(list_contains(bad, trim(x, ' ' || chr(9) || chr(13))), false)) AS kept
+  FROM marked),
+sized AS (SELECT *, coalesce(list_sum(list_transform(gone, lambda x: length(x))), 0) AS c FROM cut),
+decided AS (SELECT *, coalesce(len(gone) > 0 AND c <= 0.5 * length(text), false) AS yes FROM sized)
+SELECT doc_id, CAST(CASE WHEN yes THEN len(gone) ELSE 0 END AS BIGINT) AS lines_removed,
+       CAST(CASE WHEN yes THEN c ELSE 0 END AS BIGINT) AS chars_removed,
+       sha256(CASE WHEN yes THEN array_to_string(kept, chr(10)) ELSE text END) AS text_sha256
+FROM decided
+"""
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, split_of("doc_id", 4) != 2)
@@ -44,8 +76,10 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_decontaminate": op2_decontaminate,
+    "op3_line_dedup": op3_line_dedup,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
     "op7_near_dup": op7_near_dup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
