@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.llm import bpe, decontam, langid, line_dedup, near_dup, toxicity
+from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, near_dup, toxicity
 from valuemarts.llm.common import split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,6 +69,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dup.groups(table(spark, sf_dir, "documents"), shingle=2, threshold=80)
     return out.withColumnRenamed("id", "doc_id")
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_langid": op4_langid,
     "op5_toxicity": op5_toxicity,
+    "op6_ann": op6_ann,
     "op7_near_dup": op7_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
