@@ -185,7 +185,7 @@ def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, sla
 
 
 def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 40, rows: int = 6, slack: float = 0.22,
-           open_pairs: int = 2, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+           open_pairs: int = 32, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, kept."""
     spark, samples = docs.sparkSession, bands * rows
     with Scratch(spark, "near-dup") as tmp:
@@ -210,9 +210,12 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
                 known = comp.select(F.col("node").alias("rep"), F.col("component"))
                 live = (member.where("c > 2").join(known, "rep", "left")
                         .select("bucket", "rep", F.coalesce("component", "rep").alias("comp")))
-                mixed = live.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-                live = tmp.write(live.join(mixed.select("bucket", "m"), "bucket"), f"open{turn}")
-                left = live.groupBy("bucket").agg(F.first("m").alias("m")).agg(F.sum(F.expr("m * (m - 1) / 2"))).head()[0]
+                # open pairs of a bucket: its pairs without those inside one component
+                mixed = (live.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
+                         .agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("open > 0"))
+                mixed = tmp.write(mixed, f"mixed{turn}")
+                live = tmp.write(live.join(mixed.select("bucket"), "bucket"), f"open{turn}")
+                left = mixed.agg(F.sum("open")).head()[0]
                 if not left:
                     break
                 last = turn == max_rounds or left <= open_pairs * n_reps
