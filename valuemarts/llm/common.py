@@ -46,9 +46,9 @@ class Scratch:
         for p in self.paths:
             delete_path(self.spark, p)
 
-    def write(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    def write(self, df: DataFrame, name: str, keep: bool = False, codec: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, f"{self.name}-{name}")
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
         if not keep:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)

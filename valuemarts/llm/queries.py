@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, near_dup, toxicity
-from valuemarts.llm.common import split_of
+from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, near_dup, token_file, toxicity
+from valuemarts.llm.common import scratch_path, split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -78,6 +78,12 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_file.write(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
+    return token_file.read_digests(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -86,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_near_dup": op7_near_dup,
+    "op9_token_file": op9_token_file,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
