@@ -130,15 +130,16 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
     return LanguageModel(names, (z.T @ (half @ beta)).astype(np.float32))
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with lang_pred and score."""
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            prefix: str = "") -> DataFrame:
+    """Columns ``keep`` with lang_pred and score (their names after ``prefix``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)      # buckets x at most max_langs floats
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         lang, score = shared.value.predict(strings(b.column(len(keep))))
         return pa.RecordBatch.from_arrays([*b.columns[:len(keep)], pa.array(lang, pa.string()), pa.array(score)],
-                                          [*keep, "lang_pred", "score"])
+                                          [*keep, f"{prefix}lang_pred", f"{prefix}score"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return arrow_map(src, run, f"{types + ', ' if types else ''}lang_pred string, score double")
+    return arrow_map(src, run, f"{types + ', ' if types else ''}{prefix}lang_pred string, {prefix}score double")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, near_dup, token_file, toxicity
+from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, near_dup, secret_scan, token_file, toxicity
 from valuemarts.llm.common import scratch_path, split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -84,6 +84,11 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_digests(spark, path)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_near_dup": op7_near_dup,
     "op9_token_file": op9_token_file,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
