@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, near_dup, secret_scan, token_file, toxicity
+from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, lm_score, near_dup, secret_scan, token_file, toxicity
 from valuemarts.llm.common import scratch_path, split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,12 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.score(table(spark, sf_dir, "documents"), split_of("id", 10) != 0)
+    return out.select(F.col("id").alias("doc_id"), F.coalesce(split_of("id", 10) == 0, F.lit(False)).alias("held_out"),
+                      *[c for c in out.columns if c != "id"])
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_file.write(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
@@ -97,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_ann": op6_ann,
     "op7_near_dup": op7_near_dup,
+    "op8_lm_score": op8_lm_score,
     "op9_token_file": op9_token_file,
     "op10_secret_scan": op10_secret_scan,
 }
