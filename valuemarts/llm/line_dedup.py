@@ -82,6 +82,8 @@ def clean(docs: DataFrame, min_sites: int = 10, max_removed: float = 0.5, band:
     held = (docs.select(F.struct(F.xxhash64(body), F.crc32(body.cast("binary"))).alias("__row"),
                         F.explode(F.array_distinct(F.transform(_lines(body), _key))).alias("line"))
             .where("line is not null").join(lines, "line").groupBy("__row").agg(F.collect_set("line").alias("__drop")))
+    # written first: a text with thousands of copies is then a skewed join, which Spark splits
+    held = Scratch(docs.sparkSession, "line-dedup").write(held, "held", keep=True)
     joined = tagged.join(held, "__row", "left")
     drop = F.coalesce("__drop", F.array().cast("array<bigint>"))
     gone = F.filter(_lines(body), lambda x: F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)))
