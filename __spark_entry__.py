@@ -2,20 +2,23 @@
 
 Staging tables come from the driver's parquet tables
 (``valuemarts.sources.testdata``).  The ingest-level queries (``stg_*``,
-keep-first, PK check, ingest report) run from the raw tables; the mart
-queries read staging tables written once per session (``stage``), as the
-reference's marts are views over its loaded staging tables.  ``oracle_sql``
-gives independent DuckDB SQL for each key (``oracles/duckdb_sql.py``).
-Exact decimals are returned as DOUBLE and SMALLINT as INT on both sides so
-the schemas compare equal.
+keep-first, PK check) run from the raw tables; the loader's report and the
+coerced timestamps come from a run of the loader over CSV copies; the column
+and orphan checks read tables with faults set by rule; the mart queries read
+staging tables written once per session and folder.  ``oracle_sql`` gives
+DuckDB SQL for the keys (``oracles/duckdb_sql.py``).  Exact decimals are
+returned as DOUBLE and SMALLINT as INT on both sides so the schemas compare
+equal.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +30,11 @@ from valuemarts.operators import quality  # noqa: E402
 from valuemarts.operators.dedup import keep_first  # noqa: E402
 from valuemarts.plans import present, rfm  # noqa: E402
 from valuemarts.plans.marts import Marts  # noqa: E402
-from valuemarts.session import checkpoint_dir  # noqa: E402
-from valuemarts.sources.ingest import ParquetStaging, as_csv_text  # noqa: E402
-from valuemarts.sources.ingest import stage as stage_rows  # noqa: E402
-from valuemarts.sources.spec import STAGING  # noqa: E402
+from valuemarts.session import checkpoint_dir, delete_path  # noqa: E402
+from valuemarts.sources.export import export_marts, load_mart, with_position  # noqa: E402
+from valuemarts.sources.ingest import ParquetStaging, load_all  # noqa: E402
 from valuemarts.sources.testdata import (  # noqa: E402
-    LINEITEM_ORDER, LINEITEM_PK, TestDataStaging, ingest_report, write_staging)
+    LINEITEM_ORDER, LINEITEM_PK, FaultyStaging, TestDataStaging, write_csv, write_staging)
 
 # the text operators and the pipeline are an optional part
 try:
@@ -61,40 +63,68 @@ def for_output(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-_RAW: dict[tuple[int, str], TestDataStaging] = {}
-_STAGED: dict[tuple[int, str], ParquetStaging] = {}
+_CONTEXTS: dict[tuple[str, str], "Context"] = {}
 
 
-def _raw_staging(spark: SparkSession, sf_dir: str) -> TestDataStaging:
-    """Staging tables derived lazily from the test tables (plan objects only;
-    every query still executes its whole plan)."""
-    key = (id(spark), sf_dir)
-    st = _RAW.get(key)
-    if st is None or st.spark is not spark:
-        st = _RAW[key] = TestDataStaging(spark, sf_dir)
-    return st
+class Context:
+    """What the queries of one session and folder share: the staging tables
+    written once (as the loader fills its tables once), one ``Marts`` over
+    them, the loader's run over CSV copies, and the exports."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.raw = TestDataStaging(spark, sf_dir)
+        self.root = f"{checkpoint_dir(spark).rstrip('/')}/valuemarts/context-{uuid.uuid4().hex}"
 
-def stage(spark: SparkSession, sf_dir: str) -> ParquetStaging:
-    """Write the staging tables once per session and folder, under the
-    session's checkpoint folder, as the reference's loader fills its staging
-    tables once; mart queries read them (whole) like views over staging."""
-    key = (id(spark), sf_dir)
-    st = _STAGED.get(key)
-    if st is None or st.spark is not spark:
-        out = f"{checkpoint_dir(spark).rstrip('/')}/valuemarts/staging-{uuid.uuid4().hex}"
-        write_staging(TestDataStaging(spark, sf_dir), out)   # own instance: it is rewired
-        st = _STAGED[key] = ParquetStaging(spark, out)
-    return st
+    @cached_property
+    def staging(self) -> ParquetStaging:
+        write_staging(TestDataStaging(self.spark, self.sf_dir), f"{self.root}/staging")   # own instance: it is rewired
+        return ParquetStaging(self.spark, f"{self.root}/staging")
 
+    @cached_property
+    def marts(self) -> Marts:
+        return Marts(self.staging)
 
-def _marts(spark: SparkSession, sf_dir: str) -> Marts:
-    return Marts(stage(spark, sf_dir))
+    @cached_property
+    def loaded(self) -> tuple[DataFrame, ParquetStaging]:
+        """The loader's report over CSV copies of the tables, and what it loaded."""
+        write_csv(TestDataStaging(self.spark, self.sf_dir, dedup=False), f"{self.root}/csv")
+        report = load_all(self.spark, f"{self.root}/csv", f"{self.root}/loaded")
+        delete_path(self.spark, f"{self.root}/csv")
+        return report, ParquetStaging(self.spark, f"{self.root}/loaded")
+
+    @cached_property
+    def exports(self) -> str:
+        """The folder that the marts are exported to."""
+        export_marts(self.marts.exports(), f"{self.root}/exports")
+        return f"{self.root}/exports"
+
+    def release(self) -> None:
+        """Delete all that this context wrote."""
+        if "marts" in self.__dict__:
+            self.marts.release()
+        delete_path(self.spark, self.root)
+
+
+def context(spark: SparkSession, sf_dir: str) -> Context:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = Context(spark, sf_dir)
+    return _CONTEXTS[key]
+
+
+@atexit.register
+def release_all() -> None:
+    """Delete what the contexts of running sessions wrote."""
+    for c in _CONTEXTS.values():
+        if c.spark.sparkContext._jsc is not None:
+            c.release()
+    _CONTEXTS.clear()
 
 
 def _staging(table: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return for_output(_raw_staging(spark, sf_dir).table(table))
+        return for_output(context(spark, sf_dir).raw.table(table))
     run.__name__ = table
     return run
 
@@ -110,27 +140,38 @@ def _dq_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _timestamps_coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the mapped orders rendered as the loader would read them from CSV (all
-    # text, missing dates as empty strings), then typed and keyed by the loader
-    return for_output(stage_rows(as_csv_text(_raw_staging(spark, sf_dir).stg_orders),
-                            STAGING["stg_orders"]))
+    # every 13th order's approval time is malformed in the CSV copy
+    return for_output(context(spark, sf_dir).loaded[1].table("stg_orders"))
 
 
 def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest_report(_raw_staging(spark, sf_dir))
+    return context(spark, sf_dir).loaded[0]
+
+
+def _over_faulty(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(FaultyStaging(context(spark, sf_dir).raw).tables())
+
+
+def _exported(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return for_output(with_position(load_mart(spark, context(spark, sf_dir).exports, name, cache=False)))
+    return run
 
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: revenue by RFM segment over the smoke data."""
-    return for_output(_marts(spark, SMOKE_DIR).revenue_by_segment)
+    return for_output(context(spark, SMOKE_DIR).marts.revenue_by_segment)
 
 
 # Mart-level queries as functions of a Marts context (any staging source).
 MART_QUERIES: dict[str, Callable[[Marts], DataFrame]] = {
-    "dq_null_counts": lambda m: m.dq_null_counts(),
-    "dq_domain_violations": lambda m: m.dq_domain_violations(),
-    "dq_orphans": lambda m: m.dq_orphans(),
     "segment_filter": lambda m: rfm.filter_segments(m.rfm_segment_summary, SEGMENT_FILTER),
+    "segment_experience_filter": lambda m: rfm.filter_segments(m.segment_delivery_experience, SEGMENT_FILTER),
+    "scatter_filter": lambda m: rfm.filter_segments(m.rfm_scatter, SEGMENT_FILTER),
+    "rfm_scatter_500": lambda m: rfm.rfm_scatter(m.rfm_segments, 500),
+    "kpi_labels": lambda m: present.kpi_labels(m.kpi_row),
+    "state_labels": lambda m: present.state_labels(m.top_seller_states(20)),
+    "retention_labels": lambda m: present.retention_labels(m.cohort_avg_6),
     "top_categories": lambda m: m.top_categories(15),
     "top_seller_states": lambda m: m.top_seller_states(20),
     "delivery_bands": lambda m: present.delivery_bands(m.delivery_vs_review),
@@ -155,7 +196,7 @@ for _name in ("dim_customers", "dim_products", "fact_orders", "fact_order_items"
 
 def _over_testdata(fn: Callable[[Marts], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return for_output(fn(_marts(spark, sf_dir)))
+        return for_output(fn(context(spark, sf_dir).marts))
     return run
 
 
@@ -174,7 +215,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stg_timestamps_coerced": _timestamps_coerced,
         "ingest_report": _ingest_report,
         "dq_pk_violations": _dq_pk,
+        "dq_null_counts": _over_faulty(lambda t: quality.null_counts(quality.column_violations(t))),
+        "dq_domain_violations": _over_faulty(lambda t: quality.domain_violations(quality.column_violations(t))),
+        "dq_orphans": _over_faulty(quality.orphans),
     }
+    qs |= {f"export_{name}": _exported(name) for name in Marts.EXPORT_ORDER}
     for name, fn in MART_QUERIES.items():
         qs[name] = _over_testdata(fn)
     if llm is not None:

@@ -87,7 +87,7 @@ def edge_staging(frames):
 
 @pytest.fixture
 def marts(frames):
-    return Marts(edge_staging(frames), ntile_options={"rows_per_bucket": 3, "min_rows_per_bucket": 1})
+    return Marts(edge_staging(frames), ntile_options={"rank_rows": 2})
 
 
 def test_fact_orders_rules(marts):
@@ -219,7 +219,7 @@ def _bag(rows, cols):
 @pytest.mark.parametrize("key", DUCK_KEYS)
 def test_against_reference_sql(frames, key):
     staging = edge_staging(frames)
-    m = Marts(staging, ntile_options={"rows_per_bucket": 3, "min_rows_per_bucket": 1})
+    m = Marts(staging, ntile_options={"rank_rows": 2})
     methods = {"dq_null_counts": m.dq_null_counts, "dq_domain_violations": m.dq_domain_violations,
                "dq_orphans": m.dq_orphans}
     df = methods[key]() if key in methods else getattr(m, key)

@@ -36,12 +36,12 @@ def _frame(spark, n, null_share=0.0, tie_share=0.0, seed=1):
 @pytest.mark.parametrize("n", [1000, 996, 101, 4, 3, 1])
 def test_matches_builtin_with_nulls(spark, n):
     df = _frame(spark, n, null_share=0.025)
-    assert _ours(df, "x", rows_per_bucket=97, min_rows_per_bucket=10) == _builtin(df, "x")
+    assert _ours(df, "x", rank_rows=20) == _builtin(df, "x")
 
 
 def test_heavy_ties_spread_over_buckets(spark):
     df = _frame(spark, 1000, tie_share=0.97)
-    ours = _ours(df, "x", rows_per_bucket=100, min_rows_per_bucket=10)
+    ours = _ours(df, "x", rank_rows=20)
     assert ours == _builtin(df, "x")
     sizes = {}
     for t in ours.values():
@@ -64,7 +64,7 @@ def test_decimal_and_several_specs(spark):
     df = spark.createDataFrame(rows, "id string, a long, b double") \
         .withColumn("b", F.col("b").cast("decimal(20,2)"))
     out = add_ntiles(df, [NtileSpec("a", "ta"), NtileSpec("b", "tb")], "id",
-                     rows_per_bucket=40, min_rows_per_bucket=10)
+                     rank_rows=20)
     got = {r["id"]: (r["ta"], r["tb"]) for r in out.collect()}
     wa = Window.orderBy(F.col("a").asc_nulls_last(), "id")
     wb = Window.orderBy(F.col("b").asc_nulls_last(), "id")
@@ -73,15 +73,28 @@ def test_decimal_and_several_specs(spark):
     assert got == exp
 
 
-def test_plan_has_no_single_partition_exchange(spark):
+def test_rows_are_not_moved(spark):
     df = _frame(spark, 2000)
-    out = add_ntiles(df, [NtileSpec("x", "t")], "id", rows_per_bucket=200, min_rows_per_bucket=10)
+    out = add_ntiles(df, [NtileSpec("x", "t")], "id", rank_rows=20)
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+
+
+def test_ten_million_rows(spark):
+    import time
+    df = spark.range(10_000_000).selectExpr("id", "if(id % 10 < 6, 1, (id * 7919) % 100003) as x")
+    out = add_ntiles(df, [NtileSpec("x", "t")], "id", materialize=False)
+    began = time.time()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - began < 10 and len(plan) < 20_000
+    got = {r["t"]: (r["n"], r["hi"]) for r in out.groupBy("t").agg(F.count("*").alias("n"), F.max(F.struct("x", "id")).alias("hi")).collect()}
+    low = out.groupBy("t").agg(F.min(F.struct("x", "id")).alias("lo")).collect()
+    assert sorted(got) == [1, 2, 3, 4, 5] and {n for n, _ in got.values()} == {2_000_000}
+    assert all(r["lo"] > got[r["t"] - 1][1] for r in low if r["t"] > 1)
 
 
 def test_partition_independence(spark):
     df = _frame(spark, 700, null_share=0.05, tie_share=0.5)
-    a = _ours(df, "x", rows_per_bucket=50, min_rows_per_bucket=10)
-    b = _ours(df.repartition(11), "x", rows_per_bucket=90, min_rows_per_bucket=10, seed=99)
+    a = _ours(df, "x", rank_rows=20)
+    b = _ours(df.repartition(11), "x", rank_rows=20)
     assert a == b

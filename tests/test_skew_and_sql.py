@@ -53,7 +53,7 @@ def _bag(rows, cols):
                                  "delivery_vs_review"])
 def test_hot_keys_match_reference_sql(frames, key):
     staging = hot_staging(frames)
-    m = Marts(staging, ntile_options={"rows_per_bucket": 10, "min_rows_per_bucket": 5})
+    m = Marts(staging, ntile_options={"rank_rows": 5})
     sdf = entry.for_output(getattr(m, key))
     con = duckdb.connect()
     for name in STAGING:

@@ -40,11 +40,6 @@ def cents(money) -> Column:
     return (_col(money).cast(MONEY) * F.lit(100)).cast(INT38)
 
 
-def money_double(money) -> Column:
-    """Exact money value (already at 2 places or fewer) as DOUBLE for output."""
-    return _col(money).cast("double")
-
-
 def round_money(money, k: int = 2) -> Column:
     """ROUND(sum, k) of an exact decimal, half away from zero, as DOUBLE."""
     return F.round(_col(money).cast(MONEY), k).cast("double")

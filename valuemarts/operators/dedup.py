@@ -32,9 +32,3 @@ def keep_first(df: DataFrame, pk: Sequence[str], order_by: Sequence[str] | None
     first = F.min(F.struct(*[F.col(c) for c in fields])).alias("_first")
     return df.groupBy(*pk).agg(first).select(
         *[F.col(c) if c in pk else F.col(f"_first.{c}").alias(c) for c in cols])
-
-
-def duplicate_count(df: DataFrame, pk: Sequence[str]) -> DataFrame:
-    """One row: rows_in, rows_out (distinct keys) — what keep_first would drop."""
-    return df.agg(F.count(F.lit(1)).alias("rows_in"),
-                  F.count_distinct(*[F.col(c) for c in pk]).alias("rows_out"))

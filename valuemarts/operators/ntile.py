@@ -1,36 +1,37 @@
-"""Global ``NTILE(k) OVER (ORDER BY x ASC NULLS LAST, id)`` without one task.
-
-``F.ntile(k).over(Window.orderBy(x))`` moves every row into a single
-partition.  Here each row instead gets
-
-1. a total, unique sort key ``(x IS NULL, x, id)`` — NULLs last, ties on ``x``
-   split by ``id``, so a value shared by most rows is spread over many ranges;
-2. a range bucket: the number of sampled boundary keys ``<=`` the row's key,
-   found by a binary search of ``log2(P)`` steps (one ``aggregate``
-   expression).  It is a pure function of the row, so retries and
-   recomputation give the same bucket whatever sample was drawn;
-3. its global row number: the exact row count of all lower buckets (``P``
-   integers, computed by one aggregate) plus ``row_number()`` inside its own
-   bucket;
-4. the tile from the row number and the exact row count ``n``.
-
-What reaches the driver is bounded by the bucket count: about
-``oversample * P`` sampled keys and ``P`` counts per score.  Bucket count
-grows with the input (``rows_per_bucket``), so each window task sorts a
-bounded range.
+"""Global ``NTILE(k) OVER (ORDER BY x ASC NULLS LAST, id)`` by cut keys.
+
+``F.ntile(k).over(Window.orderBy(x))`` moves every row into one partition.
+But a row's tile only depends on how many of the k - 1 *cut keys* (the keys
+``(x IS NULL, x, id)`` at the last position of tiles 1 .. k-1) lie below it.
+So the tile is a projection over k - 1 literals per column, with no shuffle
+of the rows, once the cut keys are known.  They are found by narrowing:
+
+1. count the rows;
+2. for each cut keep a range of keys that holds its position, at first all
+   keys.  A pass draws up to ``PROBES`` keys from each range that is still too
+   large (a deterministic sample by hash of the id), counts the rows of the
+   segments between these keys in one aggregate, and keeps the segment that
+   holds the position;
+3. when every range holds at most ``rank_rows`` rows, these rows are collected
+   in key order and the cut keys read off.
+
+Rows move only in step 3 and in the sample: a bounded number whatever the
+input, and the number of passes follows from its size (each pass divides a
+range by about ``PROBES``).  Ties on x are split by id, so a value that most
+rows share is narrowed like any other.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import reliable_checkpoint
 
+PROBES = 64
+
 
 @dataclass(frozen=True)
 class NtileSpec:
@@ -39,124 +40,105 @@ class NtileSpec:
     k: int = 5
 
 
-def _key_struct(order_col: str, id_col: str) -> Column:
-    return F.struct(F.col(order_col).isNull().alias("n"), F.col(order_col).alias("v"),
-                    F.col(id_col).alias("i"))
-
-
-def _bound_literal(is_null: bool, v, i, vtype: T.DataType, itype: T.DataType) -> Column:
-    return F.struct(F.lit(is_null).alias("n"), F.lit(v).cast(vtype).alias("v"),
-                    F.lit(i).cast(itype).alias("i"))
-
-
-def _sort_tuple(v, i):
-    return (v is None, 0 if v is None else v, i)
-
-
-def choose_bucket_count(n: int, shuffle_partitions: int, rows_per_bucket: int,
-                        min_rows_per_bucket: int, max_buckets: int) -> int:
-    by_size = math.ceil(n / rows_per_bucket) if n else 1
-    by_parallelism = min(shuffle_partitions, n // max(1, min_rows_per_bucket))
-    return max(1, min(max_buckets, max(by_size, by_parallelism)))
+Key = tuple      # (value, id); a NULL value sorts last
 
 
-def pick_bounds(sample: list[tuple], buckets: int) -> list[tuple]:
-    """P-1 boundary keys at even positions of the sorted sample."""
-    if buckets <= 1 or not sample:
-        return []
-    ordered = sorted(sample, key=lambda t: _sort_tuple(*t))
-    m = len(ordered)
-    picks = [ordered[min(m - 1, (j * m) // buckets)] for j in range(1, buckets)]
-    dedup = []
-    for p in picks:
-        if not dedup or dedup[-1] != p:
-            dedup.append(p)
-    return dedup
+def _order(key: Key) -> tuple:
+    return (key[0] is None, 0 if key[0] is None else key[0], key[1])
 
 
-def _bucket_of(key: Column, bounds: list[tuple], vtype, itype) -> Column:
-    """Number of boundary keys ``<= key``: a binary search over the sorted
-    boundary literals, written as one ``aggregate`` over the log2(P) step sizes."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[_bound_literal(v is None, v, i, vtype, itype) for v, i in bounds])
-    steps = []
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step >= 1:
-        steps.append(step)
-        step >>= 1
-    # get() is NULL past the end of the array, so the comparison fails there
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
-                       lambda lo, s: F.when(F.get(arr, lo + s - 1) <= key, lo + s).otherwise(lo))
+def _above(key: Key, order_col: str, id_col: str) -> Column:
+    """The row's key is greater than ``key``."""
+    x, i = F.col(order_col), F.col(id_col)
+    value, ident = key
+    if value is None:
+        return x.isNull() & (i > F.lit(ident))
+    v = F.lit(value)
+    return F.coalesce((x > v) | ((x == v) & (i > F.lit(ident))), F.lit(True))
 
 
-def _tile(rn: Column, n: int, k: int) -> Column:
+def cut_positions(n: int, k: int) -> list[int]:
+    """Row numbers of the last rows of tiles 1 .. k-1 (0: the tile is empty
+    and so are all after it up to the row count)."""
     q, r = divmod(n, k)
-    if q == 0:
-        return rn.cast("int")
-    big = r * (q + 1)
-    first = F.call_function("div", rn + F.lit(q), F.lit(q + 1))           # ceil(rn / (q+1))
-    rest = F.lit(r) + F.call_function("div", rn - F.lit(big) + F.lit(q - 1), F.lit(q))
-    return F.when(rn <= F.lit(big), first).otherwise(rest).cast("int")
-
-
-def add_ntiles(df: DataFrame, specs: list[NtileSpec], id_col: str, *,
-               materialize: bool = True, rows_per_bucket: int = 1_000_000,
-               min_rows_per_bucket: int = 100, max_buckets: int = 2048,
-               oversample: int = 32, seed: int = 17) -> DataFrame:
+    return [t * q + min(t, r) for t in range(1, k)]
+
+
+@dataclass
+class _Range:
+    """Rows with low < key <= high (None: open); ``skip`` rows lie below."""
+
+    low: Key | None
+    high: Key | None
+    skip: int
+    rows: int
+
+
+def _within(r: _Range, order_col: str, id_col: str) -> Column:
+    cond = F.lit(True)
+    if r.low is not None:
+        cond = cond & _above(r.low, order_col, id_col)
+    if r.high is not None:
+        cond = cond & ~_above(r.high, order_col, id_col)
+    return cond
+
+
+def cut_keys(base: DataFrame, spec: NtileSpec, id_col: str, n: int, rank_rows: int = 4096) -> list[Key]:
+    """The keys of the last rows of tiles 1 .. k-1, ascending."""
+    o = spec.order_col
+    positions = [p for p in dict.fromkeys(cut_positions(n, spec.k)) if 0 < p < n]
+    ranges = {p: _Range(None, None, 0, n) for p in positions}
+    keys = base.select(F.col(o), F.col(id_col))
+    scale = 1 << 30
+    turn = 0
+    while any(r.rows > rank_rows for r in ranges.values()):
+        turn += 1
+        wide = {(r.low, r.high): r for r in ranges.values() if r.rows > rank_rows}
+        for r in wide.values():
+            # hashed anew in each pass, so that the keys drawn before are not drawn again
+            rate = max(1, int(min(1.0, 4 * PROBES / r.rows) * scale))
+            part = (keys.where(_within(r, o, id_col) & (F.pmod(F.xxhash64(id_col, F.lit(turn)), F.lit(scale)) < rate))
+                    .orderBy(F.xxhash64(id_col, F.lit(-turn))).limit(16 * PROBES).collect())
+            drawn = sorted({(x[0], x[1]) for x in part}, key=_order)
+            if not drawn:
+                continue
+            probes = [drawn[(i + 1) * len(drawn) // (PROBES + 1)] for i in range(PROBES)] if len(drawn) > PROBES else drawn
+            probes = list(dict.fromkeys(probes))
+            # number of probes below the row's key, counted in one aggregate
+            segment = sum((F.when(_above(p, o, id_col), 1).otherwise(0) for p in probes), F.lit(0))
+            sizes = {x["s"]: x["n"] for x in keys.where(_within(r, o, id_col)).groupBy(segment.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            bounds, below = [r.low, *probes, r.high], r.skip
+            for s in range(len(probes) + 1):
+                rows = sizes.get(s, 0)
+                for p, old in ranges.items():
+                    if old is r and below < p <= below + rows:
+                        ranges[p] = _Range(bounds[s], bounds[s + 1], below, rows)
+                below += rows
+            # ranges that were the same object keep sharing one, so that a pass counts them once
+            same: dict[tuple, _Range] = {}
+            for p, x in ranges.items():
+                ranges[p] = same.setdefault((x.low, x.high), x)
+    found: dict[int, Key] = {}
+    for r in {id(x): x for x in ranges.values()}.values():
+        rows = sorted(((x[0], x[1]) for x in keys.where(_within(r, o, id_col)).collect()), key=_order)   # at most rank_rows
+        for p, x in ranges.items():
+            if x is r:
+                found[p] = rows[p - r.skip - 1]
+    return [found[p] for p in positions]
+
+
+def tile_of(cuts: list[Key], spec: NtileSpec, id_col: str) -> Column:
+    """1 + the number of cut keys below the row's key."""
+    return sum((F.when(_above(c, spec.order_col, id_col), 1).otherwise(0) for c in cuts), F.lit(1)).cast("int")
+
+
+def add_ntiles(df: DataFrame, specs: list[NtileSpec], id_col: str, *, materialize: bool = True,
+               rank_rows: int = 4096) -> DataFrame:
     """Append one INT column per spec: NTILE(k) over (order_col ASC NULLS LAST, id_col).
 
-    The input is read several times (count, sample, bucket sizes, result), so
-    by default it is first written to the session's checkpoint folder.
+    The ids are unique and not NULL.  The input is read several times, so by
+    default it is first written to the session's checkpoint folder.
     """
-    spark = df.sparkSession
     base = reliable_checkpoint(df, "ntile_input") if materialize else df
     n = base.count()
-    if n == 0:
-        return base.select("*", *[F.lit(None).cast("int").alias(s.out_col) for s in specs])
-
-    shuffle_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = choose_bucket_count(n, shuffle_partitions, rows_per_bucket,
-                                  min_rows_per_bucket, max_buckets)
-    fields = {f.name: f.dataType for f in base.schema.fields}
-    itype = fields[id_col]
-
-    sample = []
-    if buckets > 1:
-        fraction = min(1.0, buckets * oversample / n)
-        cols = [id_col] + [s.order_col for s in specs]
-        sample = base.select(*cols).sample(False, fraction, seed).collect()
-
-    bucket_cols, bucket_exprs = [], []
-    for idx, s in enumerate(specs):
-        pairs = [(row[1 + idx], row[0]) for row in sample]
-        bounds = pick_bounds(pairs, buckets)
-        bucket_cols.append(f"_bucket{idx}")
-        bucket_exprs.append(_bucket_of(_key_struct(s.order_col, id_col), bounds,
-                                       fields[s.order_col], itype).alias(f"_bucket{idx}"))
-    out = base.select("*", *bucket_exprs)
-
-    # exact size of every bucket of every score, in one aggregate (≤ P rows per score)
-    stacked = out.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("s"), F.col(b).alias("b")) for i, b in enumerate(bucket_cols)
-    ])).alias("sb"))
-    sizes = stacked.groupBy("sb.s", "sb.b").count().collect()
-    offsets = []
-    for i in range(len(specs)):
-        per = {r["b"]: r["count"] for r in sizes if r["s"] == i}
-        top = max(per) if per else 0
-        acc, offs = 0, []
-        for b in range(top + 1):
-            offs.append(acc)
-            acc += per.get(b, 0)
-        offsets.append(offs)
-
-    tiles = []
-    for i, s in enumerate(specs):
-        b = bucket_cols[i]
-        w = (Window.partitionBy(b)
-             .orderBy(F.col(s.order_col).asc_nulls_last(), F.col(id_col).asc()))
-        offset = F.get(F.array(*[F.lit(o).cast("long") for o in offsets[i]]), F.col(b))
-        rn = offset + F.row_number().over(w)
-        tiles.append(_tile(rn, n, s.k).alias(s.out_col))
-    return out.select(*[c for c in out.columns if c not in bucket_cols], *tiles)
+    return base.select("*", *[tile_of(cut_keys(base, s, id_col, n, rank_rows), s, id_col).alias(s.out_col) for s in specs])

@@ -36,49 +36,43 @@ def pk_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(out)
 
 
-def null_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per NOT NULL column: rows where it is NULL (one pass per table)."""
+def _rules(spec) -> list[tuple[str, str, F.Column]]:
+    """(column, rule, broken) of a table: NOT NULL, VARCHAR(n), NUMERIC(p, s)."""
+    rules = [(c, "not null", F.col(c).isNull()) for c in spec.not_null]
+    for c in spec.columns:
+        if c.max_length is not None:
+            rules.append((c.name, f"length>{c.max_length}", F.length(F.col(c.name)) > c.max_length))
+        limit = decimal_limit(c.dtype)
+        if limit is not None:
+            rules.append((c.name, f"abs>={limit:g}", F.abs(F.col(c.name)) >= F.lit(limit)))
+    return rules
+
+
+def column_violations(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per table, column and rule: rows that break it, counted in one scan per table."""
     out = []
     for name, spec in STAGING.items():
-        cols = spec.not_null
-        if not cols or name not in tables:
+        rules = _rules(spec)
+        if not rules or name not in tables:
             continue
-        counts = tables[name].agg(*[
-            F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("long").alias(c) for c in cols])
-        long = counts.unpivot([], cols, "column_name", "null_count")
-        out.append(long.select(F.lit(name).alias("table_name"), "column_name",
-                               F.coalesce(F.col("null_count"), F.lit(0)).cast("long")
-                               .alias("null_count")))
+        counts = tables[name].agg(*[F.count(F.when(broken, 1)).alias(f"r{i}") for i, (_, _, broken) in enumerate(rules)])
+        rows = F.array(*[F.struct(F.lit(col).alias("column_name"), F.lit(rule).alias("rule"),
+                                  F.col(f"r{i}").cast("long").alias("violations"))
+                         for i, (col, rule, _) in enumerate(rules)])
+        out.append(counts.select(F.explode(rows).alias("m"))
+                   .select(F.lit(name).alias("table_name"), "m.column_name", "m.rule", "m.violations"))
     return _union(out)
 
 
-def domain_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """Values that would not fit the declared VARCHAR(n)/CHAR(n) or NUMERIC(p,s)."""
-    out = []
-    for name, spec in STAGING.items():
-        if name not in tables:
-            continue
-        rules = []
-        for c in spec.columns:
-            if c.max_length is not None:
-                rules.append((c.name, f"length>{c.max_length}",
-                              F.length(F.col(c.name)) > c.max_length))
-            limit = decimal_limit(c.dtype)
-            if limit is not None:
-                rules.append((c.name, f"abs>={limit:g}", F.abs(F.col(c.name)) >= F.lit(limit)))
-        if not rules:
-            continue
-        aliases = [f"r{i}" for i in range(len(rules))]
-        counts = tables[name].agg(*[
-            F.sum(F.when(cond, 1).otherwise(0)).cast("long").alias(a)
-            for a, (_, _, cond) in zip(aliases, rules)])
-        meta = F.array(*[F.struct(F.lit(col).alias("column_name"), F.lit(rule).alias("rule"),
-                                  F.coalesce(F.col(a), F.lit(0)).alias("violations"))
-                         for a, (col, rule, _) in zip(aliases, rules)])
-        out.append(counts.select(F.explode(meta).alias("m"))
-                   .select(F.lit(name).alias("table_name"), "m.column_name", "m.rule",
-                           F.col("m.violations").cast("long").alias("violations")))
-    return _union(out)
+def null_counts(violations: DataFrame) -> DataFrame:
+    """NOT NULL columns: rows where they are NULL (from :func:`column_violations`)."""
+    return (violations.where(F.col("rule") == "not null")
+            .select("table_name", "column_name", F.col("violations").alias("null_count")))
+
+
+def domain_violations(violations: DataFrame) -> DataFrame:
+    """Values that would not fit VARCHAR(n)/CHAR(n) or NUMERIC(p,s)."""
+    return violations.where(F.col("rule") != "not null")
 
 
 def orphans(tables: dict[str, DataFrame]) -> DataFrame:

@@ -1,9 +1,16 @@
-"""All marts over one set of staging tables, built lazily and once.
-
-``Marts(staging)`` composes the view functions the way the reference's views
-reference each other; each property is a lazy DataFrame, so Catalyst sees
-one plan per mart and prunes what it does not need.  ``register_views``
-exposes every mart to ``spark.sql`` under the reference's view names.
+"""All marts over one set of staging tables.
+
+``Marts(staging)`` composes the view functions the way the views reference
+each other.  Four grains feed many marts and are written once, as Parquet
+below the session's checkpoint folder, when first needed: the order facts
+(orders joined with customers and payments), the (customer, month) grain of
+the delivered orders, the customer grain, and the RFM segments (whose
+quintiles take a few small jobs).  So asking for a mart may run jobs;
+``prepare()`` writes the four at once, ``release()`` deletes them.  With
+``materialize=False`` nothing is written and every mart is one lazy plan but
+for the quintiles' cut keys.
+
+``register_views`` exposes every mart to ``spark.sql`` under the view names.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import quality
 from ..session import delete_path, materialize
+from ..sources.export import ordered
 from . import cohort, conform, present, rfm, risk
 
 
@@ -21,11 +29,22 @@ class Marts:
     def __init__(self, staging, ntile_options: dict | None = None, materialize: bool = True):
         self.staging = staging
         self.ntile_options = ntile_options or {}
-        # checkpoint the customer grain once; RFM (read several times by the
-        # NTILE passes), the cohort base and the totals all come from it
         self.materialize = materialize
         self._written: list[str] = []
 
+    def _once(self, df: DataFrame, name: str) -> DataFrame:
+        """``df``, written once if this context writes its grains."""
+        if not self.materialize:
+            return df
+        out, path = materialize(df, name)
+        self._written.append(path)
+        return out
+
+    def prepare(self) -> "Marts":
+        """Write the shared grains now."""
+        _ = self.fact_orders, self.month_grain, self.customer_orders, self.rfm_segments
+        return self
+
     # -- staging -------------------------------------------------------------
     def stg(self, name: str) -> DataFrame:
         return getattr(self.staging, name)
@@ -45,8 +64,8 @@ class Marts:
 
     @cached_property
     def fact_orders(self):
-        return conform.fact_orders(self.stg("stg_orders"), self.stg("stg_customers"),
-                                   self.stg("stg_order_payments"))
+        return self._once(conform.fact_orders(self.stg("stg_orders"), self.stg("stg_customers"),
+                                              self.stg("stg_order_payments")), "fact_orders")
 
     @cached_property
     def fact_order_items(self):
@@ -57,14 +76,13 @@ class Marts:
         return conform.fact_reviews(self.stg("stg_order_reviews"), self.fact_orders)
 
     # -- RFM -----------------------------------------------------------------
+    @cached_property
+    def month_grain(self):
+        return self._once(rfm.month_grain(self.fact_orders), "month_grain")
+
     @cached_property
     def customer_orders(self):
-        grain = rfm.customer_orders(self.fact_orders)
-        if not self.materialize:
-            return grain
-        df, path = materialize(grain, "customer_orders")
-        self._written.append(path)
-        return df
+        return self._once(rfm.customers_of(self.month_grain), "customer_orders")
 
     def release(self) -> None:
         """Delete the tables this context wrote under the checkpoint folder.
@@ -88,7 +106,7 @@ class Marts:
 
     @cached_property
     def rfm_segments(self):
-        return rfm.rfm_segments(self.rfm_scores)
+        return self._once(rfm.rfm_segments(self.rfm_scores), "rfm_segments")
 
     @cached_property
     def rfm_segment_summary(self):
@@ -109,7 +127,7 @@ class Marts:
 
     @cached_property
     def customer_order_months(self):
-        return cohort.customer_order_months(self.fact_orders)
+        return self.month_grain.select(cohort.ID, "order_month")
 
     @cached_property
     def cohort_retention_grid(self):
@@ -195,16 +213,20 @@ class Marts:
     def dq_pk_violations(self):
         return quality.pk_violations(self.staging_tables())
 
+    def dq_column_violations(self):
+        return quality.column_violations(self.staging_tables())
+
     def dq_null_counts(self):
-        return quality.null_counts(self.staging_tables())
+        return quality.null_counts(self.dq_column_violations())
 
     def dq_domain_violations(self):
-        return quality.domain_violations(self.staging_tables())
+        return quality.domain_violations(self.dq_column_violations())
 
     def dq_orphans(self):
         return quality.orphans(self.staging_tables())
 
     # -- SQL surface ---------------------------------------------------------
+    # The public view names.
     VIEW_NAMES = (
         "dim_customers", "dim_products", "fact_orders", "fact_order_items", "fact_reviews",
         "rfm_raw", "rfm_scores", "rfm_segments", "rfm_segment_summary",
@@ -223,9 +245,22 @@ class Marts:
         for name in self.VIEW_NAMES:
             getattr(self, name).createOrReplaceTempView(name)
 
-    # Marts the reference exports, with the export's filter / order / limit.
+    # The exported marts and the order of their rows.  A unique
+    # column breaks ties; NULLs come first in descending order, as in the
+    # original engine.
+    EXPORT_ORDER = {
+        "rfm_segment_summary": ("-total_revenue", "rfm_segment"),
+        "delivery_vs_review": ("review_score",),
+        "segment_delivery_experience": ("-segment_revenue", "rfm_segment"),
+        "category_revenue_delivery": ("-total_revenue", "category_en"),
+        "delivery_delay_by_seller_state": ("-avg_delay_days", "seller_state"),
+        "cohort_retention_rates": ("cohort_month", "period_number"),
+        "cohort_avg_retention": ("period_number",),
+    }
+
     def exports(self) -> dict[str, DataFrame]:
-        return {
+        """The exported marts with the export's filter, order and limit."""
+        marts = {
             "rfm_segment_summary": self.rfm_segment_summary,
             "kpi_revenue_at_risk": self.kpi_revenue_at_risk,
             "delivery_vs_review": self.delivery_vs_review,
@@ -238,3 +273,5 @@ class Marts:
             "repeat_rate": self.repeat_rate,
             "rfm_scatter": self.rfm_scatter,
         }
+        return {name: ordered(df, *self.EXPORT_ORDER[name]) if name in self.EXPORT_ORDER else df
+                for name, df in marts.items()}

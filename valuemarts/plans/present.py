@@ -157,6 +157,33 @@ def cohort_labels(rates: DataFrame) -> DataFrame:
          .alias("cell_label"))
 
 
-def filter_segments(df: DataFrame, segments: Sequence[str]) -> DataFrame:
-    """The dashboard's segment multi-select, for any table with ``rfm_segment``."""
-    return df.where(F.col("rfm_segment").isin(list(segments)))
+def _reais(x) -> F.Column:
+    return F.concat(F.lit("R$ "), thousands(x))
+
+
+def _percent(x) -> F.Column:
+    return F.concat(one_place_text(x), F.lit("%"))
+
+
+def kpi_labels(kpi: DataFrame) -> DataFrame:
+    """The headline numbers as text: '1,234', 'R$ 1,234', '12.3%'.  Total
+    revenue is cut to whole units, as it has none but zeros after the point."""
+    return kpi.select(
+        thousands("total_orders").alias("orders_label"),
+        _reais(F.col("total_revenue").cast("decimal(38,2)").cast("long")).alias("revenue_label"),
+        thousands("total_customers").alias("customers_label"),
+        _percent("revenue_at_risk_pct").alias("at_risk_pct_label"),
+        _reais(whole_units("revenue_at_risk")).alias("at_risk_label"),
+        _percent("repeat_pct").alias("repeat_label"))
+
+
+def state_labels(states: DataFrame) -> DataFrame:
+    """'★ 4.12': the average review score beside each seller state's bar."""
+    hundredths = F.round(F.col("avg_review_score").cast("decimal(38,2)") * 100).cast("long")
+    text = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    return states.select("seller_state", F.concat(F.lit("★ "), F.coalesce(text, F.lit("nan"))).alias("score_label"))
+
+
+def retention_labels(avg_retention: DataFrame) -> DataFrame:
+    """'12.3%' per month after the first purchase."""
+    return avg_retention.select("period_number", _percent("avg_retention_pct").alias("retention_label"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import day_diff
+from ..functions.dates import day_diff, month_start
 from ..functions.exact import cents, ratio_round, round_money
 from ..operators.ntile import NtileSpec, add_ntiles
 from .conform import delivered_orders
@@ -25,7 +25,6 @@ SEGMENT_RULES = (
     ("Lost", lambda r, f: r == 1),
 )
 OTHER_SEGMENT = "Others"
-SEGMENTS = tuple(name for name, _ in SEGMENT_RULES) + (OTHER_SEGMENT,)
 
 
 def customer_orders(fact: DataFrame) -> DataFrame:
@@ -39,6 +38,27 @@ def customer_orders(fact: DataFrame) -> DataFrame:
                  F.sum("revenue").alias("monetary")))
 
 
+def month_grain(fact: DataFrame) -> DataFrame:
+    """(customer, month) grain of the delivered orders, in one aggregation:
+    first and last purchase, order count, revenue sum.  The customer grain,
+    the cohorts and the totals come from it."""
+    return (delivered_orders(fact)
+            .groupBy(ID, month_start("order_purchase_timestamp").alias("order_month"))
+            .agg(F.min("order_purchase_timestamp").alias("first_order_date"),
+                 F.max("order_purchase_timestamp").alias("last_order_date"),
+                 F.count(F.lit(1)).cast("long").alias("frequency"),
+                 F.sum("revenue").alias("monetary")))
+
+
+def customers_of(months: DataFrame) -> DataFrame:
+    """The customer grain from the (customer, month) grain."""
+    return (months.groupBy(ID)
+            .agg(F.min("first_order_date").alias("first_order_date"),
+                 F.max("last_order_date").alias("last_order_date"),
+                 F.sum("frequency").alias("frequency"),
+                 F.sum("monetary").alias("monetary")))
+
+
 def reference_date(customers: DataFrame):
     """The latest delivered purchase overall, as one value (one small job;
     use it on a materialised customer grain)."""

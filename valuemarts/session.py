@@ -6,6 +6,7 @@ caller has.  ``local_session`` is for tests, the bench and command-line use.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,36 +38,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8,
     return spark
 
 
-def _is_local(spark: SparkSession) -> bool:
-    try:
-        master = spark.sparkContext.master
-    except Exception:  # Spark Connect: no SparkContext on the client
-        master = spark.conf.get("spark.master", "")
-    return str(master).startswith("local")
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for reliable checkpoints.
+    """Folder for intermediate tables.
 
-    Uses the session's ``spark.checkpoint.dir`` (or the directory already set
-    on the SparkContext).  Only a local master gets a private temporary folder
-    when neither is set; a cluster must name a shared folder itself, since a
-    machine-local folder does not survive the loss of an executor.
+    The SparkContext's checkpoint folder or the session's
+    ``spark.checkpoint.dir``.  Where neither is set, a session whose tasks run
+    in this very process (``local`` or ``local[n]``, as in tests) gets a
+    private temporary folder; any other master must name a shared folder,
+    since a machine-local one is not seen by other executors.
     """
-    try:
-        current = spark.sparkContext.getCheckpointDir()
-    except Exception:
-        current = None
+    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        try:
-            spark.sparkContext.setCheckpointDir(configured)
-        except Exception:
-            pass
+        spark.sparkContext.setCheckpointDir(configured)
         return configured
-    if not _is_local(spark):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; name a shared folder (HDFS/S3/...) "
             "that all executors can reach")
@@ -96,11 +84,5 @@ def reliable_checkpoint(df, label: str = "table"):
 
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder written by :func:`materialize` (any Hadoop file system)."""
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-    except Exception:
-        import shutil
-        shutil.rmtree(path.removeprefix("file:"), ignore_errors=True)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +13,21 @@ def export_mart(df: DataFrame, out_dir: str, name: str, single_file: bool = True
     """Overwrite ``<out_dir>/<name>`` with the mart; returns its row count.
 
     Marts are aggregated and small, so by default they are written as one
-    file; ``repartition(1)`` (not ``coalesce``) keeps the upstream stages
-    parallel and only moves the final rows.
+    file, in the mart's order if it has one: a sorted mart's partitions follow
+    each other in one task.
     """
     path = f"{out_dir.rstrip('/')}/{name}"
-    (df.repartition(1) if single_file else df).write.mode("overwrite").parquet(path)
+    (df.coalesce(1) if single_file else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path).count()
 
 
-def export_marts(marts: Mapping[str, DataFrame], out_dir: str) -> DataFrame:
-    """Export every mart; returns (mart, rows) for the export log."""
+def export_marts(marts: Mapping[str, DataFrame], out_dir: str, parallel_jobs: int = 4) -> DataFrame:
+    """Export every mart, from a few driver threads; returns (mart, rows) for
+    the export log."""
     spark = next(iter(marts.values())).sparkSession
-    rows = [(name, export_mart(df, out_dir, name)) for name, df in marts.items()]
-    return spark.createDataFrame(rows, "mart string, rows long")
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        counts = list(pool.map(lambda m: export_mart(m[1], out_dir, m[0]), marts.items()))
+    return spark.createDataFrame(list(zip(marts, counts)), "mart string, rows long")
 
 
 def load_mart(spark: SparkSession, out_dir: str, name: str, cache: bool = True) -> DataFrame:
@@ -32,11 +35,16 @@ def load_mart(spark: SparkSession, out_dir: str, name: str, cache: bool = True)
     return df.cache() if cache else df
 
 
+def with_position(mart: DataFrame) -> DataFrame:
+    """Rows of a mart read back from its one file, with their position in it."""
+    return mart.withColumn("position", F.monotonically_increasing_id() + 1)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header row (the dashboard's table download)."""
-    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def ordered(df: DataFrame, *cols) -> DataFrame:
-    """Sort a mart for presentation; marts themselves are unordered."""
-    return df.orderBy(*[F.col(c) if isinstance(c, str) else c for c in cols])
+def ordered(df: DataFrame, *columns: str) -> DataFrame:
+    """Sort a mart by the columns; ``-name`` is descending with NULLs first."""
+    return df.orderBy(*[F.col(c[1:]).desc_nulls_first() if c.startswith("-") else F.col(c).asc_nulls_first() for c in columns])

@@ -1,17 +1,28 @@
-"""CSV → typed, de-duplicated staging Parquet (the reference's loader).
-
-Per table: find ``<stem>.csv`` in the data folder (skip when missing), read
-it with every column as text (so zip prefixes keep their leading zeros),
-coerce the listed timestamp columns (a bad value becomes NULL, a missing
-column is left NULL), cast the other columns to the declared types (a bad
-value fails the load, as the database insert would), keep the first row per
-primary key in file order, and overwrite the table's Parquet folder.  The report lists
-rows read, rows dropped as duplicates and rows written.
+"""CSV → typed, de-duplicated staging Parquet.
+
+Per table: find ``<stem>.csv`` in the data folder (a missing file is recorded
+as skipped), read it with every column as text (so zip prefixes keep their
+leading zeros), read the null tokens as NULL, coerce the listed timestamp
+columns (a bad value becomes NULL), cast the other columns to the declared
+types (a bad value fails the load, as a database insert would), and keep the
+first row per primary key in file order.
+
+A load fails, naming table, column and row count, when the file lacks a key
+or NOT NULL column or when such a column holds a NULL; other absent columns
+are NULL.  Text longer than its VARCHAR(n) is counted, and fails the load too
+unless ``enforce_lengths`` is off.
+
+Each load writes a new version folder and only then records it in the table's
+manifest; readers follow the manifest, so a failed load leaves the table as it
+was.  A table without a manifest was never loaded and cannot be read; one
+recorded as skipped reads as empty.
 """
 
 from __future__ import annotations
 
-import os
+import json
+import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -20,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dedup import keep_first
+from ..session import delete_path
 from .spec import STAGING, TableSpec
 
 REPORT_SCHEMA = T.StructType([
@@ -31,14 +43,23 @@ REPORT_SCHEMA = T.StructType([
 ])
 
 
+# Texts that a CSV field may hold for NULL.
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+class LoadError(ValueError):
+    """A file breaks its table's declared rules."""
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
-    except Exception:
-        return os.path.exists(path)
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
 
 
 def find_csv(spark: SparkSession, data_dir: str, stem: str) -> str | None:
@@ -75,20 +96,30 @@ def with_file_position(raw: DataFrame) -> DataFrame:
                       F.monotonically_increasing_id().alias(POSITION[2]))
 
 
+def check_columns(raw: DataFrame, spec: TableSpec) -> None:
+    """The file must have every key and NOT NULL column."""
+    lacking = [c for c in dict.fromkeys((*spec.pk, *spec.not_null)) if c not in raw.columns]
+    if lacking:
+        raise LoadError(f"{spec.name}: the file has no column {', '.join(lacking)}; it has {', '.join(raw.columns)}")
+
+
 def coerce(raw: DataFrame, spec: TableSpec, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed projection of a text frame onto the table's declared columns
     (plus the ``keep`` columns, unchanged)."""
+    check_columns(raw, spec)
     present = set(raw.columns)
     cols = []
     for c in spec.columns:
         if c.name not in present:
             cols.append(F.lit(None).cast(c.dtype).alias(c.name))
-        elif c.name in spec.timestamp_cols:
-            cols.append(F.trim(F.col(c.name)).try_cast(T.TimestampNTZType()).alias(c.name))
+            continue
+        text = F.when(~F.col(c.name).isin(*NULL_TOKENS), F.col(c.name))
+        if c.name in spec.timestamp_cols:
+            cols.append(F.trim(text).try_cast(T.TimestampNTZType()).alias(c.name))
         elif isinstance(c.dtype, T.StringType):
-            cols.append(F.col(c.name).alias(c.name))
+            cols.append(text.alias(c.name))
         else:
-            cols.append(F.trim(F.col(c.name)).cast(c.dtype).alias(c.name))
+            cols.append(F.trim(text).cast(c.dtype).alias(c.name))
     return raw.select(*cols, *[F.col(k) for k in keep])
 
 
@@ -128,29 +159,94 @@ class LoadResult:
         return (self.table_name, self.status, self.rows_in, dropped, self.rows_out)
 
 
-def load_table(spark: SparkSession, data_dir: str, out_dir: str, spec: TableSpec) -> LoadResult:
+# -- versions and manifests ----------------------------------------------------
+
+def publish(spark: SparkSession, staging_dir: str, table: str, entry: dict) -> None:
+    """Record a table's state.  Manifests are numbered and never replaced; a
+    rename makes the new one visible, and readers take the highest number."""
+    folder = f"{staging_dir.rstrip('/')}/_manifest/{table}"
+    number = max([n for n, _ in _manifests(spark, folder)], default=0) + 1
+    fs, part = _fs(spark, f"{folder}/{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.close()
+    _, final = _fs(spark, f"{folder}/{number:08d}.json")
+    if not fs.rename(part, final):
+        raise LoadError(f"{table}: another load published version {number} meanwhile")
+
+
+def _manifests(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    fs, p = _fs(spark, folder)
+    if not fs.exists(p):
+        return []
+    names = [str(x.getPath().getName()) for x in fs.listStatus(p)]
+    return sorted((int(n[:-5]), f"{folder}/{n}") for n in names if re.fullmatch(r"\d+\.json", n))
+
+
+def manifest(spark: SparkSession, staging_dir: str, table: str) -> dict | None:
+    """The table's recorded state: status (loaded or skipped), path, counts."""
+    found = _manifests(spark, f"{staging_dir.rstrip('/')}/_manifest/{table}")
+    if not found:
+        return None
+    fs, p = _fs(spark, found[-1][1])
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_version(df: DataFrame, staging_dir: str, table: str) -> str:
+    """Write a new version folder of the table; returns its path."""
+    path = f"{staging_dir.rstrip('/')}/{table}/v-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def _broken_rules(spec: TableSpec) -> dict[str, tuple[str, F.Column]]:
+    rules = {f"null_{c}": (f"NULL in {c}", F.col(c).isNull()) for c in dict.fromkeys((*spec.pk, *spec.not_null))}
+    rules |= {f"long_{c.name}": (f"longer than {c.max_length} in {c.name}", F.length(c.name) > c.max_length)
+              for c in spec.columns if c.max_length is not None}
+    return rules
+
+
+def load_table(spark: SparkSession, data_dir: str, out_dir: str, spec: TableSpec,
+               enforce_lengths: bool = True) -> LoadResult:
     path = find_csv(spark, data_dir, spec.csv_stem)
+    before = manifest(spark, out_dir, spec.name)
     if path is None:
+        publish(spark, out_dir, spec.name, {"status": "skipped"})
         return LoadResult(spec.name, "skipped")
     seen = Observation(f"load_{spec.name}")
-    # rows read are counted while the write job runs, not by a second scan
-    raw = read_raw_csv(spark, path, spec).observe(seen, F.count(F.lit(1)).alias("rows_in"))
-    target = f"{out_dir.rstrip('/')}/{spec.name}"
-    # overwrite replaces the folder only after the write job has succeeded
-    stage(raw, spec).write.mode("overwrite").parquet(target)
-    rows_in = seen.get["rows_in"]
-    rows_out = spark.read.parquet(target).count()   # from Parquet footers
-    return LoadResult(spec.name, "loaded", rows_in, rows_out)
-
-
-def load_all(spark: SparkSession, data_dir: str, out_dir: str, parallel_jobs: int = 4) -> DataFrame:
+    rules = _broken_rules(spec)
+    # rows read and broken rules are counted on the typed rows, before
+    # de-duplication, while the write job runs: no second scan
+    raw = read_raw_csv(spark, path, spec)
+    typed = coerce(raw, spec, keep=POSITION).observe(
+        seen, F.count(F.lit(1)).alias("rows_in"), *[F.count(F.when(cond, 1)).alias(k) for k, (_, cond) in rules.items()])
+    rows = (keep_first(typed, spec.pk, list(POSITION)) if spec.pk else typed).drop(*POSITION)
+    version = write_version(rows, out_dir, spec.name)
+    got = seen.get
+    broken = [f"{got[k]} rows {what}" for k, (what, _) in rules.items() if got[k] and (enforce_lengths or k.startswith("null_"))]
+    if broken:
+        delete_path(spark, version)
+        raise LoadError(f"{spec.name}: " + "; ".join(broken))
+    rows_out = spark.read.parquet(version).count()   # from Parquet footers
+    publish(spark, out_dir, spec.name, {"status": "loaded", "path": version, "rows_in": got["rows_in"], "rows_out": rows_out})
+    if before and before["status"] == "loaded":
+        delete_path(spark, before["path"])
+    return LoadResult(spec.name, "loaded", got["rows_in"], rows_out)
+
+
+def load_all(spark: SparkSession, data_dir: str, out_dir: str, parallel_jobs: int = 4,
+             enforce_lengths: bool = True) -> DataFrame:
     """Load every staging table; returns the load report.
 
     The tables are independent jobs, submitted from a few driver threads so
     they share the cluster instead of queueing one after another.
     """
     with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
-        results = list(pool.map(lambda spec: load_table(spark, data_dir, out_dir, spec),
+        results = list(pool.map(lambda spec: load_table(spark, data_dir, out_dir, spec, enforce_lengths),
                                 STAGING.values()))
     return spark.createDataFrame([r.row() for r in results], REPORT_SCHEMA)
 
@@ -163,12 +259,14 @@ class ParquetStaging:
         self.staging_dir = staging_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """The staged table, read with its declared schema (no footer-inference
-        job); a table the load skipped reads as empty."""
-        path = f"{self.staging_dir}/{name}"
-        if not _path_exists(self.spark, path):
+        """The table's current version, read with its declared schema; only a
+        table recorded as skipped reads as empty."""
+        state = manifest(self.spark, self.staging_dir, name)
+        if state is None:
+            raise LoadError(f"{name} was never loaded into {self.staging_dir}")
+        if state["status"] == "skipped":
             return self.spark.createDataFrame([], STAGING[name].schema)
-        return self.spark.read.schema(STAGING[name].schema).parquet(path)
+        return self.spark.read.schema(STAGING[name].schema).parquet(state["path"])
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in STAGING:

@@ -16,13 +16,15 @@ construction here.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.dedup import keep_first
+from ..session import delete_path
+from .ingest import as_csv_text, publish, write_version
 from .spec import STAGING
 
 # Order status codes of the test data → the reference's statuses.
@@ -34,20 +36,6 @@ LINEITEM_ORDER = ("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
-
-
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Read with the file's schema remembered per path: the test tables are
-    read-only, and a known schema spares Spark a footer-reading job per read."""
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
 def _key(prefix: str, c) -> F.Column:
     return F.concat(F.lit(prefix), c.cast("string"))
 
@@ -56,6 +44,15 @@ def _zip(c) -> F.Column:
     return F.lpad(c.cast("string"), 5, "0")
 
 
+def _state(name, key) -> F.Column:
+    """Two letters: the nation's first, then a small one for its key (not "NA", a null token)."""
+    return F.concat(F.substring(name, 1, 1), F.char(F.lit(97) + key))
+
+
+def _category() -> F.Column:
+    return F.concat_ws(" ", "p_type", "p_brand")
+
+
 def _typed(df: DataFrame, table: str) -> DataFrame:
     """Project onto the declared columns, casting only those whose type differs."""
     spec = STAGING[table]
@@ -78,8 +75,12 @@ class TestDataStaging:
         # dedup=False gives the rows as loaded, before keep-first (for PK checks)
         self.dedup = dedup
 
+        self._raw: dict[str, DataFrame] = {}
+
     def raw(self, name: str) -> DataFrame:
-        return read_parquet(self.spark, f"{self.sf_dir}/{name}.parquet")
+        if name not in self._raw:
+            self._raw[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._raw[name]
 
     # -- the nine staging tables --------------------------------------------
 
@@ -92,7 +93,7 @@ class TestDataStaging:
                        _key("c", o.o_custkey).alias("customer_unique_id"),
                        _zip(c.c_nationkey).alias("customer_zip_code_prefix"),
                        c.c_mktsegment.alias("customer_city"),
-                       n.n_name.alias("customer_state")))
+                       _state(n.n_name, c.c_nationkey).alias("customer_state")))
         return _typed(df, "stg_customers")
 
     @cached_property
@@ -165,9 +166,10 @@ class TestDataStaging:
     def stg_products(self) -> DataFrame:
         p = self.raw("part")
         size = F.col("p_size")
-        df = p.select(
+        # every 101st product has no row: its items get no category
+        df = p.where(F.col("p_partkey") % 101 != 0).select(
             _key("p", F.col("p_partkey")).alias("product_id"),
-            F.when(F.col("p_partkey") % 50 != 0, F.col("p_type")).alias("product_category_name"),
+            F.when(F.col("p_partkey") % 50 != 0, _category()).alias("product_category_name"),
             F.length("p_name").alias("product_name_lenght"),
             F.length("p_brand").alias("product_description_lenght"),
             (size % 5).alias("product_photos_qty"),
@@ -184,7 +186,7 @@ class TestDataStaging:
                .select(_key("s", s.s_suppkey).alias("seller_id"),
                        _zip(s.s_nationkey).alias("seller_zip_code_prefix"),
                        s.s_name.alias("seller_city"),
-                       n.n_name.alias("seller_state")))
+                       _state(n.n_name, s.s_nationkey).alias("seller_state")))
         return _typed(df, "stg_sellers")
 
     @cached_property
@@ -194,25 +196,18 @@ class TestDataStaging:
                       F.col("n_nationkey").cast("decimal(10,6)").alias("geolocation_lat"),
                       F.col("n_nationkey").cast("decimal(10,6)").alias("geolocation_lng"),
                       F.col("n_name").alias("geolocation_city"),
-                      F.col("n_name").alias("geolocation_state"))
+                      _state(F.col("n_name"), F.col("n_nationkey")).alias("geolocation_state"))
         return _typed(df, "stg_geolocation")
 
     @cached_property
     def stg_product_category_translation(self) -> DataFrame:
         p = self.raw("part")
         df = (p.where(~F.col("p_type").startswith("PROMO"))
-               .select(F.col("p_type").alias("product_category_name"),
-                       F.lower("p_type").alias("product_category_name_english"))
+               .select(_category().alias("product_category_name"),
+                       F.lower(_category()).alias("product_category_name_english"))
                .distinct())
         return _typed(df, "stg_product_category_translation")
 
-    # -- raw inputs before de-duplication (for the ingest report) -----------
-
-    def before_dedup(self, table: str) -> DataFrame:
-        if table in ("stg_order_items", "stg_order_payments"):
-            return self.raw("lineitem")
-        return getattr(self, table)
-
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
@@ -220,25 +215,43 @@ class TestDataStaging:
         return {name: getattr(self, name) for name in STAGING}
 
 
-def ingest_report(staging: TestDataStaging) -> DataFrame:
-    """Rows read, dropped as duplicate keys and kept, per staging table.
+class FaultyStaging:
+    """The same tables with faults set by rules on the keys, for the quality
+    checks: NULLs in NOT NULL columns, texts beyond their limit and children
+    without a parent."""
 
-    Counts distinct keys instead of running the de-duplication (same number,
-    one aggregate per table).
-    """
-    frames = []
+    def __init__(self, staging: TestDataStaging):
+        self.staging = staging
+
+    def tables(self) -> dict[str, DataFrame]:
+        out = dict(self.staging.tables())
+        number = F.substring("order_id", 2, 18).cast("long")
+        out["stg_customers"] = out["stg_customers"].withColumns({
+            "customer_city": F.when(F.substring("customer_id", 2, 18).cast("long") % 37 != 0, F.col("customer_city")),
+            "customer_state": F.when(F.substring("customer_id", 2, 18).cast("long") % 41 == 0, F.lit("too long"))
+                               .otherwise(F.col("customer_state"))})
+        out["stg_orders"] = out["stg_orders"].withColumn(
+            "customer_id", F.when(number % 43 == 0, F.concat(F.lit("x"), F.col("customer_id"))).otherwise(F.col("customer_id")))
+        out["stg_order_items"] = out["stg_order_items"].withColumns({
+            "price": F.when(number % 47 != 0, F.col("price")),
+            "seller_id": F.when(number % 53 == 0, F.lit("s-none")).otherwise(F.col("seller_id"))})
+        out["stg_sellers"] = out["stg_sellers"].withColumn(
+            "seller_zip_code_prefix", F.when(F.substring("seller_id", 2, 18).cast("long") % 7 == 0, F.lit("00000-00000")).otherwise(F.col("seller_zip_code_prefix")))
+        return out
+
+
+def write_csv(staging: TestDataStaging, folder: str, absent: tuple[str, ...] = ("stg_geolocation",)) -> None:
+    """The tables as CSV files for the loader: item and payment keys repeat as
+    in the input, every 13th order has a malformed approval time, and the
+    ``absent`` tables have no file."""
     for name, spec in STAGING.items():
-        if name in ("stg_order_items", "stg_order_payments"):
-            src, pk = staging.raw("lineitem"), list(LINEITEM_PK)
-        else:
-            src, pk = staging.table(name), list(spec.pk)
-        rows_out = F.count_distinct(*[F.col(c) for c in pk]) if pk else F.count(F.lit(1))
-        agg = src.agg(F.count(F.lit(1)).alias("rows_in"), rows_out.alias("rows_out"))
-        frames.append(agg.select(F.lit(name).alias("table_name"), F.lit("loaded").alias("status"),
-                                 F.col("rows_in").cast("long").alias("rows_in"),
-                                 (F.col("rows_in") - F.col("rows_out")).cast("long").alias("rows_dropped"),
-                                 F.col("rows_out").cast("long").alias("rows_out")))
-    return reduce(lambda a, b: a.unionByName(b), frames)
+        if name in absent:
+            continue
+        text = as_csv_text(staging.table(name))
+        if name == "stg_orders":
+            bad = F.substring("order_id", 2, 18).cast("long") % 13 == 0
+            text = text.withColumn("order_approved_at", F.when(bad, F.lit("13/2017 noon")).otherwise(F.col("order_approved_at")))
+        text.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{spec.csv_stem}.csv")
 
 
 def write_staging(staging: TestDataStaging, out_dir: str, parallel_jobs: int = 4) -> None:
@@ -246,21 +259,22 @@ def write_staging(staging: TestDataStaging, out_dir: str, parallel_jobs: int = 4
     them through ``ingest.ParquetStaging`` instead of re-deriving them.
 
     The de-duplicated lineitem rows feed two tables, so they are written first
-    and both are derived from that copy.  The nine writes are independent
-    jobs and are submitted from a few driver threads so they share the
-    cluster instead of queueing.
+    and both are derived from that copy, which is then deleted.  The nine
+    writes are independent jobs and are submitted from a few driver threads so
+    they share the cluster instead of queueing.
     """
     out = out_dir.rstrip("/")
+    spark = staging.spark
     first = f"{out}/_lineitem_first"
-    staging.lineitem_first.write.mode("overwrite").parquet(first)
-    staging.__dict__["lineitem_first"] = staging.spark.read.schema(
-        staging.lineitem_first.schema).parquet(first)
+    staging.lineitem_first.write.parquet(first)
+    staging.__dict__["lineitem_first"] = spark.read.schema(staging.lineitem_first.schema).parquet(first)
     for cached in ("stg_order_items", "stg_order_payments"):
         staging.__dict__.pop(cached, None)
 
     def write(item):
         name, df = item
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
+        publish(spark, out, name, {"status": "loaded", "path": write_version(df, out, name)})
 
     with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
         list(pool.map(write, staging.tables().items()))
+    delete_path(spark, first)
