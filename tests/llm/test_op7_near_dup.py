@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from valuemarts.llm import near_dup
-from valuemarts.llm.common import flat_utf8
+from valuemarts.llm.common import Scratch, flat_utf8
+from valuemarts.llm.graph import components
 from valuemarts.llm.queries import op7_near_dup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,9 +94,29 @@ def test_sketch_estimates():
     common = [f"c{i}" for i in range(900)]
     a, b = " ".join(common + [f"a{i}" for i in range(50)]), " ".join(common + [f"b{i}" for i in range(50)])
     sets, off = near_dup.shingle_sets(*flat_utf8(pa.array([a, b])), 1)
-    keys, odd = near_dup.sketches(sets, off, 40, 6)
+    keys, odd = near_dup.sketches(sets, off, 16, 3, 240)
     z = sum(bin(int(x) & (2 ** 64 - 1)).count("1") for x in odd[0] ^ odd[1])
     m = near_dup.SKETCH_BITS
     estimate = 1 + m / 2 * np.log(1 - 2 * z / m) / (2 * 240)
     assert abs(estimate - 0.9) < 0.08
     assert (keys[0] == keys[1]).any()
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(240)] + [(i, i + 1) for i in range(1000, 1040)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    want = sorted((n, root(n)) for n in {n for a, b in edges if a != b for n in (a, b)})
+    df = spark.createDataFrame(edges, "x long, y long")
+    with Scratch(spark, "test") as tmp:
+        for size in (10 ** 6, 70):
+            assert sorted(map(tuple, components(df, tmp, size).collect())) == want
+        assert components(df.limit(0), tmp).count() == 0

@@ -3,7 +3,7 @@
 A document's set holds its distinct ``shingle``-word shingles (64-bit
 hashes).  One pass over the texts gives each row its set size, a 128-bit hash
 of the set, ``bands`` band keys of ``rows`` MinHash values each, and an odd
-sketch: the bands * rows MinHash samples folded into a parity bitmap.  The
+sketch: ``samples`` MinHash values folded into a parity bitmap.  The
 population count of the XOR of two such bitmaps estimates how many samples
 differ, hence the similarity, and is most precise where that is high.
 
@@ -11,17 +11,18 @@ Rows of equal sets form a class; only class representatives (the smallest id)
 are compared.  Candidates share a band key.  In a bucket every member is
 first compared with one hub, so a bucket gives as many pairs as members;
 candidates whose odd sketches put them clearly below the threshold
-(``slack``) are dropped, the others are confirmed on the full sets, and
-confirmed links merge into components.  Buckets that still hold several
-components are tried again with other hubs while their open pairs outnumber
-``open_pairs`` times the documents; then all their open pairs between
-different components are compared.  So every pair that shares a bucket is
-either connected or compared, without emitting all pairs of a group of
-copies.
+(``slack``, over six standard errors) are dropped, the others are confirmed
+on the full sets, and confirmed links merge into components.  Buckets that
+still hold several components are tried again with other hubs while their
+open pairs outnumber ``open_pairs`` times the documents; then the members
+outside a bucket's largest component are held against all its members of
+other components, by their sketches, and each pair that may reach the
+threshold is confirmed once.  So every pair that shares a bucket is either
+connected or compared, without emitting all pairs of a group of copies.
 
 Similarity: 100 * |intersection| >= threshold * |union|, threshold in
-percent.  With 40 bands of 6 rows a pair of similarity 0.8 shares no bucket
-with probability 5e-6.
+percent.  With 16 bands of 3 rows a pair of similarity 0.8 shares no bucket
+with probability 1e-5, one of 0.85 with 6e-7.
 
 Edge cases: texts without words (null, empty, blank) have an empty set and
 are linked with nothing; a text with fewer words than ``shingle`` has its
@@ -80,9 +81,9 @@ def _parameters(k: int) -> tuple[np.ndarray, np.ndarray]:
     return (seed[:k] >> U64(32)).astype(np.uint32), (seed[k:] >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def sketches(sets: np.ndarray, off: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def sketches(sets: np.ndarray, off: np.ndarray, bands: int, rows: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
     """(band keys, odd sketch as 64-bit words) of non-empty sets."""
-    n, k = len(off) - 1, bands * rows
+    n, k = len(off) - 1, max(samples, bands * rows)
     mins = np.empty((n, k), dtype=np.uint32)
     x = (sets >> U64(32)).astype(np.uint32)
     xor, mul = _parameters(k)
@@ -108,7 +109,7 @@ def _lists(a: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(a.reshape(-1)))
 
 
-def signatures(docs: DataFrame, shingle: int = 5, bands: int = 40, rows: int = 6, text: str = "text",
+def signatures(docs: DataFrame, shingle: int = 5, bands: int = 16, rows: int = 3, samples: int = 128, text: str = "text",
                key: str = "doc_id") -> DataFrame:
     """(id, n, a, b, bands, odd): set size, set hash, band keys and odd sketch of each row."""
     src = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"))
@@ -127,7 +128,7 @@ def signatures(docs: DataFrame, shingle: int = 5, bands: int = 40, rows: int = 6
                 head = cut[:-1][full]
                 a[i + full] = np.add.reduceat(mix64(sets), head).view(np.int64)
                 b[i + full] = np.add.reduceat(mix64(sets ^ _M), head).view(np.int64)
-                k, o = sketches(sets, np.append(head, len(sets)), bands, rows)
+                k, o = sketches(sets, np.append(head, len(sets)), bands, rows, samples)
                 keys.append(k)
                 odd.append(o)
         some = np.flatnonzero(n)
@@ -151,12 +152,12 @@ def full_sets(docs: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
     return arrow_map(docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")), run, "id bigint, set binary")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int, text: str, key: str) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int, text: str, key: str, tmp: Scratch, turn: int) -> DataFrame:
     """The pairs (x, y) whose full sets reach the threshold."""
-    ids = pairs.select(F.col("x").alias("__id")).union(pairs.select(F.col("y").alias("__id"))).distinct()
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("__id")).distinct()
     if pairs.count() <= MOST_BROADCAST_PAIRS:       # at most twice as many ids; beyond it Spark chooses the join
         ids = F.broadcast(ids)
-    sets = full_sets(docs.join(ids, F.col(f"`{key}`") == F.col("__id"), "left_semi"), shingle, text, key)
+    sets = tmp.write(full_sets(docs.join(ids, F.col(f"`{key}`") == F.col("__id"), "left_semi"), shingle, text, key), f"sets{turn}")
     both = (pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("sx")), "x")
             .join(sets.select(F.col("id").alias("y"), F.col("set").alias("sy")), "y").select("x", "y", "sx", "sy"))
 
@@ -173,7 +174,7 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int, tex
             ok.append(100 * common >= threshold * (len(u) + len(v) - common))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return arrow_map(both, run, "x bigint, y bigint").distinct()
+    return arrow_map(both, run, "x bigint, y bigint")
 
 
 def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, slack: float) -> Column:
@@ -184,63 +185,61 @@ def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, sla
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * threshold) & (z <= float(most))
 
 
-def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 40, rows: int = 6, slack: float = 0.22,
-           open_pairs: int = 32, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 16, rows: int = 3, samples: int = 128,
+           slack: float = 0.22, open_pairs: int = 32, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, kept."""
-    spark, samples = docs.sparkSession, bands * rows
+    spark, samples = docs.sparkSession, max(samples, bands * rows)
     with Scratch(spark, "near-dup") as tmp:
-        sig = tmp.write(signatures(docs, shingle, bands, rows, text, key), "signatures")
+        sig = tmp.write(signatures(docs, shingle, bands, rows, samples, text, key), "signatures")
         linked = sig.where("n > 0 and id is not null")
         reps = tmp.write(linked.groupBy("a", "b", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"),
                                                            F.first("odd").alias("odd")), "classes")
-        same = linked.select("id", "a", "b", "n").join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"]).select("id", "rep")
-        # an id with several texts ties their classes together
-        several = same.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
-        versions = same.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("x"), F.col("rep").alias("y"))
+        links, tested, comp, n_reps = _versions(linked, reps), None, None, reps.count()
         member = reps.select("rep", F.explode("bands").alias("bucket"))
-        shared = member.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
-        member = tmp.write(member.join(shared, "bucket").select("bucket", "rep", "c"), "buckets")
-        look = reps.groupBy("rep").agg(F.collect_list(F.struct("n", "odd")).alias("s"))    # one unless an id repeats
-        n_reps = reps.count()
-        links, tested, comp = versions, None, None
+        shared = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1")
+        member = tmp.write(member.join(shared, "bucket"), "buckets")
+
+        def looks(side: str, *more: str) -> DataFrame:
+            return reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"o{side}"), *[F.col(m).alias(f"{m}{side}") for m in more])
+
+        def close() -> Column:
+            return _close("nx", "ny", "ox", "oy", samples, threshold, slack)
+
         for turn in range(max_rounds + 1):
+            last = False
             if turn == 0:
-                live, last = member.withColumn("comp", F.col("rep")), False
+                stars = member.where("rep <> hub")
             else:
                 known = comp.select(F.col("node").alias("rep"), F.col("component"))
                 live = (member.where("c > 2").join(known, "rep", "left")
                         .select("bucket", "rep", F.coalesce("component", "rep").alias("comp")))
                 # open pairs of a bucket: its pairs without those inside one component
                 mixed = (live.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
-                         .agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("open > 0"))
-                mixed = tmp.write(mixed, f"mixed{turn}")
-                live = tmp.write(live.join(mixed.select("bucket"), "bucket"), f"open{turn}")
-                left = mixed.agg(F.sum("open")).head()[0]
+                         .agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.max_by("comp", "c").alias("most"))
+                         .where("open > 0"))
+                live = tmp.write(live.join(mixed, "bucket"), f"open{turn}")
+                left = live.groupBy("bucket").agg(F.first("open").alias("open")).agg(F.sum("open")).head()[0]
                 if not left:
                     break
                 last = turn == max_rounds or left <= open_pairs * n_reps
+                if not last:
+                    hub = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("h"))
+                    stars = live.join(hub, "bucket").where("comp <> h.comp").select("rep", F.col("h.rep").alias("hub"))
             if last:
-                other = live.select("bucket", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-                side = live.select("bucket", F.col("rep").alias("x"), "comp")
-                side = side.join(_looks(look, "x"), "x")
-                other = other.join(_looks(look, "y"), "y")
-                pairs = (side.join(other, (side["bucket"] == other["bucket"]) & (F.col("x") < F.col("y")) & (F.col("comp") != F.col("cy"))
-                                   & _close("nx", "ny", "ox", "oy", samples, threshold, slack)).select("x", "y").distinct())
+                few = live.where("comp <> most").select("bucket", F.col("rep").alias("x"), "comp").join(looks("x", "bands"), "x")
+                every = live.select(F.col("bucket").alias("__b"), F.col("rep").alias("y"), F.col("comp").alias("cy")).join(looks("y", "bands"), "y")
+                # a pair is taken in the first bucket that it shares
+                pairs = few.join(every, (F.col("bucket") == F.col("__b")) & (F.col("comp") != F.col("cy")) & close()
+                                 & (F.array_intersect("bandsx", "bandsy")[0] == F.col("bucket")))
+                pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
             else:
-                hub = live.groupBy("bucket").agg(F.min("rep").alias("hub") if turn == 0 else
-                                                 F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep"))["rep"].alias("hub"))
-                stars = live.join(hub, "bucket").where("rep <> hub")
-                if turn:
-                    hubs = comp.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
-                    stars = stars.join(hubs, "hub", "left").where(F.col("comp") != F.coalesce("hc", "hub"))
                 pairs = stars.select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
-                pairs = (pairs.join(_looks(look, "x"), "x").join(_looks(look, "y"), "y")
-                         .where(_close("nx", "ny", "ox", "oy", samples, threshold, slack)).select("x", "y").distinct())
+                pairs = pairs.join(looks("x"), "x").join(looks("y"), "y").where(close()).select("x", "y").distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["x", "y"], "left_anti")
             pairs = tmp.write(pairs, f"pairs{turn}")
             tested = pairs if tested is None else tested.union(pairs)
-            links = tmp.write(links.union(similar(pairs, docs, shingle, threshold, text, key)), f"links{turn}")
+            links = tmp.write(links.union(similar(pairs, docs, shingle, threshold, text, key, tmp, turn)), f"links{turn}")
             comp = tmp.write(components(links, tmp), f"components{turn}")
             if last:
                 break
@@ -252,6 +251,11 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
         return tmp.write(out, "groups", keep=True)
 
 
-def _looks(look: DataFrame, side: str) -> DataFrame:
-    s = look.select(F.col("rep").alias(side), F.explode("s").alias("s"))
-    return s.select(side, F.col("s.n").alias(f"n{side}"), F.col("s.odd").alias(f"o{side}"))
+def _versions(linked: DataFrame, reps: DataFrame) -> DataFrame:
+    """(x, y): an id with several texts ties their classes together."""
+    several = (linked.groupBy("id").agg(F.min("a").alias("p"), F.max("a").alias("q"), F.min("b").alias("r"), F.max("b").alias("s"))
+               .where("p <> q or r <> s").select("id"))
+    if not several.head(1):
+        return linked.sparkSession.createDataFrame([], "x bigint, y bigint")
+    return (linked.select("id", "a", "b", "n").join(several, "id", "left_semi").join(reps.select("a", "b", "n", "rep"), ["a", "b", "n"])
+            .select(F.col("id").alias("x"), F.col("rep").alias("y")))
