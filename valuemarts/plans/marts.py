@@ -175,7 +175,7 @@ class Marts:
 
     @cached_property
     def category_revenue_delivery(self):
-        return risk.category_revenue_delivery(self.fact_order_items, self.fact_orders,
+        return risk.category_revenue_delivery(self.stg("stg_order_items"), self.dim_products, self.fact_orders,
                                               self.stg("stg_order_reviews"))
 
     @cached_property

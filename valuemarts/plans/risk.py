@@ -121,10 +121,12 @@ def delivery_delay_by_seller_state(fact: DataFrame, stg_order_items: DataFrame,
     items × reviews per order as in the reference."""
     fo = (delivered_orders(fact).where(F.col("delivery_delay_days").isNotNull())
           .select("order_id", "delivery_delay_days"))
-    items = (stg_order_items.select("order_id", "seller_id")
+    # only items of these orders go on; partitioned by order, they need no
+    # further shuffle where the sellers are small enough to broadcast
+    items = (stg_order_items.select("order_id", "seller_id").join(fo, "order_id")
              .join(stg_sellers.select("seller_id", "seller_state"), "seller_id")
-             .groupBy("order_id", "seller_state").agg(F.count(F.lit(1)).alias("n_items")))
-    x = _with_reviews(fo.join(items, "order_id"), stg_order_reviews)
+             .groupBy("order_id", "seller_state", "delivery_delay_days").agg(F.count(F.lit(1)).alias("n_items")))
+    x = _with_reviews(items, stg_order_reviews)
     rows = F.col("n_items") * F.col("w")
     g = x.groupBy("seller_state").agg(
         F.count(F.lit(1)).alias("delivered_order_count"),  # one row per (order, state)
@@ -170,14 +172,16 @@ def segment_delivery_experience(segments: DataFrame, fact: DataFrame,
         ratio_round(F.col("_late") * 100, "_rows", 2).alias("late_delivery_pct"))
 
 
-def category_revenue_delivery(items_fact: DataFrame, fact: DataFrame,
+def category_revenue_delivery(stg_order_items: DataFrame, dim_prod: DataFrame, fact: DataFrame,
                               stg_order_reviews: DataFrame) -> DataFrame:
     """Per category (NULL is a group) over delivered orders; order revenue
     repeats once per item × review, as in the reference."""
     fo = delivered_orders(fact).select("order_id", "revenue", "delivery_delay_days")
-    items = (items_fact.groupBy("order_id", "category_en")
-             .agg(F.count(F.lit(1)).alias("n_items")))
-    x = _with_reviews(fo.join(items, "order_id"), stg_order_reviews)
+    # only items of delivered orders meet the products
+    items = (stg_order_items.select("order_id", "product_id").join(fo, "order_id")
+             .join(dim_prod.select("product_id", "category_en"), "product_id", "left")
+             .groupBy("order_id", "category_en", "revenue", "delivery_delay_days").agg(F.count(F.lit(1)).alias("n_items")))
+    x = _with_reviews(items, stg_order_reviews)
     rows = F.col("n_items") * F.col("w")
     known = F.col("delivery_delay_days").isNotNull()
     g = x.groupBy("category_en").agg(
