@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuemarts.llm.bpe import encode_with, read_tokenizer
-from valuemarts.llm.common import Scratch, arrow_map, strings
+from valuemarts.llm.common import Scratch, arrow_map, chunks, strings
 from valuemarts.llm.huffman import Decoder, canonical, code_lengths, pack
 from valuemarts.llm.pretoken import TokenCache
 
@@ -99,7 +99,7 @@ def _ids_of(col: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of a column of id bytes."""
     parts = col.to_pylist()
     w = np.dtype(dtype).itemsize
-    return np.frombuffer(b"".join(parts), dtype=dtype).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) // w for x in parts])]).astype(np.int64)
+    return np.frombuffer(b"".join(parts), dtype=dtype).astype(np.int32), np.concatenate([[0], np.cumsum([len(x) // w for x in parts])]).astype(np.int64)
 
 
 def counts_of(ids: DataFrame, size: int, dtype: str) -> np.ndarray:
@@ -142,7 +142,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, max_
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             codes, sizes, at = shared.value
             flat, off = _ids_of(b.column(2), dtype)
-            data, checks = pack(flat, off, codes, sizes, STEP)
+            data, checks = [], []
+            for i, j in chunks(off):                 # bounded working memory
+                d, c = pack(flat[off[i]:off[j]], off[i:j + 1] - off[i], codes, sizes, STEP)
+                data += d
+                checks += c
             file = np.searchsorted(at, b.column(0).fill_null(-(1 << 63)).to_numpy(), side="right")
             lens = np.concatenate([[0], np.cumsum([len(c) for c in checks])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
