@@ -246,7 +246,7 @@ def find(items: Items, texts: list[str], size: int = 1 << 19, group: int = 256)
     return found
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, q: int = 12, edits: float = 0.05, least_shared: int = 12,
+def matches(docs: DataFrame, benchmark: DataFrame, q: int = 12, edits: float = 0.08, least_shared: int = 12,
             part_words: int = 0, block_chars: int = 1 << 22, text: str = "text", key: str = "doc_id",
             item_text: str = "text", item_key: str = "item_id") -> DataFrame:
     """One row per match: id, item_id, start, end, edits, shared_qgrams."""
