@@ -11,13 +11,14 @@ Rows of equal sets form a class; only class representatives (the smallest id)
 are compared.  Candidates share a band key.  In a bucket every member is
 first compared with one hub, so a bucket gives as many pairs as members;
 candidates whose odd sketches put them clearly below the threshold
-(``slack``, over six standard errors) are dropped, the others are confirmed
+(``slack``, about six standard errors of the samples) are dropped, the others are confirmed
 on the full sets, and confirmed links merge into components.  Buckets that
 still hold several components are tried again with other hubs while their
 open pairs outnumber ``open_pairs`` times the documents; then the members
 outside a bucket's largest component are held against all its members of
-other components, by their sketches, and each pair that may reach the
-threshold is confirmed once.  So every pair that shares a bucket is either
+other components, by their sketches: first the pairs that the sketches call
+similar are confirmed and merged, then each pair still open that may reach
+the threshold.  So every pair that shares a bucket is either
 connected or compared, without emitting all pairs of a group of copies.
 
 Similarity: 100 * |intersection| >= threshold * |union|, threshold in
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from valuemarts.llm.common import U64, Scratch, arrow_map, ascii_words, chunks, flat_utf8, mix64, span_hash
 from valuemarts.llm.graph import components
 
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 MOST_BROADCAST_PAIRS = 1_000_000
 _M = U64(0x9FB21C651E98DF25)
 
@@ -109,7 +110,7 @@ def _lists(a: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(a.reshape(-1)))
 
 
-def signatures(docs: DataFrame, shingle: int = 5, bands: int = 16, rows: int = 3, samples: int = 128, text: str = "text",
+def signatures(docs: DataFrame, shingle: int = 5, bands: int = 16, rows: int = 3, samples: int = 256, text: str = "text",
                key: str = "doc_id") -> DataFrame:
     """(id, n, a, b, bands, odd): set size, set hash, band keys and odd sketch of each row."""
     src = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"))
@@ -185,8 +186,8 @@ def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, sla
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * threshold) & (z <= float(most))
 
 
-def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 16, rows: int = 3, samples: int = 128,
-           slack: float = 0.22, open_pairs: int = 32, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 16, rows: int = 3, samples: int = 256,
+           slack: float = 0.15, open_pairs: int = 2000, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, kept."""
     spark, samples = docs.sparkSession, max(samples, bands * rows)
     with Scratch(spark, "near-dup") as tmp:
@@ -202,11 +203,12 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
         def looks(side: str, *more: str) -> DataFrame:
             return reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"o{side}"), *[F.col(m).alias(f"{m}{side}") for m in more])
 
-        def close() -> Column:
+        def close(slack: float) -> Column:
             return _close("nx", "ny", "ox", "oy", samples, threshold, slack)
 
-        for turn in range(max_rounds + 1):
-            last = False
+        sure = False                                   # the likely links among the open pairs are done
+        for turn in range(max_rounds + 3):
+            last = every_pair = False
             if turn == 0:
                 stars = member.where("rep <> hub")
             else:
@@ -221,20 +223,23 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
                 left = live.groupBy("bucket").agg(F.first("open").alias("open")).agg(F.sum("open")).head()[0]
                 if not left:
                     break
-                last = turn == max_rounds or left <= open_pairs * n_reps
-                if not last:
+                every_pair = sure or turn > max_rounds or left <= open_pairs * n_reps
+                last = sure or left <= n_reps
+                if not every_pair:
                     hub = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("h"))
                     stars = live.join(hub, "bucket").where("comp <> h.comp").select("rep", F.col("h.rep").alias("hub"))
-            if last:
+            if every_pair:
+                # the pairs that the sketches call similar first: most merge, and few are left for the rest
+                sure = True
                 few = live.where("comp <> most").select("bucket", F.col("rep").alias("x"), "comp").join(looks("x", "bands"), "x")
                 every = live.select(F.col("bucket").alias("__b"), F.col("rep").alias("y"), F.col("comp").alias("cy")).join(looks("y", "bands"), "y")
                 # a pair is taken in the first bucket that it shares
-                pairs = few.join(every, (F.col("bucket") == F.col("__b")) & (F.col("comp") != F.col("cy")) & close()
+                pairs = few.join(every, (F.col("bucket") == F.col("__b")) & (F.col("comp") != F.col("cy")) & close(slack if last else 0.02)
                                  & (F.array_intersect("bandsx", "bandsy")[0] == F.col("bucket")))
                 pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
             else:
                 pairs = stars.select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
-                pairs = pairs.join(looks("x"), "x").join(looks("y"), "y").where(close()).select("x", "y").distinct()
+                pairs = pairs.join(looks("x"), "x").join(looks("y"), "y").where(close(slack)).select("x", "y").distinct()
             if tested is not None:
                 pairs = pairs.join(tested, ["x", "y"], "left_anti")
             pairs = tmp.write(pairs, f"pairs{turn}")
