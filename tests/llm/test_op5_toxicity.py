@@ -35,6 +35,29 @@ def test_pairs_are_learned():
     assert s[0] > 0.7 and s[1:].max() < 0.5
 
 
+def test_pair_with_a_word_that_tells_nothing_alone():
+    rng = np.random.default_rng(0)
+    texts, y = [], []
+    for _ in range(3000):                       # rat is toxic with folk, vile without it; folk is as common in clean texts
+        word, folk = rng.choice(["rat", "vile", ""], p=[0.3, 0.3, 0.4]), rng.random() < 0.5
+        texts.append(" ".join([word] + ["folk"] * folk + [f"w{chr(97 + rng.integers(25))}x" for _ in range(6)]))
+        y.append(float(folk if word == "rat" else word == "vile" and not folk))
+    idx, off = toxicity.term_sets(pa.array(texts))
+    y = np.array(y)
+    has = np.array(["folk" in t for t in texts])
+    assert abs(y[has].mean() - y[~has].mean()) < 4 * np.sqrt(y.var() * 4 / len(y))       # no effect of its own
+    m = toxicity.train(idx, off, y, np.ones(len(y)), rounds=200)
+    s = m.score(*toxicity.term_sets(pa.array([f"{t} wax wbx wcx wdx wex wfx" for t in ("rat folk", "rat", "folk", "vile folk", "vile", "")])))
+    assert min(s[0], s[4]) > 0.7 and max(s[1], s[2], s[3], s[5]) < 0.3
+
+
+def test_factors_count_without_a_linear_weight():
+    idx, off = toxicity.term_sets(pa.array(["rat folk"]))
+    table = np.zeros((1 << toxicity.BITS, 1 + toxicity.FACTORS), dtype=np.float32)
+    table[idx, 1:] = 1
+    assert abs(toxicity.FactorMachine(0.0, table).logits(idx, off)[0] - toxicity.FACTORS) < 1e-6
+
+
 def test_brute_force_logits():
     rng = np.random.default_rng(1)
     table = rng.normal(0, 0.3, (1 << toxicity.BITS, 1 + toxicity.FACTORS)).astype(np.float32)

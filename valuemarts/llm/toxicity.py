@@ -6,9 +6,12 @@ the pair term raises texts where, say, an insult meets a group mention.
 Weights are learned on the driver from a bounded sample of labelled rows
 (``max_positive`` and ``max_negative`` rows, chosen by a hash of the id);
 the sampling rates are undone by weights, so the score is a probability.
-Terms seen in fewer than ``min_rows`` sampled rows, or whose share of toxic
-rows differs from the rest by fewer than ``min_z`` standard errors, and terms
-whose linear weight is shrunk to zero, carry nothing.
+Terms seen in fewer than ``min_rows`` sampled rows carry nothing; all others
+are learned.  A term whose share of toxic rows differs from the rest by fewer
+than ``min_z`` standard errors, such as a group mention as common in clean
+texts, keeps a linear weight or factors only where their gradients, given all
+other terms, reach ``min_z`` standard errors; it may have factors without a
+linear weight.
 
 Edge cases: null and empty texts score sigmoid(w0); a document with several
 labels is toxic if one says so; null labels and null ids teach nothing; with
@@ -77,10 +80,7 @@ class FactorMachine:
     table: np.ndarray            # buckets x (linear weight, factors)
 
     def logits(self, idx: np.ndarray, off: np.ndarray) -> np.ndarray:
-        hot = np.flatnonzero(self.table[:, 0] != 0)
-        slot = np.zeros(len(self.table), dtype=bool)
-        slot[hot] = True
-        use = slot[idx]                            # terms without weight add nothing
+        use = (self.table != 0).any(axis=1)[idx]   # terms without weight and factors add nothing
         cut = np.concatenate([[0], np.cumsum(use)])[off]
         rows = self.table[idx[use]]
         s = _sums(rows, cut)
@@ -92,18 +92,20 @@ class FactorMachine:
 
 def train(idx: np.ndarray, off: np.ndarray, y: np.ndarray, weight: np.ndarray, min_rows: int = 5, min_z: float = 4.0,
           rounds: int = 80, batch: int = 1000, rate: float = 0.2, shrink: float = 2e-5, seed: int = 1) -> FactorMachine:
-    """Minibatch AdaGrad on the weighted logistic loss over the terms that
-    tell the classes apart, with a proximal (soft-threshold) step on the
-    linear weights and decay of the factors."""
+    """Minibatch AdaGrad on the weighted logistic loss over the frequent
+    terms, with a proximal (soft-threshold) step on the linear weights and
+    decay of the factors; terms that alone don't tell the classes apart have
+    wider thresholds, on their factors as a group too."""
     rng = np.random.default_rng(seed)
     df = np.bincount(idx, minlength=1 << BITS)
     toxic = np.bincount(idx, weights=np.repeat(y, np.diff(off)), minlength=1 << BITS)
     p = y.mean()
     z = (toxic - df * p) / np.sqrt(np.maximum(df * p * (1 - p), 1e-9))
-    ok = ((df >= min_rows) & (np.abs(z) >= min_z))[idx]
+    ok = (df >= min_rows)[idx]
     off, idx = np.concatenate([[0], np.cumsum(ok)])[off], idx[ok]
     cols, idx = np.unique(idx, return_inverse=True)
     m = len(cols)
+    weak = np.abs(z[cols]) < min_z
     w = np.zeros((m, 1 + FACTORS))
     w[:, 1:] = rng.normal(0, 0.02, (m, FACTORS))
     grad2 = np.full((m, 1 + FACTORS), 1e-3)
@@ -132,11 +134,16 @@ def train(idx: np.ndarray, off: np.ndarray, y: np.ndarray, weight: np.ndarray, m
             grad2 += g * g
             step = rate / np.sqrt(grad2)
             w -= step * g
-            w[:, 0] = np.sign(w[:, 0]) * np.maximum(np.abs(w[:, 0]) - step[:, 0] * shrink, 0)
+            # standard errors of the gradients over the whole sample
+            scale = min_z * np.sqrt(len(rows) / len(y)) / weight[rows].sum()
+            error = scale * np.sqrt(np.bincount(f, weights=each * each, minlength=m))
+            w[:, 0] = np.sign(w[:, 0]) * np.maximum(np.abs(w[:, 0]) - step[:, 0] * np.where(weak, np.maximum(error, shrink), shrink), 0)
+            error = scale * np.sqrt(np.bincount(f, weights=each * each * (total * total).sum(axis=1), minlength=m))
+            size = np.sqrt((w[:, 1:] ** 2).sum(axis=1))
+            w[:, 1:] *= np.where(weak, np.maximum(1 - step[:, 1:].mean(axis=1) * error / np.maximum(size, 1e-12), 0), 1)[:, None]
             gb = e.sum() / weight[rows].sum()
             bias2 += gb * gb
             bias -= rate * gb / np.sqrt(bias2)
-    w[w[:, 0] == 0] = 0
     table = np.zeros((1 << BITS, 1 + FACTORS), dtype=np.float32)
     table[cols] = w
     return FactorMachine(float(bias), table)
