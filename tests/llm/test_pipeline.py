@@ -85,3 +85,13 @@ def test_edges(spark):
     empty = docs.sparkSession.createDataFrame([], "doc_id long, text string, lang string, source string")
     for _, f in cp.STAGES:
         assert f(spark, empty, SF).count() == 0
+
+
+def test_decontaminate_decides_per_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").head().text
+    clean = "nothing of the sort stands here"
+    rows = [(None, clean), (None, f"here: {item} yes"), (7, clean), (7, item), (None, None), (8, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source")
+    got = cp.decontaminate(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, clean), (7, clean), (None, None)], key=str)
