@@ -11,7 +11,8 @@ session's checkpoint folder and gives it to the next stage.
 * line_dedup cuts cross-site boilerplate lines; every document stays.
 * near_dedup keeps one document of each group of near-duplicates (five-word
   shingles, similarity 0.8): the one with the smallest id, and one row of it.
-* decontaminate drops rows whose text holds a benchmark item.
+* decontaminate drops rows whose text holds a benchmark item or a passage of
+  one.
 * bpe adds n_tokens, ids_sha256 and decoded_sha256.
 
 Edge cases: rows with null ids pass through near_dedup, as nothing names
@@ -62,7 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a row's text alone decides, so rows with null or repeated ids stand for themselves
     keyed = docs.withColumn("__text_key", F.sha2(F.col("text").cast("string"), 256))
-    hits = decontam.matches(keyed, table(spark, sf_dir, "benchmark"), key="__text_key")
+    hits = decontam.matches(keyed, table(spark, sf_dir, "benchmark"), part_words=decontam.PASSAGE_WORDS, key="__text_key")
     hits = hits.select(F.col("id").alias("__hit")).distinct()
     return keyed.join(hits, F.col("__text_key") == F.col("__hit"), "left_anti").select(*_names(docs))
 

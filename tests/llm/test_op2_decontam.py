@@ -97,3 +97,35 @@ def test_parts_of_long_items():
     assert len(idx.texts) == 7
     got = decontam.find(idx, ["zz " + " ".join(words[28:64]) + " yy", " ".join(reversed(words))])
     assert {g[0] for g in got} == {0} and isinstance(got[0][2], int) and np.all(idx.bound >= 12)
+
+
+def test_passages_and_short_items(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    item, other = [word() for _ in range(59)], [[word() for _ in range(300)] for _ in range(8)]
+    say = lambda k, x: " ".join(other[k][:100] + x + other[k][100:])
+    docs = [(0, say(0, item)), (1, say(1, item[:40])), (2, say(2, item[25:45])), (3, say(3, item[30:36])), (4, say(4, [])),
+            (5, "What is two-plus TWO?"), (6, "that is two plus two."), (7, "what is two plus twofold"), (8, "Is what is two plus two what? What is\ttwo plus two")]
+    bench = [(1, " ".join(item)), (2, "what is two plus two"), (3, "?!")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    got = decontam.matches(d, b, part_words=decontam.PASSAGE_WORDS).collect()
+    assert sorted((r.id, r.item_id) for r in got) == [(0, 1), (1, 1), (2, 1), (5, 2), (8, 2), (8, 2)]
+    text = dict(docs)
+    for r in got:
+        part = folded(text[r.id][r.start:r.end])
+        if r.item_id == 2:
+            assert part == "what is two plus two" and r.edits == 0
+        elif r.id == 0:
+            assert part == " ".join(item) and r.edits == 0
+        else:                                   # a part may reach beyond the passage by its edits
+            assert len(part.split()) >= (30 if r.id == 1 else 13) and r.edits <= 0.08 * len(part)
+            assert best_part(part, " ".join(item)) <= 2 * r.edits
+    short = sorted((r.id, r.item_id) for r in decontam.matches(d, b).collect())         # without parts
+    assert short == [(0, 1), (5, 2), (8, 2), (8, 2)]
+
+
+def test_bands_follow_each_item():
+    items = [" ".join(f"word{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"), "one two three four five six seven eight"]
+    idx = decontam.index_items([1, 2], items, 12, 0.08, 12, 0)
+    assert (idx.width == idx.budget + 1).all() and idx.width[0] > 10 * idx.width[1]

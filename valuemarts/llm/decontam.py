@@ -6,20 +6,25 @@ of a document if their edit distance is at most e = floor(edits * m).  Such a
 region shares at least m + 1 - q (e + 1) character q-grams with the item, all
 on diagonals at most e apart.  So, for every document: look its q-grams up in
 the items' q-grams, count the shared ones per item and diagonal band (bands
-of width 2w that overlap by half, w > the largest e, so any e + 1 diagonals
-lie in one band), keep bands that reach the bound, and verify each by
-alignment within the band (free start and end in the document).
+of width 2w that overlap by half, w = e + 1 of the item, so any e + 1
+diagonals lie in one band), keep bands that reach the bound, and verify each
+by alignment within the band (free start and end in the document).
 
 The benchmark is a reference set: it is read in blocks of at most
 ``block_chars`` characters, each broadcast and held against all documents, so
 its size is bounded however large the benchmark is.
 
 An item whose bound is below ``least_shared`` (too short, or too many edits
-for its length) uses the largest e that keeps it there; items of fewer than
-q + least_shared - 1 folded characters cannot be told from chance and are
-left out.  ``parts`` also looks for passages of long items: items of more
-than ``part_words`` words count as overlapping parts of that many words, each
-an item of its own.
+for its length) uses the largest e that keeps it there.  Items of fewer than
+q + least_shared - 1 folded characters match exactly, between word ends.
+
+With ``part_words``, a passage of a longer item matches as well: the item's
+overlapping parts of that many words (each begins part_words // 2 words after
+the one before) are searched beside the whole item, each with an e, bound and
+bands of its own, so that every passage of 1.5 times as many words holds one.
+The parts of an item that overlap or touch in a document are one match, with
+the most edits and the fewest shared q-grams among them; parts inside a match
+of the whole item are that match.
 
 Edge cases: null and empty texts and items match nothing; repeated items and
 rows each match; a null item id is reported as null; a null document id too;
@@ -36,10 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from valuemarts.llm.common import U64, arrow_map, mix64, strings
+from valuemarts.llm.common import U64, arrow_map, mix64, span_hash, strings
 from valuemarts.llm.pretoken import LETTER, NUMBER, classes, code_points
 
 TABLE_BITS = 20
+#: words of the parts that the query and the pipeline search
+PASSAGE_WORDS = 13
 
 
 def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,26 +95,39 @@ class Items:
     item: np.ndarray
     pos: np.ndarray
     seen: np.ndarray              # bitmap over hash prefixes
-    width: int                    # w
+    width: np.ndarray             # w of each item
+    whole: np.ndarray             # false for a part of an item
+    owner: np.ndarray             # number of the item in the block
+    all_ids: list                 # ids of the block's items
+    short: dict[int, dict[bytes, list[int]]]     # folded length -> text -> numbers of items too short for q-grams
 
 
-def index_items(ids: list, texts: list[str], q: int, edits: float, least_shared: int, part_words: int) -> Items:
-    own, parts = [], []
-    for i, t in zip(ids, texts):
+def index_items(ids: list, texts: list[str], q: int, edits: float, least_shared: int, part_words: int,
+                with_whole: bool = False) -> Items:
+    own, parts, whole, owner = [], [], [], []
+    short: dict[int, dict[bytes, list[int]]] = {}
+    for n, (i, t) in enumerate(zip(ids, texts)):
         cp, _, _ = fold([t or ""])
         cp = cp[:-1] if len(cp) and cp[-1] == 32 else cp
+        if 0 < len(cp) < least_shared + q - 1:
+            short.setdefault(len(cp), {}).setdefault(cp.astype("<u4").tobytes(), []).append(n)
+            continue
         ends = np.flatnonzero(np.append(cp, np.uint32(32)) == 32)
         if part_words and len(ends) > part_words:
             begins = np.append(0, ends[:-1] + 1)
             step = max(part_words // 2, 1)
             marks = sorted({*range(0, len(ends) - part_words, step), len(ends) - part_words})
             cuts = [cp[begins[a]:ends[a + part_words - 1]] for a in marks]
+            if with_whole:
+                cuts.append(cp)
         else:
             cuts = [cp]
         for c in cuts:
             if len(c) + 1 - q >= least_shared:
                 own.append(i)
                 parts.append(c)
+                whole.append(len(c) == len(cp))
+                owner.append(n)
     m = np.array([len(c) for c in parts], dtype=np.int64)
     e = np.minimum((edits * m).astype(np.int64), np.maximum((m + 1 - least_shared) // q - 1, 0))
     hashes = [grams(c, q) for c in parts]
@@ -117,7 +137,8 @@ def index_items(ids: list, texts: list[str], q: int, edits: float, least_shared:
     order = np.argsort(key, kind="stable")
     seen = np.zeros(1 << TABLE_BITS, dtype=bool)
     seen[(key >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
-    return Items(q, own, parts, e, m + 1 - q * (e + 1), key[order], item[order], pos[order], seen, int(e.max() + 1) if len(e) else 1)
+    return Items(q, own, parts, e, m + 1 - q * (e + 1), key[order], item[order], pos[order], seen, e + 1,
+                 np.array(whole, dtype=bool), np.array(owner, dtype=np.int64), ids, short)
 
 
 def align(items: list[np.ndarray], regions: list[np.ndarray], low: np.ndarray, width: int) -> list[tuple[int, int, int]]:
@@ -165,11 +186,14 @@ def align(items: list[np.ndarray], regions: list[np.ndarray], low: np.ndarray, w
     return out
 
 
-def candidates(items: Items, texts: list[str]) -> list[tuple]:
+def candidates(items: Items, texts: list[str], most: int = 1 << 19) -> list[tuple]:
     """(text, item, shared q-grams, folded region, its positions in the text
-    as given, lowest diagonal in the region) of the bands that reach the bound."""
+    as given, lowest diagonal in the region) of the bands that reach the bound.
+    Texts with more than ``most`` hits in all are taken in halves."""
     cp, off, at = fold(texts)
     q, w = items.q, items.width
+    if not len(items.texts):
+        return []
     h = grams(cp, q)
     hot = np.flatnonzero(items.seen[(h >> U64(64 - TABLE_BITS)).astype(np.int64)])
     lo = np.searchsorted(items.key, h[hot])
@@ -183,11 +207,15 @@ def candidates(items: Items, texts: list[str]) -> list[tuple]:
     if not len(hot):
         return []
     n = np.searchsorted(items.key, h[hot], side="right") - lo
+    if n.sum() > most and len(texts) > 1:
+        half = len(texts) // 2
+        del cp, off, at, h, hot, lo, doc, hit, inside, n
+        return candidates(items, texts[:half], most) + [(c[0] + half, *c[1:]) for c in candidates(items, texts[half:], most)]
     rep = np.repeat(np.arange(len(hot)), n)
     entry = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     # a pair with fewer hits in all than its bound has no band that reaches it
-    pair = doc[rep] * len(items.texts) + items.item[entry]
-    enough = np.bincount(pair)[pair] >= items.bound[items.item[entry]]
+    _, pair, times = np.unique(doc[rep] * len(items.texts) + items.item[entry], return_inverse=True, return_counts=True)
+    enough = times[pair] >= items.bound[items.item[entry]]
     rep, entry = rep[enough], entry[enough]
     if not len(rep):
         return []
@@ -195,7 +223,7 @@ def candidates(items: Items, texts: list[str]) -> list[tuple]:
     diagonal = j - items.pos[entry] + (1 << 40)
     out: dict[tuple[int, int, int], int] = {}
     for shift in (0, 1):                                  # bands 2w wide, overlapping by half
-        band = (diagonal + shift * w) // (2 * w)
+        band = (diagonal + shift * w[item]) // (2 * w[item])
         code = np.stack([doc[rep], item, band], axis=1)
         order = np.lexsort((j, band, item, doc[rep]))
         code, jj = code[order], j[order]
@@ -206,36 +234,48 @@ def candidates(items: Items, texts: list[str]) -> list[tuple]:
         code = code[head]
         enough = shared >= items.bound[code[:, 1]]
         for c, s in zip(code[enough].tolist(), shared[enough].tolist()):
-            out[c[0], c[1], c[2] * 2 * w - shift * w - (1 << 40)] = s
+            out[c[0], c[1], (2 * c[2] - shift) * int(w[c[1]]) - (1 << 40)] = s
     res = []
     for (d, i, first), shared in sorted(out.items()):
         m, e = len(items.texts[i]), int(items.budget[i])
         a = max(first - e, 0)
-        b = min(first + 2 * w + m + e + 1, int(off[d + 1] - off[d]))
-        res.append((d, i, shared, cp[off[d] + a:off[d] + b], at[off[d] + a:off[d] + b], first - e - a))
+        b = min(first + 2 * int(w[i]) + m + e + 1, int(off[d + 1] - off[d]))
+        # copies, so that the chunk's arrays can go
+        res.append((d, i, shared, cp[off[d] + a:off[d] + b].copy(), at[off[d] + a:off[d] + b].astype(np.int32), first - e - a))
     return res
 
 
+def verify(items: Items, todo: list[tuple], group: int) -> list[tuple[int, int, int, int, int, int]]:
+    """The candidates within their items' budgets, aligned."""
+    hits = []
+    todo.sort(key=lambda c: len(items.texts[c[1]]))       # like lengths align together
+    for i in range(0, len(todo), group):
+        part = todo[i:i + group]
+        own = np.array([c[1] for c in part])
+        got = align([items.texts[c[1]] for c in part], [c[3] for c in part], np.array([c[5] for c in part]),
+                    2 * int((items.width[own] + items.budget[own]).max()))
+        for c, (cost, x, y) in zip(part, got):
+            if cost <= items.budget[c[1]] and y > x:
+                hits.append((c[0], c[1], int(c[4][x]), int(c[4][y - 1]) + 1, cost, c[2]))
+    return hits
+
+
 def find(items: Items, texts: list[str], size: int = 1 << 19, group: int = 256) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, start, end, edits, shared q-grams) of every match: the best
     of each run of overlapping regions of one item; start and end are code
     points of the text as given."""
-    todo, i = [], 0
+    hits, todo, held, i = [], [], 0, 0
     while i < len(texts):
         j, total = i, 0
         while j < len(texts) and (j == i or total + len(texts[j]) <= size):
             total += len(texts[j])
             j += 1
-        todo += [(i + c[0], *c[1:]) for c in candidates(items, texts[i:j])]
-        i = j
-    hits = []
-    todo.sort(key=lambda c: len(items.texts[c[1]]))       # like lengths align together
-    for i in range(0, len(todo), group):
-        part = todo[i:i + group]
-        got = align([items.texts[c[1]] for c in part], [c[3] for c in part], np.array([c[5] for c in part]), 2 * items.width + 2 * int(items.budget.max()))
-        for c, (cost, x, y) in zip(part, got):
-            if cost <= items.budget[c[1]] and y > x:
-                hits.append((c[0], c[1], int(c[4][x]), int(c[4][y - 1]) + 1, cost, c[2]))
+        new = [(i + c[0], *c[1:]) for c in candidates(items, texts[i:j])]
+        todo, held, i = todo + new, held + sum(len(c[3]) for c in new), j
+        if held > 4 * size:                               # regions held at a time
+            hits += verify(items, todo, group)
+            todo, held = [], 0
+    hits += verify(items, todo, group)
     found: list[tuple[int, int, int, int, int, int]] = []
     for h in sorted(hits):
         if found and found[-1][:2] == h[:2] and h[2] < found[-1][3]:
@@ -246,6 +286,56 @@ def find(items: Items, texts: list[str], size: int = 1 << 19, group: int = 256)
     return found
 
 
+def find_short(items: Items, texts: list[str], size: int = 1 << 19) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, number of the item, start, end, 0, shared q-grams) of every place
+    between word ends where a short item stands."""
+    res: list[tuple[int, int, int, int, int, int]] = []
+    keys = {m: np.sort(span_hash(np.concatenate([np.frombuffer(t, "<u4") for t in known]), np.arange(len(known)) * m, np.arange(1, len(known) + 1) * m))
+            for m, known in items.short.items()}
+    i = 0
+    while keys and i < len(texts):
+        j, total = i, 0
+        while j < len(texts) and (j == i or total + len(texts[j]) <= size):
+            total += len(texts[j])
+            j += 1
+        cp, off, at = fold(texts[i:j])
+        begin = np.append(True, cp[:-1] == 32) & (cp != 32) if len(cp) else np.zeros(0, bool)
+        begin[off[:-1][off[:-1] < off[1:]]] = True
+        start = np.flatnonzero(begin & (cp != 32))
+        doc = np.searchsorted(off, start, side="right") - 1
+        last = off[doc + 1]
+        for m, key in keys.items():
+            end = start + m
+            ok = (end <= last) & ((end == last) | (cp[np.minimum(end, len(cp) - 1)] == 32))
+            a, d = start[ok], doc[ok]
+            hit = np.isin(span_hash(cp, a, a + m), key)
+            for x, y in zip(a[hit].tolist(), d[hit].tolist()):
+                for n in items.short[m].get(cp[x:x + m].astype("<u4").tobytes(), ()):
+                    res.append((i + y, n, int(at[x]), int(at[x + m - 1]) + 1, 0, max(m + 1 - items.q, 0)))
+        i = j
+    return res
+
+
+def join_parts(items: Items, found: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """The matches of ``find`` with the number of the item instead of its part:
+    whole matches, and runs of parts that lie outside of them."""
+    wholes = sorted((h[0], int(items.owner[h[1]]), *h[2:]) for h in found if items.whole[h[1]])
+    parts = sorted((h[0], int(items.owner[h[1]]), *h[2:]) for h in found if not items.whole[h[1]])
+    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for h in wholes:
+        spans.setdefault(h[:2], []).append((h[2], h[3]))
+    runs: list[tuple[int, int, int, int, int, int]] = []
+    for h in parts:
+        if any(a < h[3] and h[2] < b for a, b in spans.get(h[:2], ())):
+            continue
+        if runs and runs[-1][:2] == h[:2] and h[2] <= runs[-1][3] + 1:
+            r = runs[-1]
+            runs[-1] = (*r[:3], max(r[3], h[3]), max(r[4], h[4]), min(r[5], h[5]))
+        else:
+            runs.append(h)
+    return wholes + runs
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = 12, edits: float = 0.08, least_shared: int = 12,
             part_words: int = 0, block_chars: int = 1 << 22, text: str = "text", key: str = "doc_id",
             item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -259,13 +349,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 12, edits: float = 0
     out = None
     rows = benchmark.select(F.col(f"`{item_key}`").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null")
     for block in _blocks(rows, block_chars):
-        shared = spark.sparkContext.broadcast(index_items([r["i"] for r in block], [r["t"] for r in block], q, edits, least_shared, part_words))
+        shared = spark.sparkContext.broadcast(index_items([r["i"] for r in block], [r["t"] for r in block], q, edits, least_shared, part_words, with_whole=True))
 
         def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             items = shared.value
-            res = find(items, strings(b.column(1)))
+            texts = strings(b.column(1))
+            res = sorted(join_parts(items, find(items, texts)) + find_short(items, texts))
             take = b.column(0).take(pa.array([r[0] for r in res], pa.int64()))
-            cols = [pa.array([items.ids[r[1]] for r in res], b_type)] + [pa.array([r[k] for r in res], pa.int32()) for k in (2, 3, 4, 5)]
+            cols = [pa.array([items.all_ids[r[1]] for r in res], b_type)] + [pa.array([r[k] for r in res], pa.int32()) for k in (2, 3, 4, 5)]
             return pa.RecordBatch.from_arrays([take, *cols], ["id", "item_id", "start", "end", "edits", "shared_qgrams"])
 
         one = arrow_map(src, run, schema)

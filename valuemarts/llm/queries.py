@@ -23,7 +23,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), part_words=decontam.PASSAGE_WORDS)
     return out.withColumnRenamed("id", "doc_id")
 
 
