@@ -66,3 +66,26 @@ def test_hot_cell_is_split(spark):
         e[q] = -np.inf
         best = np.lexsort((np.arange(400), -e))[:5]
         assert [got[q, r] for r in range(1, 6)] == [(int(i), e[i]) for i in best]
+
+
+def test_queries_of_a_part_are_dealt_to_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    run = lambda most: ann.search(df, F.col("id") % 2 == 0, k=5, part_rows=128, block_rows=most)
+    sizes, cogroup = [], type(df.groupBy("vec_id")).cogroup
+
+    def watch(left, right):
+        sizes.append(left.count().toPandas())
+        return cogroup(left, right)
+
+    monkeypatch.setattr(type(df.groupBy("vec_id")), "cogroup", watch)
+    few, whole = sorted(map(tuple, run(32).collect())), sorted(map(tuple, run(10 ** 9).collect()))
+    assert few == whole and len(few) == 300 * 5
+    assert sizes[0]["count"].max() <= 2 * 32 and sizes[1]["count"].max() > 200 and sizes[0]["part"].nunique() == 5
+
+
+def test_block_counts():
+    got = ann.block_counts(np.array([0, 1, 100, 2000]), 2000, 500_000, 8192)
+    assert got.tolist() == [1, 1, 5, 62] and (ann.block_counts(np.array([5]), 5, 8192, 8192) == 1).all()
+    assert len(ann.block_counts(np.zeros(0), 0, 0, 10)) == 0

@@ -19,8 +19,11 @@ Every row is indexed; only codebooks and share see the sample.  The driver
 holds the codebooks and one count per cell.  The inverted lists are dealt to
 parts of about ``part_rows`` vectors by cell, a hot cell split by a hash of
 the id; a query goes once to each part that holds cells it visits, with the
-list of these.  A part ranks its queries in blocks, by matrix products over
-the lists, and returns the best k of each; the best of those are the result.
+list of these.  The queries of a part are dealt to blocks of at most about
+``block_rows`` by a hash, and the part is copied to each of its blocks; how
+many queries visit a part is estimated from above on a sample of them.  A
+block ranks its queries by matrix products over the lists, and returns the
+best k of each; the best of those are the result.
 
 Edge cases: a vector that is null, zero, of another length than the valid
 vector with the smallest id, or holds a null or non-finite component takes no
@@ -119,8 +122,18 @@ def share_needed(index: MultiIndex, x: np.ndarray, k: int, recall: float, trials
     return float(np.quantile(got, recall) / len(x)) if len(got) else 1.0
 
 
+def block_counts(visits: np.ndarray, sampled: int, queries: int, block_rows: int) -> np.ndarray:
+    """Blocks of each part, from how many of ``sampled`` queries visit it: the
+    share is taken three standard errors higher, at most 1."""
+    if queries <= block_rows:
+        return np.ones(len(visits), dtype=np.int64)
+    most = np.minimum((visits + 3 * np.sqrt(visits) + 9) / max(sampled, 1), 1.0) * queries
+    return np.maximum(np.ceil(most / block_rows).astype(np.int64), 1)
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.95, per_cell: int = 16, most_centroids: int = 256,
-           sample: int = 20000, trials: int = 200, part_rows: int = 8192, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+           sample: int = 20000, trials: int = 200, part_rows: int = 8192,
+           block_rows: int = 8192, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every row where
     ``queries`` (on the column ``id``) holds."""
     spark = vectors.sparkSession
@@ -163,6 +176,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
             c = cell.to_numpy()
             return pd.Series(begin[c] + h.to_numpy() % split[c], dtype="int32")
 
+        kinds, most_sampled = "id long, v array<double>, part int, pieces array<int>", 2000
+
         def visits(batches):
             idx, split, begin = full.value
             for b in batches:
@@ -174,10 +189,27 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
                         out.append((i, v, int(p), pieces[pieces % parts == p]))
                 yield pd.DataFrame(out, columns=["id", "v", "part", "pieces"])
 
-        asked = rows.where(queries).mapInPandas(visits, "id long, v array<double>, part int, pieces array<int>")
+        wanted = rows.where(queries)
+        asking = wanted.count()
+        seen, sampled = np.zeros(parts, dtype=np.int64), 0
+        if asking > block_rows:                                  # else one block holds all
+            few = wanted.where(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(scale)) < int(min(1.0, most_sampled / asking) * scale))
+            sampled = few.count()
+            for r in few.mapInPandas(visits, kinds).groupBy("part").count().collect():      # one row a part
+                seen[r["part"]] = r["count"]
+        blocks = spark.sparkContext.broadcast(block_counts(seen, sampled, asking, block_rows))
+
+        @F.pandas_udf("int")
+        def blocks_of(part: pd.Series) -> pd.Series:
+            return pd.Series(blocks.value[part.to_numpy()], dtype="int32")
+
+        asked = wanted.mapInPandas(visits, kinds)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("id", "v", F.lit(11)), blocks_of("part")).cast("int"))
         held = inverted.withColumn("piece", piece_of("cell", F.xxhash64("id").bitwiseAND(F.lit((1 << 62) - 1))))
         held = held.select("id", "v", "piece", F.pmod("piece", F.lit(parts)).alias("part"))
 
+        held = held.withColumn("block", F.explode(F.sequence(F.lit(0), blocks_of("part") - 1)))
+
         def best(key_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             found = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
             if not len(left) or not len(right):
@@ -205,7 +237,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
                     found.append(pd.DataFrame({"query_id": np.full(len(top), own[r]), "vec_id": ids[c[top]], "score": exact[top]}))
             return pd.concat(found)
 
-        found = (asked.groupBy("part").cogroup(held.groupBy("part"))
+        found = (asked.groupBy("part", "block").cogroup(held.groupBy("part", "block"))
                  .applyInPandas(best, "query_id long, vec_id long, score double"))
         # best k of the parts' best k
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
