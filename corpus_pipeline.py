@@ -8,7 +8,8 @@ session's checkpoint folder and gives it to the next stage.
 
 * language_id drops documents without a letter, and those whose best language
   scores below MIN_LANGUAGE_SCORE (no language of the corpus fits).
-* line_dedup cuts cross-site boilerplate lines; every document stays.
+* line_dedup cuts cross-site boilerplate lines wherever they stand; every
+  document stays, and one that has no other line is left whole.
 * near_dedup keeps one document of each group of near-duplicates (five-word
   shingles, similarity 0.8): the one with the smallest id, and one row of it.
 * decontaminate drops rows whose text holds a benchmark item or a passage of
@@ -42,7 +43,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.clean(docs).select(*_names(docs))
+    return line_dedup.clean(docs, max_removed=None).select(*_names(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

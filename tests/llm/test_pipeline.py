@@ -95,3 +95,11 @@ def test_decontaminate_decides_per_row(spark):
     got = cp.decontaminate(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, clean), (7, clean), (None, None)], key=str)
+
+
+def test_boilerplate_goes_from_short_pages(spark):
+    line = "a line that stands on every one of the sites and is longer than the page's own words"
+    rows = [(i, f"{line}\nown {i}\n{line}", f"site{i}") for i in range(12)] + [(20, f"{line}\n\n {line}", "site1"), (21, None, "site1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in cp.dedup_lines(spark, docs, SF).collect()}
+    assert got == {**{i: f"own {i}" for i in range(12)}, 20: rows[12][1], 21: None}

@@ -12,7 +12,9 @@ threshold's registers are settled below.
 A document loses its boilerplate lines unless they make up more than
 ``max_removed`` of its characters: such a document is a copy spread over
 sites, not a page with boilerplate on it, and is left whole for near-duplicate
-removal.  Nothing else of a text changes.
+removal.  With ``max_removed`` None, as in the pipeline, boilerplate goes
+wherever it stands, and only a text without any other line is left whole.
+Nothing else of a text changes.
 
 Edge cases: null and empty texts have no lines and stay as they are; a null
 site counts as no site; repeated rows count one site; ids take no part in the
@@ -71,7 +73,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 4.0, text: s
         return tmp.write(seen.where(F.col("estimate") >= high).select("line").union(exact), "boilerplate", keep=True)
 
 
-def clean(docs: DataFrame, min_sites: int = 10, max_removed: float = 0.5, band: float = 4.0, text: str = "text",
+def clean(docs: DataFrame, min_sites: int = 10, max_removed: float | None = 0.5, band: float = 4.0, text: str = "text",
           site: str = "source") -> DataFrame:
     """``docs`` with the text cleaned, all columns kept, and the columns
     __lines_removed and __chars_removed added."""
@@ -90,7 +92,8 @@ def clean(docs: DataFrame, min_sites: int = 10, max_removed: float = 0.5, band:
     chars = F.aggregate(gone, F.lit(0), lambda a, x: a + F.length(x))
     joined = joined.withColumns({"__n": F.when(F.col("__drop").isNull(), 0).otherwise(F.size(gone)),
                                  "__c": F.when(F.col("__drop").isNull(), 0).otherwise(chars)})
-    cut = (F.col("__n") > 0) & (F.col("__c") <= max_removed * F.length(body))
+    own = F.exists(_lines(body), lambda x: _key(x).isNotNull() & ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)))
+    cut = (F.col("__n") > 0) & (own if max_removed is None else F.col("__c") <= max_removed * F.length(body))
     kept = F.array_join(F.filter(_lines(body), lambda x: ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False))), "\n")
     return joined.select(*[F.when(cut, kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
                          F.when(cut, F.col("__n")).otherwise(0).alias("__lines_removed"),
