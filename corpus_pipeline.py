@@ -14,7 +14,7 @@ session's checkpoint folder and gives it to the next stage.
   shingles, similarity 0.8): the one with the smallest id, and one row of it.
 * decontaminate drops rows whose text holds a benchmark item or a passage of
   one.
-* bpe adds n_tokens, ids_sha256 and decoded_sha256.
+* bpe adds n_tokens, ids_sha256, decoded_sha256 and ids, the token ids.
 
 Edge cases: rows with null ids pass through near_dedup, as nothing names
 them; null texts are dropped by language_id; an empty table gives an empty
@@ -70,7 +70,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(docs, TOKENIZER, ids=False)
+    return bpe.encode_texts(docs, TOKENIZER, keep=tuple(docs.columns))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

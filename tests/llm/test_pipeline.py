@@ -103,3 +103,12 @@ def test_boilerplate_goes_from_short_pages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in cp.dedup_lines(spark, docs, SF).collect()}
     assert got == {**{i: f"own {i}" for i in range(12)}, 20: rows[12][1], 21: None}
+
+
+def test_last_stage_carries_ids_and_columns(spark):
+    docs = spark.createDataFrame([(1, "some text", "en", 1.5), (None, None, None, None)], "doc_id long, text string, lang string, count double")
+    got = cp.tokens(spark, docs, SF)
+    assert got.columns == [*docs.columns, "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert tuple(rows[1])[:4] == (1, "some text", "en", 1.5) and rows[1].ids == LIB.encode("some text", add_special_tokens=False).ids
+    assert tuple(rows[None])[:4] == (None, None, None, None) and rows[None].ids == []
