@@ -3,6 +3,7 @@ flat UTF-8 views of Arrow text columns, word hashing, scratch tables."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,10 +15,8 @@ from pyspark.sql import functions as F
 from valuemarts.session import checkpoint_dir, delete_path
 
 U64 = np.uint64
-#: fixed odd multipliers of the word hash
+#: odd multiplier of the span hash
 _R = 0x9E3779B97F4A7C15
-_R_INV = pow(_R, -1, 1 << 64)
-_POW: dict[int, np.ndarray] = {}
 
 
 def split_of(doc_id: str | Column, parts: int) -> Column:
@@ -92,16 +91,6 @@ def chunks(off: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "n" not in _POW or len(_POW["n"]) < n:  # type: ignore[operator]
-        m = max(n, 1 << 20)
-        for key, r in (("n", _R), ("inv", _R_INV)):
-            p = np.full(m, r, dtype=U64)
-            p[0] = 1
-            _POW[key] = np.cumprod(p, dtype=U64)  # type: ignore[index]
-    return _POW["n"], _POW["inv"]  # type: ignore[index]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> U64(30))
@@ -111,24 +100,48 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_SYMBOL = mix64(np.arange(256, dtype=U64) * U64(0xD1342543DE82EF95) + U64(0x2545F4914F6CDD1D))
+#: bytes of a span that go into one 64-bit lane, and code points (21 bits each)
+_LANE_BYTES, _LANE_POINTS = 8, 3
+_MOST_LANES = 64
+_KEEP_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end) for many spans of one flat array, by
-    prefix sums of a position-weighted code; equal spans hash equally
-    wherever they lie.  ``values`` are bytes or code points."""
-    if len(start) == 0:
+    """64-bit hash of values[start:end) for many spans of one flat array.
+    ``values`` are bytes or code points.  A span is read in lanes of 64 bits,
+    each mixed into the state by a bijection that is not linear, so no texts
+    are known that collide by their structure; spans of more than
+    ``_MOST_LANES`` lanes get a BLAKE2 digest instead."""
+    n = len(start)
+    if n == 0:
         return np.zeros(0, U64)
-    if values.dtype == np.uint8:
-        code = _SYMBOL[values]
+    start, end = np.asarray(start, np.int64), np.asarray(end, np.int64)
+    size = end - start
+    as_bytes = values.dtype == np.uint8
+    width = _LANE_BYTES if as_bytes else _LANE_POINTS
+    h = mix64(size.astype(U64) * U64(0xA24BAED4963EE407) + U64(0x2545F4914F6CDD1D))
+    long = np.flatnonzero(size > width * _MOST_LANES)
+    if as_bytes:
+        padded = np.concatenate([values, np.zeros(8, np.uint8)])
+        lanes = np.ndarray((len(values) + 1,), "<u8", buffer=padded, strides=(1,))
     else:
-        code = mix64(values.astype(U64) * U64(0xD1342543DE82EF95) + U64(0x2545F4914F6CDD1D))
-    p, inv = _powers(len(values) + 1)
-    prefix = np.zeros(len(values) + 1, dtype=U64)
-    np.cumsum(code * p[:len(values)], out=prefix[1:], dtype=U64)
-    h = (prefix[end] - prefix[start]) * inv[start]
-    return mix64(h + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
+        padded = np.concatenate([values, np.zeros(3, values.dtype)]).astype(U64)
+    live = np.flatnonzero((size > 0) & (size <= width * _MOST_LANES))
+    lane = 0
+    while len(live):
+        at, left = start[live] + lane * width, size[live] - lane * width
+        if as_bytes:
+            x = lanes[at] & _KEEP_BYTES[np.minimum(left, 8)]
+        else:
+            x = padded[at]
+            for i in (1, 2):
+                x |= np.where(left > i, padded[at + i], U64(0)) << U64(21 * i)
+        h[live] = mix64((h[live] ^ x) * U64(_R) + U64(lane + 1))
+        lane += 1
+        live = live[left > width]
+    for i in long.tolist():
+        h[i] ^= U64(int.from_bytes(hashlib.blake2b(values[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little"))
+    return h
 
 
 #: lower-cases A-Z only; the separators of ``[^\x20\x09-\x0D]+``

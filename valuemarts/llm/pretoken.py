@@ -94,9 +94,24 @@ def safe_pieces(text: str, size: int) -> list[str]:
 _CUT = regex.compile(r"\p{L}(?= \p{L})")
 
 
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at:at+size) equals b[bt:bt+size), for many spans."""
+    ok = np.ones(len(size), dtype=bool)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live) and k < 32:
+        ok[live] &= a[at[live] + k] == b[bt[live] + k]
+        k += 1
+        live = live[(size[live] > k) & ok[live]]
+    for i in live.tolist():                    # the rest of long spans
+        ok[i] = np.array_equal(a[at[i] + k:at[i] + size[i]], b[bt[i] + k:bt[i] + size[i]])
+    return ok
+
+
 class TokenCache:
     """ids of distinct pre-tokens, in a vectorised open-addressing table that
-    starts afresh beyond ``limit`` entries (bounded memory)."""
+    starts afresh beyond ``limit`` entries (bounded memory).  Entries are found
+    by hash and compared with the pre-token itself; one that only shares its
+    hash with another is encoded by itself."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1 << 19):
         self.encode, self.limit = encode, limit
@@ -108,6 +123,8 @@ class TokenCache:
         self.val = np.full(1 << self.bits, -1, dtype=np.int32)
         self.ids = np.zeros(1 << 16, dtype=np.int32)
         self.off = np.zeros(1, dtype=np.int64)
+        self.cp = np.zeros(1 << 16, dtype=np.uint32)     # the entries' code points
+        self.cp_off = np.zeros(1, dtype=np.int64)
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry or -1, slot where it is or would go)."""
@@ -121,13 +138,19 @@ class TokenCache:
             todo = todo[(v[todo] >= 0) & (self.key[slot[todo]] != h[todo])]
         return v, slot
 
-    def _add(self, h: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> None:
-        n, used = len(self.off) - 1, int(self.off[-1])
-        if used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.zeros(max(len(flat), used), np.int32)])
-            self.ids = np.concatenate([self.ids, np.zeros(len(flat), np.int32)])
-        self.ids[used:used + len(flat)] = flat
-        self.off = np.concatenate([self.off, used + np.cumsum(lens)])
+    @staticmethod
+    def _put(store: np.ndarray, off: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(store, offsets) with the pieces of ``flat`` appended."""
+        used = int(off[-1])
+        if used + len(flat) > len(store):
+            store = np.concatenate([store[:used], np.zeros(len(flat) + max(len(flat), used), store.dtype)])
+        store[used:used + len(flat)] = flat
+        return store, np.concatenate([off, used + np.cumsum(lens)])
+
+    def _add(self, h: np.ndarray, lens: np.ndarray, flat: np.ndarray, cp_lens: np.ndarray, cp: np.ndarray) -> None:
+        n = len(self.off) - 1
+        self.ids, self.off = self._put(self.ids, self.off, lens, flat)
+        self.cp, self.cp_off = self._put(self.cp, self.cp_off, cp_lens, cp)
         entry = np.arange(n, n + len(h), dtype=np.int32)
         left = np.arange(len(h))
         while len(left):
@@ -153,11 +176,29 @@ class TokenCache:
             pick = new[one]
             joined = "".join(texts)
             lens, flat = self.encode([joined[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist())])
-            self._add(h[pick], lens, flat)
+            size = end[pick] - start[pick]
+            self._add(h[pick], lens, flat, size, cp[_spread(start[pick], size)])
             v[new], _ = self._find(h[new])
+        size = end - start
+        bad = np.flatnonzero((self.cp_off[1:] - self.cp_off[:-1])[v] != size)
+        same = _same(cp, start, self.cp, self.cp_off[:-1][v], np.where(np.isin(np.arange(len(v)), bad), 0, size) if len(bad) else size)
+        bad = np.union1d(bad, np.flatnonzero(~same))
         first = np.searchsorted(start, off)
         lens = (self.off[1:] - self.off[:-1])[v]
+        from_ids, at = self.ids, self.off[:-1][v]
+        if len(bad):                           # same hash, another pre-token
+            joined = "".join(texts)
+            own, flat = self.encode([joined[a:b] for a, b in zip(start[bad].tolist(), end[bad].tolist())])
+            used = int(self.off[-1])
+            lens[bad] = own
+            at[bad] = used + np.cumsum(own) - own
+            from_ids = np.concatenate([self.ids[:used], np.asarray(flat, np.int32)])
         cum = np.zeros(len(v) + 1, dtype=np.int64)
         np.cumsum(lens, out=cum[1:])
-        at = np.repeat(self.off[:-1][v] - cum[:-1], lens) + np.arange(cum[-1])
-        return self.ids[at], cum[first]
+        return from_ids[_spread(at, lens)], cum[first]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (size[i] of them), span by span."""
+    cum = np.cumsum(size)
+    return np.repeat(start - (cum - size), size) + np.arange(int(cum[-1]) if len(cum) else 0)
