@@ -91,6 +91,25 @@ def chunks(off: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... (size[i] of them), span by span."""
+    cum = np.cumsum(size)
+    return np.repeat(start - (cum - size), size) + np.arange(int(cum[-1]) if len(cum) else 0)
+
+
+def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at:at+size) equals b[bt:bt+size), for many spans."""
+    ok = np.ones(len(size), dtype=bool)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live) and k < 32:
+        ok[live] &= a[at[live] + k] == b[bt[live] + k]
+        k += 1
+        live = live[(size[live] > k) & ok[live]]
+    for i in live.tolist():                    # the rest of long spans
+        ok[i] = np.array_equal(a[at[i] + k:at[i] + size[i]], b[bt[i] + k:bt[i] + size[i]])
+    return ok
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> U64(30))
@@ -151,13 +170,14 @@ _IS_SEP = np.zeros(256, dtype=bool)
 _IS_SEP[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def ascii_words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of texts lower-cased in A-Z: (lowered
-    bytes, word start, word end, first word of each text, with an end
-    sentinel).  UTF-8 multi-byte characters hold no separator bytes."""
+def ascii_words(raw: np.ndarray, off: np.ndarray, separators: np.ndarray = _IS_SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` (or those between other ``separators``, a
+    mask of ASCII bytes) of texts lower-cased in A-Z: (lowered bytes, word
+    start, word end, first word of each text, with an end sentinel).  UTF-8
+    multi-byte characters hold no separator bytes."""
     low = _LOWER[raw]
     inside = np.zeros(len(raw) + 2, dtype=bool)
-    np.logical_not(_IS_SEP[raw], out=inside[1:-1])
+    np.logical_not(separators[raw], out=inside[1:-1])
     begin = inside[1:-1] & ~inside[:-2]
     stop = inside[1:-1] & ~inside[2:]
     cut = off[1:-1]

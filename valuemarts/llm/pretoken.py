@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-from valuemarts.llm.common import U64, span_hash
+from valuemarts.llm.common import U64, same_spans, span_hash, spread
 
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 _CLASS: list[np.ndarray] = []
@@ -94,19 +94,6 @@ def safe_pieces(text: str, size: int) -> list[str]:
 _CUT = regex.compile(r"\p{L}(?= \p{L})")
 
 
-def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether a[at:at+size) equals b[bt:bt+size), for many spans."""
-    ok = np.ones(len(size), dtype=bool)
-    live, k = np.flatnonzero(size > 0), 0
-    while len(live) and k < 32:
-        ok[live] &= a[at[live] + k] == b[bt[live] + k]
-        k += 1
-        live = live[(size[live] > k) & ok[live]]
-    for i in live.tolist():                    # the rest of long spans
-        ok[i] = np.array_equal(a[at[i] + k:at[i] + size[i]], b[bt[i] + k:bt[i] + size[i]])
-    return ok
-
-
 class TokenCache:
     """ids of distinct pre-tokens, in a vectorised open-addressing table that
     starts afresh beyond ``limit`` entries (bounded memory).  Entries are found
@@ -177,11 +164,11 @@ class TokenCache:
             joined = "".join(texts)
             lens, flat = self.encode([joined[a:b] for a, b in zip(start[pick].tolist(), end[pick].tolist())])
             size = end[pick] - start[pick]
-            self._add(h[pick], lens, flat, size, cp[_spread(start[pick], size)])
+            self._add(h[pick], lens, flat, size, cp[spread(start[pick], size)])
             v[new], _ = self._find(h[new])
         size = end - start
         bad = np.flatnonzero((self.cp_off[1:] - self.cp_off[:-1])[v] != size)
-        same = _same(cp, start, self.cp, self.cp_off[:-1][v], np.where(np.isin(np.arange(len(v)), bad), 0, size) if len(bad) else size)
+        same = same_spans(cp, start, self.cp, self.cp_off[:-1][v], np.where(np.isin(np.arange(len(v)), bad), 0, size) if len(bad) else size)
         bad = np.union1d(bad, np.flatnonzero(~same))
         first = np.searchsorted(start, off)
         lens = (self.off[1:] - self.off[:-1])[v]
@@ -195,10 +182,4 @@ class TokenCache:
             from_ids = np.concatenate([self.ids[:used], np.asarray(flat, np.int32)])
         cum = np.zeros(len(v) + 1, dtype=np.int64)
         np.cumsum(lens, out=cum[1:])
-        return from_ids[_spread(at, lens)], cum[first]
-
-
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[i], start[i] + 1, ... (size[i] of them), span by span."""
-    cum = np.cumsum(size)
-    return np.repeat(start - (cum - size), size) + np.arange(int(cum[-1]) if len(cum) else 0)
+        return from_ids[spread(at, lens)], cum[first]

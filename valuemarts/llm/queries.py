@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.llm import ann, bpe, decontam, langid, line_dedup, lm_score, near_dup, secret_scan, token_file, toxicity
+from valuemarts.llm import ann, ball_tree, bpe, decontam, langid, line_dedup, lm_score, near_dup, secret_scan, suffix_dedup, token_file, toxicity
 from valuemarts.llm.common import scratch_path, split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,6 +95,42 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = r"""
+WITH found AS (
+  SELECT row_number() OVER () AS d, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+docs AS (SELECT d, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM found WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM docs),
+tf AS (SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term, nn),
+impact AS (SELECT d, doc_id, tf.term, w, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nn) // ll))) AS x
+           FROM tf JOIN weight USING (term), totals),
+items AS (SELECT i, item_id, term, count(*) AS c FROM (
+            SELECT i, item_id, unnest(terms) AS term FROM (
+              SELECT row_number() OVER () AS i, item_id,
+                     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+              FROM benchmark)) GROUP BY ALL),
+scored AS (SELECT i, item_id, d, doc_id, CAST(sum(c * w * x) AS BIGINT) AS score
+           FROM items JOIN impact USING (term) WHERE doc_id IS NOT NULL GROUP BY i, item_id, d, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+           FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_decontaminate": op2_decontaminate,
@@ -106,5 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_token_file": op9_token_file,
     "op10_secret_scan": op10_secret_scan,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op13_ranked_search": OP13_SQL}
