@@ -79,6 +79,7 @@ def test_names_shared_in_a_task_or_between_tasks(spark, monkeypatch):
     want = brute(rows, 50)
     assert run(spark, rows, 50, 1) == want
     monkeypatch.setattr(suffix_dedup, "FLUSH_ANCHORS", 50)
+    assert run(spark, rows, 50, 2) == want
     monkeypatch.setattr(suffix_dedup, "PIECE", 512)
     raw = (rows[-1][1] + rows[-2][1]).encode()
     import numpy as np
@@ -88,6 +89,16 @@ def test_names_shared_in_a_task_or_between_tasks(spark, monkeypatch):
     assert run(spark, rows, 50, 1) == want
 
 
+@pytest.mark.parametrize("most", [0, 1, 3])
+def test_hot_names_are_ranked_window_by_window(spark, monkeypatch, most):
+    line = "a line that stands in every one of these documents, whatever comes before it or after it"
+    r = random.Random(3)
+    rows = [(i, f"{r.random()} {r.choice(['', 'same words before '])}{line}{r.choice([' and after', ' or', ''])} {r.random()}") for i in range(90)] + made(8, 30)[5:]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    monkeypatch.setattr(suffix_dedup, "LOCAL_CONTEXTS", most)
+    assert run(spark, rows, 50, 6) == brute(rows, 50)
+
+
 def test_extra_columns_and_other_names(spark):
     t = "0123456789 " * 8
     docs = spark.createDataFrame([(1, t, 5, "a"), (2, t, 6, "b")], "num long, body string, id int, h string")

@@ -16,23 +16,26 @@ Two things keep the rounds small on whole corpora:
 
 Round one: each document sends the rank names (64-bit hashes) of its anchors
 to the partition that owns the name; names that two texts share come back, all
-other suffixes are unique and done.  A task sends a name once however many of
-its documents hold it.  Round two, over what is left: an anchor stands for the
-run of windows that chose it, hence for one *context*, the bytes from the first
-window's start to the last one's end.  Contexts are ranked as wholes by the
-smallest id that holds them; an anchor whose context an earlier document holds
-is past the threshold with all its windows.  Where contexts of one anchor name
-differ, each window of each distinct context is ranked by its ``length`` bytes
-themselves.  So decisions rest on bytes (contexts: 128-bit digests), and the
-names of round one only choose who is looked at.
+other suffixes are unique and done.  Round two, over what is left: an anchor
+stands for the run of windows that chose it, hence for one *context*, the bytes
+from the first window's start to the last one's end.  Contexts go to their
+name's partition and are sorted there with their ids: one that an earlier
+document holds too is past the threshold with all its windows; where contexts
+of one name differ, their windows are ranked by their ``length`` bytes.  Equal
+hashes are confirmed by the bytes, so nothing is removed by a hash alone; names
+only choose who is looked at.
+
+Map-side: a task sends a name once however many of its documents hold it, and
+of equal contexts in a piece of input only the least id's.  A name with more
+than 64 different contexts in one piece is hot (the edge of a passage that many
+documents hold): its windows are ranked one by one, by an aggregation over
+their 128-bit digests, and its partition, told so, hands on what it has of it.
 
 Copies: texts are told apart by a 64-bit digest, and of equal texts only the
 one with the smallest id is searched; the others are covered by it wholly.
 
-Every aggregation is combined map-side and every join has one row per key on
-one side, so a passage that a third of all documents hold is one row per task
-and name.  Partitions of round one hold 1/``spark.sql.shuffle.partitions`` of
-the anchors.  Intermediate tables are written below the checkpoint folder.
+Partitions of both rounds hold 1/``spark.sql.shuffle.partitions`` of the
+anchors.  Intermediate tables are written below the checkpoint folder.
 
 Edge cases: null texts are empty; texts shorter than ``length`` keep all; rows
 with a null id keep all and cover nothing; rows that share an id don't cover
@@ -52,13 +55,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from valuemarts.llm.common import U64, Scratch, arrow_map, chunks, flat_utf8, mix64, span_hash
+from valuemarts.llm.common import U64, Scratch, arrow_map, chunks, flat_utf8, mix64, same_spans, span_hash, spread
 
 #: bytes that are searched in one array; larger texts are cut into pieces
 PIECE = 1 << 24
 _POSITION = U64((1 << 26) - 1)
 #: anchors that a task holds before it sends them
 FLUSH_ANCHORS = 3_000_000
+#: contexts of one name in a piece of input, beyond which the name is hot
+LOCAL_CONTEXTS = 64
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,6 +117,18 @@ def text_hash(data: memoryview | bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def _digests(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, h) of the rows with an id."""
+    src = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        raw, off = flat_utf8(b.column(1))
+        data, at = memoryview(np.ascontiguousarray(raw)), off.tolist()
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([text_hash(data[p:q]) for p, q in zip(at[:-1], at[1:])], pa.int64())], ["id", "h"])
+
+    return arrow_map(src, run, "id bigint, h bigint")
+
+
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(id, h, n, z): id, text digest, bytes, and the text's bytes compressed."""
     src = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -243,7 +260,7 @@ def shared_names(docs: DataFrame, length: int, text: str, key: str) -> DataFrame
     """(id, h, names): anchor names of a text that another text holds too."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    k = length // 2 + 1
+    k, most = length // 2 + 1, FLUSH_ANCHORS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Holders(parts)
@@ -252,7 +269,7 @@ def shared_names(docs: DataFrame, length: int, text: str, key: str) -> DataFrame
             data, at, keys = memoryview(np.ascontiguousarray(raw)), off.tolist(), b.column(0).to_pylist()
             for part, cut, rows, skip in pieces(raw, off, length):
                 if skip == 0:                          # a new text; the pieces of one stay together
-                    if held.size >= FLUSH_ANCHORS and (out := held.flush()) is not None:
+                    if held.size >= most and (out := held.flush()) is not None:
                         yield out
                     own = np.array([held.row(keys[i], text_hash(data[at[i]:at[i + 1]])) for i in rows.tolist()], dtype=np.int64)
                 q, _, _ = anchors(part, cut, length)
@@ -299,82 +316,231 @@ def _texts(zs: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8), off
 
 
-def contexts(found: DataFrame, length: int) -> DataFrame:
-    """(id, h, name, digest, ctx, at): contexts of the anchors whose names are
-    shared, once per text, with the places where they start."""
-    k = length // 2 + 1
+def _pack_contexts(flat: np.ndarray, size: np.ndarray, anchor: np.ndarray, ids: np.ndarray, hashes: np.ndarray, marks: np.ndarray) -> bytes:
+    body = b"".join([np.array([len(size), len(flat), len(marks)], np.int64).tobytes(), ids.tobytes(), hashes.tobytes(),
+                     size.astype(np.int32).tobytes(), anchor.astype(np.int32).tobytes(), marks.tobytes(), flat.tobytes()])
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unpack_contexts(blob: bytes) -> tuple[np.ndarray, ...]:
+    body = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    n, m, marks = np.frombuffer(body, np.int64, 3).tolist()
+    out, at = [], 24
+    for kind, size in ((np.int64, n), (np.int64, n), (np.int32, n), (np.int32, n), (U64, marks), (np.uint8, m)):
+        out.append(np.frombuffer(body, kind, size, at))
+        at += out[-1].nbytes
+    return tuple(out)
+
+
+class _Ranked:
+    """Contexts by (anchor name, context), the least id first: which of them an
+    earlier document holds wholly (``whole``, confirmed by the bytes), and the
+    others (``rest``) with their anchor groups."""
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray, code: np.ndarray, ids: np.ndarray):
+        self.order = np.lexsort((ids, code, name))
+        g, c, i = name[self.order], code[self.order], ids[self.order]
+        new_name = np.concatenate([[True], g[1:] != g[:-1]])
+        head = np.flatnonzero(new_name | np.concatenate([[True], c[1:] != c[:-1]]))
+        first = np.repeat(head, np.diff(np.append(head, len(g))))
+        later = i > i[first]
+        at = np.flatnonzero(later)
+        p, q = self.order[at], self.order[first[at]]
+        size = end[p] - start[p]
+        ok = size == end[q] - start[q]
+        ok[ok] = same_spans(raw, start[p][ok], raw, start[q][ok], size[ok])
+        later[at] = ok
+        self.whole, rest = self.order[later], np.flatnonzero(~later)
+        self.rest = self.order[rest]
+        group = np.cumsum(new_name) - 1
+        self.group = group[rest]                       # anchor group of each of the rest
+        self.names = g[np.flatnonzero(new_name)]
+        context = np.zeros(len(g), np.int64)
+        context[head] = 1
+        self.contexts = np.bincount(group, context, minlength=len(self.names))     # distinct contexts of a group
+
+
+def _masks(n: int, places: int) -> np.ndarray:
+    return np.packbits(np.ones((n, places), np.uint8), axis=1)
+
+
+def _verdicts(ids: np.ndarray, hashes: np.ndarray, code: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(id, digest, verdict) of each text: its contexts' codes and the bits of
+    their covered windows."""
+    order = np.lexsort((hashes, ids))
+    ids, hashes, code, mask = ids[order], hashes[order], code[order], mask[order]
+    if not len(ids):
+        return
+    head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
+    for a, b in zip(head.tolist(), np.append(head[1:], len(ids)).tolist()):
+        yield int(ids[a]), int(hashes[a]), len(code[a:b]).to_bytes(8, "little") + code[a:b].tobytes() + mask[a:b].tobytes()
+
+
+def _windows(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, offset, start) of all windows of the contexts."""
+    n = end - start - length + 1
+    of = np.repeat(np.arange(len(n)), n)
+    offset = spread(np.zeros(len(n), np.int64), n)
+    return of, offset, start[of] + offset
+
+
+_ROUND = "part int, id bigint, h bigint, code bigint, i int, data binary"
+_FIELDS = ("part", "id", "h", "code", "i", "data")
+_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+
+def _round_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, _KINDS)], list(_FIELDS))
+
+
+def _window_rows(raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.ndarray, hashes: np.ndarray, code: np.ndarray, length: int,
+                 parts: int) -> Iterator[tuple]:
+    """Rows of the windows of contexts of hot names, which are ranked one by one."""
+    data = raw.tobytes()
+    of, offset, at = _windows(raw, start, end, length)
+    for x, i, p in zip(of.tolist(), offset.tolist(), at.tolist()):
+        h = int(hashes[x])
+        yield parts + h % parts, int(ids[x]), h, int(code[x : x + 1].view(np.int64)[0]), i, hashlib.blake2b(data[p:p + length], digest_size=16).digest()
+
+
+def _send_contexts(found: DataFrame, length: int, parts: int) -> DataFrame:
+    """Contexts of the anchors whose names are shared, dealt by the name.  Of
+    equal contexts of a piece of input only the least id's goes out, the others
+    are covered; a name with more than ``LOCAL_CONTEXTS`` contexts in a piece is
+    hot, so its windows go out one by one and its partition is told."""
+    k, places, most = length // 2 + 1, length - length // 2, LOCAL_CONTEXTS
 
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, hashes, sizes, zs, lists = (c.to_pylist() for c in b.columns)
+        doc_id, doc_h = b.column(0).to_numpy(), b.column(1).to_numpy()
+        sizes, zs, lists = (b.column(c).to_pylist() for c in (2, 3, 4))
         mine = [np.frombuffer(b"".join(x), U64) for x in lists]
         raw, off = _texts(zs, sizes)
-        out: list[tuple] = []
-        for part, cut, rows, skip in pieces(raw, off, length):
+        for part, cut, rows, _ in pieces(raw, off, length):
             q, p, r = anchors(part, cut, length)
-            doc = np.searchsorted(cut, q, side="right") - 1
-            g = span_hash(part, q, q + k)
-            known = np.concatenate([mix64(mine[i] + U64(i + 1) * U64(0x9E3779B97F4A7C15)) for i in rows.tolist()])
-            keep = np.flatnonzero(np.isin(mix64(g + (rows[doc].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15)), known))
-            data = part.tobytes()
-            places: dict[tuple[int, bytes], list[int]] = {}
-            names: dict[tuple[int, bytes], int] = {}
-            for x, s, e, name, first in zip(rows[doc[keep]].tolist(), p[keep].tolist(), (r[keep] + length).tolist(),
-                                            g[keep].view(np.int64).tolist(), cut[doc[keep]].tolist()):
-                c = (x, data[s:e])
-                places.setdefault(c, []).append(s - first + skip)
-                names[c] = name
-            out += [(ids[x], hashes[x], names[x, c], hashlib.blake2b(c, digest_size=16).digest(), c, at) for (x, c), at in places.items()]
-        for i in range(0, len(out), 100_000):
-            part = list(zip(*out[i:i + 100_000]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary()),
-                 pa.array(part[4], pa.binary()), pa.array(part[5], pa.list_(pa.int64()))], ["id", "h", "name", "digest", "ctx", "at"])
+            doc = rows[np.searchsorted(cut, q, side="right") - 1]
+            name = span_hash(part, q, q + k)
+            seed = U64(0x9E3779B97F4A7C15)
+            known = np.concatenate([mix64(mine[i] + U64(i + 1) * seed) for i in rows.tolist()])
+            keep = np.flatnonzero(np.isin(mix64(name + (doc.astype(U64) + U64(1)) * seed), known))
+            if not len(keep):
+                continue
+            q, p, e, doc, name = q[keep], p[keep], r[keep] + length, doc[keep], name[keep]
+            code = span_hash(part, p, e)
+            _, one = np.unique(np.stack([doc.astype(U64), code], axis=1), axis=0, return_index=True)     # once per text
+            q, p, e, doc, name, code = q[one], p[one], e[one], doc[one], name[one], code[one]
+            ids, hashes = doc_id[doc], doc_h[doc]
+            x = _Ranked(part, p, e, name, code, ids)
+            out = [(parts + h % parts, i, h, None, None, v) for i, h, v in _verdicts(ids[x.whole], hashes[x.whole], code[x.whole], _masks(len(x.whole), places))]
+            hot = (x.contexts > most)[x.group]
+            own = x.rest[hot]
+            out += _window_rows(part, p[own], e[own], ids[own], hashes[own], code[own], length, parts)
+            marks = x.names[x.contexts > most]
+            mark_part = (marks >> U64(32)) % U64(parts)
+            own = x.rest[~hot]
+            to = (name[own] >> U64(32)) % U64(parts)
+            own = own[np.lexsort((p[own], doc[own], to))]
+            ends = np.searchsorted((name[own] >> U64(32)) % U64(parts), np.arange(parts + 1, dtype=U64))
+            for t in range(parts):
+                sel, flag = own[ends[t]:ends[t + 1]], marks[mark_part == t]
+                if len(sel) or len(flag):
+                    size = e[sel] - p[sel]
+                    out.append((t, None, None, None, None, _pack_contexts(part[spread(p[sel], size)], size, q[sel] - p[sel], ids[sel], hashes[sel], flag)))
+            yield _round_rows(out)
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                yield from run(b.slice(i, 2000))
-
-    return (found.select("id", "h", "n", "z", "names")
-            .mapInArrow(every, "id bigint, h bigint, name bigint, digest binary, ctx binary, at array<bigint>"))
-
-
-def _covered(items: DataFrame, length: int, tmp: Scratch) -> DataFrame:
-    """(id, h, at, windows, offsets): places of contexts of which all windows
-    (offsets null) or those at ``offsets`` are held by an earlier document."""
-    least = tmp.write(items.groupBy("digest").agg(F.min("id").alias("least"), F.min("name").alias("name")), "contexts-least")
-    mixed = least.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
-    open_ = least.join(mixed, "name", "left_semi").select("digest", "least")
-    held = items.join(open_, "digest").where("id = least")
-    window = (held.select("digest", "least", "ctx", F.explode(F.expr(f"sequence(0, length(ctx) - {length})")).alias("i"))
-              .select("digest", "least", "i", F.expr(f"substring(ctx, i + 1, {length})").alias("w")))
-    window = tmp.write(window.groupBy("digest", "least", "i", "w").agg(F.lit(1).alias("one")).drop("one"), "windows")
-    first = window.groupBy("w").agg(F.min("least").alias("first"))
-    partial = (window.join(first, "w").where("least > first").groupBy("digest").agg(F.collect_list("i").alias("offsets")))
-    seen = items.select("id", "h", "digest", "at", (F.length("ctx") - length + 1).alias("windows"))
-    whole = (seen.join(least.select("digest", "least"), "digest").where("id > least")
-             .select("id", "h", "at", "windows", F.lit(None).cast("array<int>").alias("offsets")))
-    some = (seen.join(partial, "digest").join(least.select("digest", "least"), "digest").where("id = least")
-            .select("id", "h", "at", "windows", "offsets"))
-    return whole.unionByName(some)
+            i = 0
+            while i < b.num_rows:                      # as many texts as fit an array
+                size, j = 0, i
+                while j < b.num_rows and (j == i or size < PIECE):
+                    size += b.column(2)[j].as_py()
+                    j += 1
+                yield from run(b.slice(i, j - i))
+                i = j
+
+    return found.select("id", "h", "n", "z", "names").mapInArrow(every, _ROUND)
+
+
+def _rank_contexts(sent: DataFrame, length: int, parts: int) -> DataFrame:
+    """Verdicts (id, h, data) and windows still to rank (code, i, data: their digest)."""
+    k, places = length // 2 + 1, length - length // 2
+
+    def merge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        got = [_unpack_contexts(b) for b in blobs]
+        ids, hashes, size, anchor, marks, raw = (np.concatenate([g[c] for g in got]) for c in range(6))
+        if not len(ids):
+            return
+        end = np.cumsum(size, dtype=np.int64)
+        start = end - size
+        name, code = span_hash(raw, start + anchor, start + anchor + k), span_hash(raw, start, end)
+        x = _Ranked(raw, start, end, name, code, ids)
+        yield _round_rows([(None, i, h, None, None, v) for i, h, v in _verdicts(ids[x.whole], hashes[x.whole], code[x.whole], _masks(len(x.whole), places))])
+        hot = np.isin(x.names, marks)[x.group]
+        own = x.rest[hot]
+        rows = list(_window_rows(raw, start[own], end[own], ids[own], hashes[own], code[own], length, parts))
+        for a in range(0, len(rows), 50_000):
+            yield _round_rows(rows[a:a + 50_000])
+        own = x.rest[~hot & (x.contexts > 1)[x.group]]
+        if not len(own):
+            return
+        of, offset, at = _windows(raw, start[own], end[own], length)
+        w, i, g = span_hash(raw, at, at + length), ids[own][of], name[own][of]
+        order = np.lexsort((i, w, g))
+        w, i, g, of, offset, at = w[order], i[order], g[order], of[order], offset[order], at[order]
+        head = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])]))
+        first = np.repeat(head, np.diff(np.append(head, len(w))))
+        later = np.flatnonzero(i > i[first])
+        later = later[same_spans(raw, at[later], raw, at[first[later]], np.full(len(later), length))]
+        bits = np.zeros((len(own), places), np.uint8)
+        bits[of[later], offset[later]] = 1
+        some = np.flatnonzero(bits.any(axis=1))
+        own = own[some]
+        yield _round_rows([(None, i, h, None, None, v) for i, h, v in _verdicts(ids[own], hashes[own], code[own], np.packbits(bits[some], axis=1))])
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for b in batches:
+            part = b.column(0).to_numpy()
+            yield b.filter(pa.array(part >= parts))
+            for p, data in zip(*(c.to_pylist() for c in b.filter(pa.array(part < parts)).select([0, 5]).columns)):
+                if p != now and blobs:
+                    yield from merge(blobs)
+                    blobs = []
+                now = p
+                blobs.append(data)
+        if blobs:
+            yield from merge(blobs)
+
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(receive, _ROUND)
 
 
 # -- the cut --------------------------------------------------------------------
 
-def _runs(n: int, found: list[dict], copy: bool, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the maximal removed runs of a text of n bytes."""
-    if copy:
-        return (np.zeros(1, np.int64), np.array([n])) if n >= length else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+def _removed(raw: np.ndarray, length: int, verdicts: list[bytes], late: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal removed runs of one text."""
+    places, n = length - length // 2, len(raw)
+    width = (places + 7) // 8
+    codes, masks = [np.array([x["code"] for x in late], np.int64).view(U64)], [np.zeros((len(late), places), np.uint8)]
+    for i, x in enumerate(late):
+        masks[0][i, x["offsets"]] = 1
+    for v in verdicts:
+        m = int.from_bytes(v[:8], "little")
+        codes.append(np.frombuffer(v, U64, m, 8))
+        masks.append(np.unpackbits(np.frombuffer(v, np.uint8, m * width, 8 + 8 * m).reshape(m, width), axis=1, count=places))
+    code, mask = np.concatenate(codes), np.concatenate(masks)
+    order = np.argsort(code, kind="stable")
+    code, mask = code[order], mask[order]
     edge = np.zeros(n + 1, dtype=np.int32)
-    for x in found:
-        at = np.array(x["at"], np.int64)
-        if x["offsets"] is None:
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + x["windows"] + length - 1, -1)
-        else:
-            w = (at[:, None] + np.array(x["offsets"], np.int64)[None, :]).reshape(-1)
-            np.add.at(edge, w, 1)
-            np.add.at(edge, w + length, -1)
+    for part, cut, _, skip in pieces(raw, np.array([0, n]), length):
+        _, p, r = anchors(part, cut, length)
+        own = span_hash(part, p, r + length)
+        at = np.minimum(np.searchsorted(code, own), len(code) - 1)
+        hit = np.flatnonzero(code[at] == own)
+        x, offset = np.nonzero(mask[at[hit]])
+        s = p[hit][x] + offset
+        ok = s <= r[hit][x]
+        np.add.at(edge, s[ok] + skip, 1)
+        np.add.at(edge, s[ok] + skip + length, -1)
     gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     turn = np.flatnonzero(gone[1:] != gone[:-1])
     return turn[::2], turn[1::2]
@@ -385,29 +551,37 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
     and kept (the remaining bytes)."""
     if length < 16:
         raise ValueError("length must be 16 or more")
-    with Scratch(docs.sparkSession, "suffix-dedup") as tmp:
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with Scratch(spark, "suffix-dedup") as tmp:
         keyed = _keyed(docs, text, key)
-        texts = tmp.write(keyed.where("id is not null").select("id", "h").distinct(), "texts")
+        texts = tmp.write(_digests(docs, text, key).distinct(), "texts")
         least = texts.groupBy("h").agg(F.min("id").alias("least"))
         copies = tmp.write(texts.join(least, "h").select("id", "h", (F.col("id") > F.col("least")).alias("copy")), "copies")
         names = tmp.write(shared_names(docs, length, text, key), "names", codec="zstd")
         names = names.join(copies.where("not copy").select("id", "h"), ["id", "h"], "left_semi").groupBy("id", "h").agg(F.collect_list("names").alias("names"))
         found = keyed.where(f"n >= {length}").join(names, ["id", "h"])
-        items = tmp.write(contexts(found, length), "items", codec="zstd")
-        covered = _covered(items, length, tmp)
-        place = F.struct("at", "windows", "offsets")
-        marks = covered.select("id", "h", place.alias("x"), F.lit(False).alias("copy")).unionByName(
-            copies.where("copy").select("id", "h", F.lit(None).cast("struct<at:array<bigint>,windows:int,offsets:array<int>>").alias("x"), "copy"))
-        marks = tmp.write(marks.groupBy("id", "h").agg(F.collect_list("x").alias("found"), F.max("copy").alias("copy")), "marks", keep=True)
-        judged = keyed.join(marks, ["id", "h"], "left").select("id", "n", "z", "found", "copy")
+        ranked = tmp.write(_rank_contexts(_send_contexts(found, length, parts), length, parts), "ranked", codec="zstd")
+        window = ranked.where("code is not null").select("id", "h", "code", "i", F.col("data").alias("w"))
+        first = window.groupBy("w").agg(F.min("id").alias("first"))
+        late = (window.join(first, "w").where("id > first").groupBy("id", "h", "code").agg(F.collect_list("i").alias("offsets"))
+                .groupBy("id", "h").agg(F.collect_list(F.struct("code", "offsets")).alias("late")))
+        marks = (ranked.where("code is null").select("id", "h", F.col("data").alias("v"), F.lit(False).alias("copy"))
+                 .unionByName(copies.where("copy").select("id", "h", F.lit(None).cast("binary").alias("v"), "copy"))
+                 .groupBy("id", "h").agg(F.collect_list("v").alias("verdicts"), F.max("copy").alias("copy")))
+        marks = tmp.write(marks.join(late, ["id", "h"], "full"), "marks", keep=True, codec="zstd")
+        judged = keyed.join(marks, ["id", "h"], "left").select("id", "n", "z", "verdicts", "late", "copy")
 
         def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, sizes, zs, lists, copy = (c.to_pylist() for c in b.columns)
+            ids, sizes, zs, found, more, copy = (c.to_pylist() for c in b.columns)
             spans, kept = [], []
-            for n, z, found, same in zip(sizes, zs, lists, copy):
+            for n, z, v, x, same in zip(sizes, zs, found, more, copy):
                 data = pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
-                s, e = _runs(n, found or [], bool(same), length)
-                s, e = s.tolist(), e.tolist()
+                s, e = [], []
+                if same:
+                    s, e = ([0], [n]) if n >= length else ([], [])
+                elif v or x:
+                    s, e = (a.tolist() for a in _removed(np.frombuffer(data, np.uint8), length, v or [], x or []))
                 spans.append([{"start": p, "end": q} for p, q in zip(s, e)])
                 kept.append(b"".join(data[p:q] for p, q in zip([0, *e], [*s, n])))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
