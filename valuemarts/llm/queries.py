@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from valuemarts.llm import ann, ball_tree, bpe, decontam, langid, line_dedup, lm_score, near_dup, secret_scan, suffix_dedup, token_file, toxicity
+from valuemarts.llm import ann, ball_tree, bpe, decontam, langid, line_dedup, lm_score, near_dup, phrases, secret_scan, suffix_dedup, token_file, toxicity
 from valuemarts.llm.common import scratch_path, split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -95,6 +95,41 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+               unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, w[i:i + k - 1] AS g FROM starts, range(1, 6) t(k) WHERE i + k - 1 <= len(w)),
+counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE len(g) = 1 GROUP BY lang),
+f AS (SELECT lang, g, f FROM counts WHERE f >= 100),
+cand AS (SELECT lang, g, f AS a FROM f WHERE len(g) >= 2),
+cuts AS (SELECT lang, g, a, k, g[1:k] AS lg, g[k + 1:] AS rg
+         FROM (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM cand)),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, n,
+         CAST((1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = lg JOIN f y ON y.lang = c.lang AND y.g = rg JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, g[s:s + m - 1] AS g, max(a) AS longer
+  FROM (SELECT lang, g, a, unnest(range(1, len(g))) AS s FROM cand), range(2, 5) t(m)
+  WHERE m < len(g) AND s + m - 1 <= len(g) GROUP BY 1, 2),
+kept AS (SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.g = b.g WHERE longer IS NULL OR 100 * longer < 100 * a),
+named AS (SELECT *, array_to_string(g, ' ') AS phrase FROM kept),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM named)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
@@ -142,7 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_score": op8_lm_score,
     "op9_token_file": op9_token_file,
     "op10_secret_scan": op10_secret_scan,
+    "op11_phrases": op11_phrases,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op13_ranked_search": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op11_phrases": OP11_SQL, "op13_ranked_search": OP13_SQL}
