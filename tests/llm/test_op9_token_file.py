@@ -94,3 +94,30 @@ def test_files_and_edges(spark, tmp_path):
     assert order == [w[0] for w in want]
     token_file.write(df.limit(0), f"{tmp_path}/e", PATH)
     assert token_file.read(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_files_are_even_where_ids_are_not(spark, tmp_path):
+    """Nine rows of ten have no id, some documents are long, rows repeat."""
+    rows = [(None if i % 10 else i, f"text number {i % 40} " * (1 if i % 7 else 12)) for i in range(800)]
+    rows += [(None, "the same row")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    token_file.write(df, f"{tmp_path}/f", PATH, block_ids=64, file_ids=1000)
+    n = {r.file: r.n for r in spark.read.parquet(f"{tmp_path}/f/blocks").groupBy("file").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    total = sum(n.values())
+    assert len(n) >= 6 and max(n.values()) <= 1.6 * total / len(n)
+    got = sorted(map(tuple, token_file.read_digests(spark, f"{tmp_path}/f").collect()), key=lambda r: r[1])
+    want = expect(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
+    assert [r[0] for r in got] == [r[0] for r in want] and got[-1][1] + got[-1][2] == total
+    assert sorted((-1 if r[0] is None else r[0], r[2], r[3]) for r in got) == sorted((-1 if r[0] is None else r[0], r[2], r[3]) for r in want)
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+
+
+def test_words_in_a_row_are_the_words_alone():
+    e = token_file.LibraryEncoder(open(PATH, "rb").read())
+    words = [" the", " éclair", "x", " ", " 12", " don", "'t", " ßtraße", " 日本語", " a", " ª", "\n\n", " über", " x1"] * 40
+    n, ids = e._words(words)
+    m, alone = e._alone(words)
+    assert n.tolist() == m.tolist() and ids.tolist() == alone.tolist()
+    e.width = e.width * 0 + 1                      # widths that do not fit: encoded alone
+    n, ids = e._words(words)
+    assert n.tolist() == m.tolist() and ids.tolist() == alone.tolist()
