@@ -58,10 +58,10 @@ from pyspark.sql import functions as F
 from valuemarts.llm.common import U64, Scratch, arrow_map, chunks, flat_utf8, mix64, same_spans, span_hash, spread
 
 #: bytes that are searched in one array; larger texts are cut into pieces
-PIECE = 1 << 24
+PIECE = 1 << 22
 _POSITION = U64((1 << 26) - 1)
 #: anchors that a task holds before it sends them
-FLUSH_ANCHORS = 3_000_000
+FLUSH_ANCHORS = 1_000_000
 #: contexts of one name in a piece of input, beyond which the name is hot
 LOCAL_CONTEXTS = 64
 
@@ -183,23 +183,24 @@ class _Holders:
         if not self.size:
             self.clear()
             return None
-        g, d = np.concatenate(self.names), np.concatenate(self.docs)
-        order = np.lexsort((d, g))
-        g, d = g[order], d[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])])
-        g, d = g[new], d[new]                        # once per text
-        head = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        many = np.diff(np.append(head, len(g))) > 1
-        shared = np.repeat(many, np.diff(np.append(head, len(g))))
+        g, d = np.concatenate(self.names), np.concatenate(self.docs)      # in the order of the texts
+        order = np.argsort(g, kind="stable")
+        new = np.concatenate([[True], (np.diff(g[order]) != 0) | (np.diff(d[order]) != 0)])
+        order = order[new]                           # once per text
+        sorted_g = g[order]
+        head = np.flatnonzero(np.concatenate([[True], sorted_g[1:] != sorted_g[:-1]]))
+        size = np.diff(np.append(head, len(order)))
+        shared = np.repeat(size > 1, size)
         ids, hashes = np.array(self.ids, np.int64), np.array(self.hashes, np.int64)
         rows = []
-        for key, h, names in _by_text(g[shared], d[shared], ids, hashes):
+        for key, h, names in _by_text(sorted_g[shared], d[order[shared]], ids, hashes):
             rows.append((self.parts + h % self.parts, key, h, names))
-        known, g, d = g[head[many]], g[~shared], d[~shared]
-        part = (g >> U64(32)) % U64(self.parts)
-        order = np.lexsort((d, part))
+        known, alone = sorted_g[head[size > 1]], np.sort(order[~shared])
+        g, d = g[alone], d[alone]
+        part = ((g >> U64(32)) % U64(self.parts)).astype(np.uint16 if self.parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
         g, d, part = g[order], d[order], part[order]
-        cut = np.searchsorted(part, np.arange(self.parts + 1, dtype=U64))
+        cut = np.searchsorted(part, np.arange(self.parts + 1))
         known_part = (known >> U64(32)) % U64(self.parts)
         for p in range(self.parts):
             a, b = cut[p], cut[p + 1]
@@ -384,6 +385,11 @@ def _windows(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -
     return of, offset, start[of] + offset
 
 
+def _in_text(code: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Codes of different texts told apart."""
+    return mix64(code + (row.astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
+
+
 _ROUND = "part int, id bigint, h bigint, code bigint, i int, data binary"
 _FIELDS = ("part", "id", "h", "code", "i", "data")
 _KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
@@ -403,6 +409,16 @@ def _window_rows(raw: np.ndarray, start: np.ndarray, end: np.ndarray, ids: np.nd
         yield parts + h % parts, int(ids[x]), h, int(code[x : x + 1].view(np.int64)[0]), i, hashlib.blake2b(data[p:p + length], digest_size=16).digest()
 
 
+def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of rows whose texts (sizes in ``column``) make about one piece."""
+    total = np.cumsum(b.column(column).to_numpy())
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PIECE, side="right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
 def _send_contexts(found: DataFrame, length: int, parts: int) -> DataFrame:
     """Contexts of the anchors whose names are shared, dealt by the name.  Of
     equal contexts of a piece of input only the least id's goes out, the others
@@ -419,14 +435,15 @@ def _send_contexts(found: DataFrame, length: int, parts: int) -> DataFrame:
             q, p, r = anchors(part, cut, length)
             doc = rows[np.searchsorted(cut, q, side="right") - 1]
             name = span_hash(part, q, q + k)
-            seed = U64(0x9E3779B97F4A7C15)
-            known = np.concatenate([mix64(mine[i] + U64(i + 1) * seed) for i in rows.tolist()])
-            keep = np.flatnonzero(np.isin(mix64(name + (doc.astype(U64) + U64(1)) * seed), known))
+            of = np.repeat(rows, [len(mine[i]) for i in rows.tolist()])
+            known = np.sort(_in_text(np.concatenate([mine[i] for i in rows.tolist()]), of))
+            own = _in_text(name, doc)
+            keep = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
             if not len(keep):
                 continue
             q, p, e, doc, name = q[keep], p[keep], r[keep] + length, doc[keep], name[keep]
             code = span_hash(part, p, e)
-            _, one = np.unique(np.stack([doc.astype(U64), code], axis=1), axis=0, return_index=True)     # once per text
+            _, one = np.unique(_in_text(code, doc), return_index=True)     # once per text
             q, p, e, doc, name, code = q[one], p[one], e[one], doc[one], name[one], code[one]
             ids, hashes = doc_id[doc], doc_h[doc]
             x = _Ranked(part, p, e, name, code, ids)
@@ -449,14 +466,8 @@ def _send_contexts(found: DataFrame, length: int, parts: int) -> DataFrame:
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i = 0
-            while i < b.num_rows:                      # as many texts as fit an array
-                size, j = 0, i
-                while j < b.num_rows and (j == i or size < PIECE):
-                    size += b.column(2)[j].as_py()
-                    j += 1
-                yield from run(b.slice(i, j - i))
-                i = j
+            for part in _slices(b, 2):
+                yield from run(part)
 
     return found.select("id", "h", "n", "z", "names").mapInArrow(every, _ROUND)
 
@@ -516,34 +527,42 @@ def _rank_contexts(sent: DataFrame, length: int, parts: int) -> DataFrame:
 
 # -- the cut --------------------------------------------------------------------
 
-def _removed(raw: np.ndarray, length: int, verdicts: list[bytes], late: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the maximal removed runs of one text."""
+def _removed(raw: np.ndarray, off: np.ndarray, length: int, verdicts: list[list[bytes]], late: list[list[dict]]) -> list[tuple[list[int], list[int]]]:
+    """(starts, ends) of the maximal removed runs of each text."""
     places, n = length - length // 2, len(raw)
     width = (places + 7) // 8
-    codes, masks = [np.array([x["code"] for x in late], np.int64).view(U64)], [np.zeros((len(late), places), np.uint8)]
-    for i, x in enumerate(late):
-        masks[0][i, x["offsets"]] = 1
-    for v in verdicts:
-        m = int.from_bytes(v[:8], "little")
-        codes.append(np.frombuffer(v, U64, m, 8))
-        masks.append(np.unpackbits(np.frombuffer(v, np.uint8, m * width, 8 + 8 * m).reshape(m, width), axis=1, count=places))
+    codes, masks = [], []
+    for i, (found, more) in enumerate(zip(verdicts, late)):
+        for v in found:
+            m = int.from_bytes(v[:8], "little")
+            codes.append(_in_text(np.frombuffer(v, U64, m, 8), np.full(m, i)))
+            masks.append(np.unpackbits(np.frombuffer(v, np.uint8, m * width, 8 + 8 * m).reshape(m, width), axis=1, count=places))
+        for x in more:
+            codes.append(_in_text(np.array([x["code"]], np.int64).view(U64), np.array([i])))
+            masks.append(np.zeros((1, places), np.uint8))
+            masks[-1][0, x["offsets"]] = 1
     code, mask = np.concatenate(codes), np.concatenate(masks)
     order = np.argsort(code, kind="stable")
     code, mask = code[order], mask[order]
     edge = np.zeros(n + 1, dtype=np.int32)
-    for part, cut, _, skip in pieces(raw, np.array([0, n]), length):
+    for part, cut, rows, skip in pieces(raw, off, length):
         _, p, r = anchors(part, cut, length)
-        own = span_hash(part, p, r + length)
+        own = _in_text(span_hash(part, p, r + length), rows[np.searchsorted(cut, p, side="right") - 1])
         at = np.minimum(np.searchsorted(code, own), len(code) - 1)
         hit = np.flatnonzero(code[at] == own)
         x, offset = np.nonzero(mask[at[hit]])
         s = p[hit][x] + offset
-        ok = s <= r[hit][x]
-        np.add.at(edge, s[ok] + skip, 1)
-        np.add.at(edge, s[ok] + skip + length, -1)
+        s = s[s <= r[hit][x]] + off[rows[0]] + skip
+        edge += np.bincount(s, minlength=n + 1).astype(np.int32)
+        edge -= np.bincount(s + length, minlength=n + 1).astype(np.int32)
     gone = np.concatenate([[False], np.cumsum(edge[:-1]) > 0, [False]])
     turn = np.flatnonzero(gone[1:] != gone[:-1])
-    return turn[::2], turn[1::2]
+    start, end = turn[::2], turn[1::2]
+    out = []
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):      # a run may go on into the next text
+        i, j = np.searchsorted(end, a, side="right"), np.searchsorted(start, b)
+        out.append(((np.maximum(start[i:j], a) - a).tolist(), (np.minimum(end[i:j], b) - a).tolist()))
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -572,20 +591,22 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
         marks = tmp.write(marks.join(late, ["id", "h"], "full"), "marks", keep=True, codec="zstd")
         judged = keyed.join(marks, ["id", "h"], "left").select("id", "n", "z", "verdicts", "late", "copy")
 
-        def cut(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, sizes, zs, found, more, copy = (c.to_pylist() for c in b.columns)
-            spans, kept = [], []
-            for n, z, v, x, same in zip(sizes, zs, found, more, copy):
-                data = pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
-                s, e = [], []
-                if same:
-                    s, e = ([0], [n]) if n >= length else ([], [])
-                elif v or x:
-                    s, e = (a.tolist() for a in _removed(np.frombuffer(data, np.uint8), length, v or [], x or []))
-                spans.append([{"start": p, "end": q} for p, q in zip(s, e)])
-                kept.append(b"".join(data[p:q] for p, q in zip([0, *e], [*s, n])))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind), pa.array(kept, pa.binary())],
-                                              ["id", "n_bytes", "spans", "kept"])
-
-        return arrow_map(judged, cut, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in _slices(batch, 1):
+                    ids, sizes, zs, found, more, copy = (c.to_pylist() for c in b.columns)
+                    runs = [([0], [n]) if same and n >= length else ([], []) for n, same in zip(sizes, copy)]
+                    data = [pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True) if n else b"" for n, z in zip(sizes, zs)]
+                    some = [i for i, same in enumerate(copy) if not same and (found[i] or more[i])]
+                    if some:
+                        off = np.concatenate([[0], np.cumsum([sizes[i] for i in some])])
+                        raw = np.frombuffer(b"".join(data[i] for i in some), np.uint8)
+                        for i, run in zip(some, _removed(raw, off, length, [found[i] or [] for i in some], [more[i] or [] for i in some])):
+                            runs[i] = run
+                    spans = [[{"start": p, "end": q} for p, q in zip(s, e)] for s, e in runs]
+                    kept = [b"".join(d[p:q] for p, q in zip([0, *e], [*s, n])) for d, n, (s, e) in zip(data, sizes, runs)]
+                    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                                                     ["id", "n_bytes", "spans", "kept"])
+
+        return judged.mapInArrow(cut, "id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
