@@ -50,8 +50,8 @@ _ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _APART = _ENDS.copy()
 _APART[[0x20, 0x09]] = True
 
-PART_BYTES = 1 << 23
-BURST, HELD = 1 << 16, 1 << 21
+PART_BYTES = 1 << 22
+BURST, HELD = 1 << 16, 1 << 20
 MOST_BITS = 1 << 28
 HOT_SHARE = 256
 WORDS, PAIRS, WINDOWS, HOT = 0, 1, 2, 3
