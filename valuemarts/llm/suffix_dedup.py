@@ -578,7 +578,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
         least = texts.groupBy("h").agg(F.min("id").alias("least"))
         copies = tmp.write(texts.join(least, "h").select("id", "h", (F.col("id") > F.col("least")).alias("copy")), "copies")
         names = tmp.write(shared_names(docs, length, text, key), "names", codec="zstd")
-        names = names.join(copies.where("not copy").select("id", "h"), ["id", "h"], "left_semi").groupBy("id", "h").agg(F.collect_list("names").alias("names"))
+        names = names.groupBy("id", "h").agg(F.collect_list("names").alias("names")).join(copies.where("not copy").select("id", "h"), ["id", "h"], "left_semi")
         found = keyed.where(f"n >= {length}").join(names, ["id", "h"])
         ranked = tmp.write(_rank_contexts(_send_contexts(found, length, parts), length, parts), "ranked", codec="zstd")
         window = ranked.where("code is not null").select("id", "h", "code", "i", F.col("data").alias("w"))
