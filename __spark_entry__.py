@@ -18,7 +18,7 @@ import os
 import sys
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,8 @@ from valuemarts.plans import present, rfm  # noqa: E402
 from valuemarts.plans.marts import Marts  # noqa: E402
 from valuemarts.session import checkpoint_dir, delete_path  # noqa: E402
 from valuemarts.sources.export import export_marts, load_mart, with_position  # noqa: E402
-from valuemarts.sources.ingest import ParquetStaging, load_all  # noqa: E402
+from valuemarts.sources.ingest import LoadError, ParquetStaging, load_all  # noqa: E402
+from valuemarts.sources.spec import STAGING  # noqa: E402
 from valuemarts.sources.testdata import (  # noqa: E402
     LINEITEM_ORDER, LINEITEM_PK, FaultyStaging, TestDataStaging, write_csv, write_staging)
 
@@ -93,10 +94,40 @@ class Context:
         delete_path(self.spark, f"{self.root}/csv")
         return report, ParquetStaging(self.spark, f"{self.root}/loaded")
 
+    @cached_property
+    def faulty(self) -> ParquetStaging:
+        """The tables with faults set by rule, written once."""
+        write_staging(FaultyStaging(self.raw), f"{self.root}/faulty")
+        return ParquetStaging(self.spark, f"{self.root}/faulty")
+
+    @cached_property
+    def reloads(self) -> tuple[DataFrame, ParquetStaging, ParquetStaging]:
+        """Three loads into one folder: all tables but two; then orders and
+        products alone, with every second order; then sellers that break a rule,
+        with the products again, so that nothing is published.  Returns what
+        each load reported, a reader of the first load and one of the last."""
+        root, staging = f"{self.root}/reloads", TestDataStaging(self.spark, self.sf_dir, dedup=False)
+        write_csv(staging, f"{root}/csv-1", absent=("stg_geolocation", "stg_order_reviews"))
+        rows = [(1, *r) for r in load_all(self.spark, f"{root}/csv-1", f"{root}/tables").collect()]
+        first = ParquetStaging(self.spark, f"{root}/tables")
+        staging.__dict__["stg_orders"] = staging.stg_orders.where(F.substring("order_id", 2, 18).cast("long") % 2 == 0)
+        write_csv(staging, f"{root}/csv-2", absent=(), only=("stg_orders", "stg_products"))
+        rows += [(2, *r) for r in load_all(self.spark, f"{root}/csv-2", f"{root}/tables").collect()]
+        staging.__dict__["stg_sellers"] = staging.stg_sellers.withColumn("seller_city", F.lit(None).cast("string"))
+        write_csv(staging, f"{root}/csv-3", absent=(), only=("stg_sellers", "stg_products"))
+        try:
+            load_all(self.spark, f"{root}/csv-3", f"{root}/tables")
+        except LoadError:
+            rows.append((3, "all", "failed", None, None, None))
+        for k in (1, 2, 3):
+            delete_path(self.spark, f"{root}/csv-{k}")
+        report = self.spark.createDataFrame(rows, "load int, table_name string, status string, rows_in long, rows_dropped long, rows_out long")
+        return report, first, ParquetStaging(self.spark, f"{root}/tables")
+
     @cached_property
     def exports(self) -> str:
         """The folder that the marts are exported to."""
-        export_marts(self.marts.exports(), f"{self.root}/exports")
+        export_marts(self.marts.exports(), f"{self.root}/exports", order=Marts.EXPORT_ORDER)
         return f"{self.root}/exports"
 
     def release(self) -> None:
@@ -148,8 +179,31 @@ def _ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context(spark, sf_dir).loaded[0]
 
 
+def _reload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context(spark, sf_dir).reloads[0]
+
+
+def _reload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table as a reader of the first load sees them now, and as a
+    new reader does."""
+    _, first, last = context(spark, sf_dir).reloads
+    out = []
+    for name in STAGING:
+        count = [t.table(name).agg(F.count(F.lit(1)).alias("n")) for t in (first, last)]
+        out.append(count[0].select(F.lit(name).alias("table_name"), F.col("n").alias("rows_first"), count[1].scalar().alias("rows_now")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _reload_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of the last good snapshot meet: items by status of the orders that
+    the second load kept, with sellers that only the first one had."""
+    last = context(spark, sf_dir).reloads[2]
+    items = last.table("stg_order_items").join(last.table("stg_orders"), "order_id").join(last.table("stg_sellers"), "seller_id")
+    return items.groupBy("order_status").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("order_id").alias("orders"))
+
+
 def _over_faulty(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: fn(FaultyStaging(context(spark, sf_dir).raw).tables())
+    return lambda spark, sf_dir: fn(context(spark, sf_dir).faulty.tables())
 
 
 def _exported(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -214,6 +268,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedup_order_items": _dedup_order_items,
         "stg_timestamps_coerced": _timestamps_coerced,
         "ingest_report": _ingest_report,
+        "reload_report": _reload_report,
+        "reload_rows": _reload_rows,
+        "reload_orders": _reload_orders,
         "dq_pk_violations": _dq_pk,
         "dq_null_counts": _over_faulty(lambda t: quality.null_counts(quality.column_violations(t))),
         "dq_domain_violations": _over_faulty(lambda t: quality.domain_violations(quality.column_violations(t))),

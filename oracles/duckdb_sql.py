@@ -464,6 +464,40 @@ def _ingest_report() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
+def _reload_report() -> str:
+    """Three loads: without geolocation and reviews; every second order and the
+    products; one that fails."""
+    parts = []
+    for name, spec in STAGING.items():
+        src = f"{name}_raw" if name in ("stg_order_items", "stg_order_payments") else name
+        out = f"COUNT(DISTINCT ({', '.join(spec.pk)}))" if spec.pk else "COUNT(*)"
+        for load, absent in ((1, name in ("stg_geolocation", "stg_order_reviews")), (2, name not in ("stg_orders", "stg_products"))):
+            head = f"SELECT {load} AS load, '{name}' AS table_name, "
+            if absent:
+                parts.append(head + "'skipped' AS status, CAST(NULL AS BIGINT) AS rows_in, CAST(NULL AS BIGINT) AS rows_dropped, CAST(NULL AS BIGINT) AS rows_out")
+                continue
+            where = " WHERE CAST(substr(order_id, 2) AS BIGINT) % 2 = 0" if load == 2 and name == "stg_orders" else ""
+            parts.append(head + f"'loaded' AS status, CAST(COUNT(*) AS BIGINT) AS rows_in, CAST(COUNT(*) - {out} AS BIGINT) AS rows_dropped, "
+                         f"CAST({out} AS BIGINT) AS rows_out FROM {src}{where}")
+    parts.append("SELECT 3 AS load, 'all' AS table_name, 'failed' AS status, CAST(NULL AS BIGINT) AS rows_in, CAST(NULL AS BIGINT) AS rows_dropped, CAST(NULL AS BIGINT) AS rows_out")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _reload_rows() -> str:
+    parts = []
+    for name in STAGING:
+        first = "0" if name in ("stg_geolocation", "stg_order_reviews") else f"(SELECT COUNT(*) FROM {name})"
+        now = "(SELECT COUNT(*) FROM stg_orders WHERE CAST(substr(order_id, 2) AS BIGINT) % 2 = 0)" if name == "stg_orders" else first
+        parts.append(f"SELECT '{name}' AS table_name, CAST({first} AS BIGINT) AS rows_first, CAST({now} AS BIGINT) AS rows_now")
+    return "\nUNION ALL\n".join(parts)
+
+
+RELOAD_ORDERS = """
+SELECT order_status, CAST(COUNT(*) AS BIGINT) AS items, CAST(COUNT(DISTINCT order_id) AS BIGINT) AS orders
+FROM stg_order_items JOIN stg_orders USING (order_id) JOIN stg_sellers USING (seller_id)
+WHERE CAST(substr(order_id, 2) AS BIGINT) % 2 = 0 GROUP BY order_status"""
+
+
 SEGMENT_FILTER = ("Champions", "Loyal", "At-Risk")
 IN_FILTER = "rfm_segment IN (" + ", ".join(f"'{s}'" for s in SEGMENT_FILTER) + ")"
 
@@ -498,6 +532,9 @@ def selects(faulty: dict[str, str] = FAULTY) -> dict[str, str]:
         "dedup_order_items": q(
             "SELECT l_orderkey, l_linenumber, " + LINEITEM_ORDER + " FROM lineitem_first"),
         "ingest_report": q(_ingest_report()),
+        "reload_report": q(_reload_report()),
+        "reload_rows": q(_reload_rows()),
+        "reload_orders": q(RELOAD_ORDERS),
         "dq_pk_violations": q(_dq_pk({"stg_order_items": "stg_order_items_raw",
                                       "stg_order_payments": "stg_order_payments_raw"})),
         "dq_null_counts": q(_dq_null_counts(faulty)),
@@ -634,7 +671,7 @@ def selects(faulty: dict[str, str] = FAULTY) -> dict[str, str]:
 
 
 # Keys whose SELECT reads the driver's raw tables, not only staging and views.
-RAW_TABLE_KEYS = {"dedup_order_items", "ingest_report", "dq_pk_violations"}
+RAW_TABLE_KEYS = {"dedup_order_items", "ingest_report", "reload_report", "reload_rows", "reload_orders", "dq_pk_violations"}
 
 
 def _unwrap(sql: str) -> str:

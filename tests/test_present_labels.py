@@ -6,7 +6,7 @@ import pytest
 
 from oracles import duckdb_sql
 from valuemarts.plans import present
-from valuemarts.sources.export import export_mart, load_mart, ordered, with_position
+from valuemarts.sources.export import export_marts, load_mart, ordered, with_position
 
 from conftest import SF0001
 
@@ -33,7 +33,7 @@ def test_kpi_labels(spark):
 
 def test_export_keeps_the_order(spark, tmp_path):
     df = spark.createDataFrame([(i, float(i % 7) if i % 5 else None) for i in range(200)], "k int, v double").repartition(9)
-    export_mart(ordered(df, "-v", "k"), str(tmp_path), "m")
+    export_marts({"m": ordered(df, "-v", "k")}, str(tmp_path))
     rows = with_position(load_mart(spark, str(tmp_path), "m", cache=False)).orderBy("position").collect()
     assert [r.position for r in rows] == list(range(1, 201))
     assert [r.k for r in rows] == [r[0] for r in sorted(((i, float(i % 7) if i % 5 else None) for i in range(200)), key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from datetime import date, datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_number, month_start, year_month_text
@@ -32,24 +35,60 @@ def customer_order_months(fact: DataFrame) -> DataFrame:
             .distinct())
 
 
-def cohort_retention_grid(order_months: DataFrame) -> DataFrame:
-    """Customers of each cohort active ``period_number`` months after it.
+@dataclass(frozen=True)
+class MonthSpan:
+    """First month and number of months of a (customer, month) grain."""
+
+    first: date
+    months: int
+
+    @property
+    def words(self) -> int:
+        return -(-self.months // _WORD)
+
+
+#: months per 64-bit word (the sign bit stays free)
+_WORD = 63
+
+
+def month_span(months: DataFrame) -> MonthSpan | None:
+    """The span of the grain's months (one row to the driver); None if it has none."""
+    r = months.agg(F.min("order_month").alias("lo"), F.max("order_month").alias("hi")).first()
+    if r["lo"] is None:
+        return None
+    lo, hi = (x.date() if isinstance(x, datetime) else x for x in (r["lo"], r["hi"]))
+    return MonthSpan(lo, (hi.year - lo.year) * 12 + hi.month - lo.month + 1)
+
+
+def month_bits(span: MonthSpan) -> list[Column]:
+    """Aggregates over a customer's rows: bit i of word w is set if there is an
+    order in month 63 w + i of the span.  Rows without a month set none."""
+    place = month_number("order_month", F.lit(span.first))
+    return [F.coalesce(F.bit_or(F.when(F.floor(place / _WORD) == w, F.call_function("shiftleft", F.lit(1).cast("long"), place % _WORD))), F.lit(0).cast("long")).alias(f"months_{w}")
+            for w in range(span.words)]
+
+
+def cohort_retention_grid(customers: DataFrame, span: MonthSpan | None) -> DataFrame:
+    """Customers of each cohort active ``period_number`` months after it, read
+    off the month bits of the customer grain.
 
-    The cohort month is the earliest of a customer's distinct order months, so
-    it is found with a window over that customer's months instead of a join
-    with ``cohort_base``: after the DISTINCT a customer has at most one row per
-    calendar month, so no window partition grows with order volume.  A
-    (customer, period) pair occurs once, hence COUNT(*) equals the reference's
-    COUNT(DISTINCT customer).  Months of orders without a timestamp never
-    match a cohort, as in the reference's join condition.
+    Customers with equal bits are counted first, within each task; so one small
+    row per pattern is shuffled, no customer is sorted or windowed, and the
+    cells come from the patterns' bits: the lowest one is the cohort month.  A
+    customer has a period once, hence the count equals the reference's
+    COUNT(DISTINCT customer).  Customers without any dated order have no bits
+    and match no cohort, as in the reference's join condition.
     """
-    m = order_months.where(F.col("order_month").isNotNull())
-    first = F.min("order_month").over(Window.partitionBy(ID))
-    with_cohort = m.select(first.alias("cohort_month"), "order_month")
-    return (with_cohort
-            .select("cohort_month", month_number("order_month", "cohort_month").alias("period_number"))
-            .groupBy("cohort_month", "period_number")
-            .agg(F.count(F.lit(1)).alias("retained_customers")))
+    if span is None:
+        return customers.where("false").select(F.col("first_order_date").cast("date").alias("cohort_month"), F.lit(0).alias("period_number"),
+                                               F.lit(0).cast("long").alias("retained_customers"))
+    words = [F.col(f"months_{w}") for w in range(span.words)]
+    patterns = customers.groupBy(*words).agg(F.count(F.lit(1)).alias("c"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(span.months - 1)),
+                    lambda i: F.call_function("shiftright", F.element_at(F.array(*words), (F.floor(i / _WORD) + 1).cast("int")), i % _WORD).bitwiseAND(F.lit(1).cast("long")) == 1)
+    cells = patterns.select("c", held.alias("m")).where(F.size("m") > 0).select("c", F.element_at("m", 1).alias("first"), F.explode("m").alias("at"))
+    return (cells.select(F.add_months(F.lit(span.first), F.col("first")).alias("cohort_month"), (F.col("at") - F.col("first")).alias("period_number"), "c")
+            .groupBy("cohort_month", "period_number").agg(F.sum("c").alias("retained_customers")))
 
 
 def cohort_sizes(base: DataFrame) -> DataFrame:

@@ -3,15 +3,20 @@
 Each function takes staging DataFrames and returns a lazy DataFrame; none
 sorts.  Join strategies are left to Catalyst/AQE: small dimensions (category
 translation, sellers) are broadcast when their measured size is under
-``spark.sql.autoBroadcastJoinThreshold``; order-grain joins shuffle on the key.
+``spark.sql.autoBroadcastJoinThreshold``.  Staging tables bucketed by order id
+meet on it without a shuffle; items meet products and sellers in joins that are
+split at heavy keys (``operators.skew``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day_diff
+from ..operators.skew import join_dimension
 
 DELIVERED = "delivered"
 
@@ -45,15 +50,16 @@ def fact_orders(stg_orders: DataFrame, stg_customers: DataFrame,
                 stg_order_payments: DataFrame) -> DataFrame:
     """One row per order of a known customer, all statuses.
 
-    ``revenue`` is the order's payment total when delivered, else NULL (also
+    Payments come first: bucketed by order, they meet the orders without a
+    shuffle.  ``revenue`` is the order's payment total when delivered, else NULL (also
     NULL for a delivered order without payment rows).  When a mart does not
     use the payment columns, Catalyst removes the payment join entirely.
     """
     o = stg_orders.alias("o")
     c = stg_customers.select("customer_id", "customer_unique_id").alias("c")
     pay = order_payments_total(stg_order_payments).alias("pay")
-    return (o.join(c, F.col("o.customer_id") == F.col("c.customer_id"))
-            .join(pay, F.col("o.order_id") == F.col("pay.order_id"), "left")
+    return (o.join(pay, F.col("o.order_id") == F.col("pay.order_id"), "left")
+            .join(c, F.col("o.customer_id") == F.col("c.customer_id"))
             .select(F.col("o.order_id").alias("order_id"),
                     F.col("c.customer_unique_id").alias("customer_unique_id"),
                     F.col("o.order_status").alias("order_status"),
@@ -72,20 +78,26 @@ def delivered_orders(fact: DataFrame) -> DataFrame:
     return fact.where(F.col("order_status") == DELIVERED)
 
 
-def fact_order_items(stg_order_items: DataFrame, dim_prod: DataFrame) -> DataFrame:
-    """Items with their category; category is NULL (not 'unknown') for an item
-    whose product row is missing."""
-    oi = stg_order_items.alias("oi")
-    dp = dim_prod.select("product_id", "category_en").alias("dp")
-    return (oi.join(dp, F.col("oi.product_id") == F.col("dp.product_id"), "left")
-            .select(F.col("oi.order_id").alias("order_id"),
-                    F.col("oi.order_item_id").alias("order_item_id"),
-                    F.col("oi.product_id").alias("product_id"),
-                    F.col("oi.seller_id").alias("seller_id"),
-                    F.col("dp.category_en").alias("category_en"),
-                    F.col("oi.price").alias("price"),
-                    F.col("oi.freight_value").alias("freight_value"),
-                    (F.col("oi.price") + F.col("oi.freight_value")).alias("item_total")))
+def item_facts(stg_order_items: DataFrame, dim_prod: DataFrame, stg_sellers: DataFrame,
+               heavy_products: Sequence[str] = (), heavy_sellers: Sequence[str] = ()) -> DataFrame:
+    """Items with their product's category and their seller's state.
+
+    Category and state are NULL for an item whose product or seller has no row;
+    ``known_seller`` tells such a seller from one without a state.  Both joins
+    are split at the heavy keys, so a hot product or seller is no hot task.
+    """
+    items = join_dimension(stg_order_items, dim_prod.select("product_id", "category_en"), "product_id", heavy_products)
+    sellers = stg_sellers.select("seller_id", "seller_state", F.lit(True).alias("known_seller"))
+    return (join_dimension(items, sellers, "seller_id", heavy_sellers)
+            .select("order_id", "order_item_id", "product_id", "seller_id", "category_en", "seller_state",
+                    F.coalesce("known_seller", F.lit(False)).alias("known_seller"), "price", "freight_value"))
+
+
+def fact_order_items(items: DataFrame) -> DataFrame:
+    """Items with their category (from :func:`item_facts`); category is NULL
+    (not 'unknown') for an item whose product row is missing."""
+    return items.select("order_id", "order_item_id", "product_id", "seller_id", "category_en", "price", "freight_value",
+                        (F.col("price") + F.col("freight_value")).alias("item_total"))
 
 
 def fact_reviews(stg_order_reviews: DataFrame, fact: DataFrame) -> DataFrame:

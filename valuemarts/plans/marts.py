@@ -1,14 +1,17 @@
 """All marts over one set of staging tables.
 
 ``Marts(staging)`` composes the view functions the way the views reference
-each other.  Four grains feed many marts and are written once, as Parquet
+each other.  Six grains feed many marts and are written once, as Parquet
 below the session's checkpoint folder, when first needed: the order facts
-(orders joined with customers and payments), the (customer, month) grain of
-the delivered orders, the customer grain, and the RFM segments (whose
-quintiles take a few small jobs).  So asking for a mart may run jobs;
-``prepare()`` writes the four at once, ``release()`` deletes them.  With
-``materialize=False`` nothing is written and every mart is one lazy plan but
-for the quintiles' cut keys.
+(orders joined with customers and payments), the items with category and
+seller state, the delivered orders with their review weights, the (customer,
+month) grain of the delivered orders, the customer grain with its months as
+bits, and the RFM segments (whose quintiles take a few small jobs).  The three
+order-grain ones are bucketed by order id, so the marts that join them shuffle
+nothing by order.  So asking for a mart may run jobs; ``prepare()`` writes the
+six at once, ``release()`` deletes them.  With ``materialize=False`` nothing is
+written and every mart is one lazy plan but for the quintiles' cut keys, the
+heavy keys of the items, the months' span and the scatter's threshold.
 
 ``register_views`` exposes every mart to ``spark.sql`` under the view names.
 """
@@ -20,6 +23,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..operators import quality
+from ..operators.skew import heavy_keys
 from ..session import delete_path, materialize
 from ..sources.export import ordered
 from . import cohort, conform, present, rfm, risk
@@ -32,17 +36,17 @@ class Marts:
         self.materialize = materialize
         self._written: list[str] = []
 
-    def _once(self, df: DataFrame, name: str) -> DataFrame:
+    def _once(self, df: DataFrame, name: str, bucket_by: str | None = None, arranged: bool = False) -> DataFrame:
         """``df``, written once if this context writes its grains."""
         if not self.materialize:
             return df
-        out, path = materialize(df, name)
+        out, path = materialize(df, name, bucket_by, arranged)
         self._written.append(path)
         return out
 
     def prepare(self) -> "Marts":
         """Write the shared grains now."""
-        _ = self.fact_orders, self.month_grain, self.customer_orders, self.rfm_segments
+        _ = self.fact_orders, self.item_facts, self.order_weights, self.month_grain, self.customer_orders, self.rfm_segments
         return self
 
     # -- staging -------------------------------------------------------------
@@ -65,11 +69,25 @@ class Marts:
     @cached_property
     def fact_orders(self):
         return self._once(conform.fact_orders(self.stg("stg_orders"), self.stg("stg_customers"),
-                                              self.stg("stg_order_payments")), "fact_orders")
+                                              self.stg("stg_order_payments")), "fact_orders", "order_id")
+
+    @cached_property
+    def heavy_keys(self) -> dict[str, list[str]]:
+        """Products and sellers that hold a large share of the items."""
+        return {key: heavy_keys(self.stg("stg_order_items"), key) for key in ("product_id", "seller_id")}
+
+    @cached_property
+    def item_facts(self):
+        return self._once(conform.item_facts(self.stg("stg_order_items"), self.dim_products, self.stg("stg_sellers"),
+                                             self.heavy_keys["product_id"], self.heavy_keys["seller_id"]), "item_facts", "order_id")
+
+    @cached_property
+    def order_weights(self):
+        return self._once(risk.order_weights(self.fact_orders, self.stg("stg_order_reviews")), "order_weights", "order_id")
 
     @cached_property
     def fact_order_items(self):
-        return conform.fact_order_items(self.stg("stg_order_items"), self.dim_products)
+        return conform.fact_order_items(self.item_facts)
 
     @cached_property
     def fact_reviews(self):
@@ -82,7 +100,11 @@ class Marts:
 
     @cached_property
     def customer_orders(self):
-        return self._once(rfm.customers_of(self.month_grain), "customer_orders")
+        return self._once(rfm.customers_of(self.month_grain, self.month_span), "customer_orders")
+
+    @cached_property
+    def month_span(self):
+        return cohort.month_span(self.month_grain)
 
     def release(self) -> None:
         """Delete the tables this context wrote under the checkpoint folder.
@@ -131,7 +153,7 @@ class Marts:
 
     @cached_property
     def cohort_retention_grid(self):
-        return cohort.cohort_retention_grid(self.customer_order_months)
+        return cohort.cohort_retention_grid(self.customer_orders, self.month_span)
 
     @cached_property
     def cohort_sizes(self):
@@ -164,19 +186,15 @@ class Marts:
 
     @cached_property
     def delivery_delay_by_seller_state(self):
-        return risk.delivery_delay_by_seller_state(
-            self.fact_orders, self.stg("stg_order_items"), self.stg("stg_sellers"),
-            self.stg("stg_order_reviews"))
+        return risk.delivery_delay_by_seller_state(self.item_facts, self.order_weights)
 
     @cached_property
     def segment_delivery_experience(self):
-        return risk.segment_delivery_experience(self.rfm_segments, self.fact_orders,
-                                                self.stg("stg_order_reviews"))
+        return risk.segment_delivery_experience(self.rfm_segments, self.order_weights)
 
     @cached_property
     def category_revenue_delivery(self):
-        return risk.category_revenue_delivery(self.stg("stg_order_items"), self.dim_products, self.fact_orders,
-                                              self.stg("stg_order_reviews"))
+        return risk.category_revenue_delivery(self.item_facts, self.order_weights)
 
     @cached_property
     def late_rate_ratio(self):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import day_diff, month_start
 from ..functions.exact import cents, ratio_round, round_money
 from ..operators.ntile import NtileSpec, add_ntiles
+from ..operators.topk import first_by_hash
+from .cohort import MonthSpan, month_bits
 from .conform import delivered_orders
 
 ID = "customer_unique_id"
@@ -50,13 +52,15 @@ def month_grain(fact: DataFrame) -> DataFrame:
                  F.sum("revenue").alias("monetary")))
 
 
-def customers_of(months: DataFrame) -> DataFrame:
-    """The customer grain from the (customer, month) grain."""
+def customers_of(months: DataFrame, span: MonthSpan | None = None) -> DataFrame:
+    """The customer grain from the (customer, month) grain; with ``span`` it
+    also holds the customer's months as bits (``cohort.month_bits``)."""
+    bits = month_bits(span) if span else []
     return (months.groupBy(ID)
             .agg(F.min("first_order_date").alias("first_order_date"),
                  F.max("last_order_date").alias("last_order_date"),
                  F.sum("frequency").alias("frequency"),
-                 F.sum("monetary").alias("monetary")))
+                 F.sum("monetary").alias("monetary"), *bits))
 
 
 def reference_date(customers: DataFrame):
@@ -141,9 +145,8 @@ def repeat_rate(raw: DataFrame) -> DataFrame:
 
 def rfm_scatter(segments: DataFrame, size: int = 6000) -> DataFrame:
     """Deterministic sample of ``size`` customers for the recency/spend chart:
-    the first ``size`` by md5 of the id (a top-k, merged from per-partition top-k)."""
-    return (segments.select(ID, "recency_days", "monetary", "frequency", "rfm_segment")
-            .orderBy(F.md5(F.col(ID)), F.col(ID)).limit(size))
+    the first ``size`` by md5 of the id."""
+    return first_by_hash(segments.select(ID, "recency_days", "monetary", "frequency", "rfm_segment"), ID, size)
 
 
 def filter_segments(df: DataFrame, segments: Sequence[str]) -> DataFrame:

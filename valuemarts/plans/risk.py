@@ -32,14 +32,15 @@ def reviews_per_order(stg_order_reviews: DataFrame) -> DataFrame:
                  F.count("review_score").alias("score_n")))
 
 
-def _with_reviews(orders: DataFrame, stg_order_reviews: DataFrame) -> DataFrame:
-    """LEFT JOIN the per-order review aggregate; ``w`` = rows one order row
-    becomes after the reference's LEFT JOIN to reviews."""
-    rev = reviews_per_order(stg_order_reviews)
-    return orders.join(rev, "order_id", "left").withColumns({
-        "w": F.coalesce(F.col("n_reviews"), F.lit(1)),
-        "score_sum": F.coalesce(F.col("score_sum"), F.lit(0)),
-        "score_n": F.coalesce(F.col("score_n"), F.lit(0))})
+def order_weights(fact: DataFrame, stg_order_reviews: DataFrame) -> DataFrame:
+    """Delivered orders with their review aggregate; ``w`` = rows one order row
+    becomes after the reference's LEFT JOIN to reviews.  The three fan-out marts
+    read it.  Both sides are grouped or bucketed by order, so where the tables
+    are bucketed nothing is shuffled."""
+    fo = delivered_orders(fact).select("order_id", ID, "revenue", "delivery_delay_days")
+    return fo.join(reviews_per_order(stg_order_reviews), "order_id", "left").select(
+        "order_id", ID, "revenue", "delivery_delay_days", F.coalesce(F.col("n_reviews"), F.lit(1)).alias("w"),
+        F.coalesce(F.col("score_sum"), F.lit(0)).alias("score_sum"), F.coalesce(F.col("score_n"), F.lit(0)).alias("score_n"))
 
 
 def _late(delay: str = "delivery_delay_days") -> F.Column:
@@ -115,18 +116,12 @@ def late_rate_ratio(dvr: DataFrame, low: int = 1, high: int = 5) -> DataFrame:
 
 # -- fan-out marts, computed without the fan-out ------------------------------
 
-def delivery_delay_by_seller_state(fact: DataFrame, stg_order_items: DataFrame,
-                                   stg_sellers: DataFrame, stg_order_reviews: DataFrame) -> DataFrame:
+def delivery_delay_by_seller_state(items: DataFrame, weights: DataFrame) -> DataFrame:
     """Delivered orders with a known delay, by seller state, weighted by
-    items × reviews per order as in the reference."""
-    fo = (delivered_orders(fact).where(F.col("delivery_delay_days").isNotNull())
-          .select("order_id", "delivery_delay_days"))
-    # only items of these orders go on; partitioned by order, they need no
-    # further shuffle where the sellers are small enough to broadcast
-    items = (stg_order_items.select("order_id", "seller_id").join(fo, "order_id")
-             .join(stg_sellers.select("seller_id", "seller_state"), "seller_id")
-             .groupBy("order_id", "seller_state", "delivery_delay_days").agg(F.count(F.lit(1)).alias("n_items")))
-    x = _with_reviews(items, stg_order_reviews)
+    items × reviews per order as in the reference (``conform.item_facts``,
+    :func:`order_weights`)."""
+    per_order = (items.where("known_seller").groupBy("order_id", "seller_state").agg(F.count(F.lit(1)).alias("n_items")))
+    x = per_order.join(weights.where(F.col("delivery_delay_days").isNotNull()), "order_id")
     rows = F.col("n_items") * F.col("w")
     g = x.groupBy("seller_state").agg(
         F.count(F.lit(1)).alias("delivered_order_count"),  # one row per (order, state)
@@ -142,13 +137,12 @@ def delivery_delay_by_seller_state(fact: DataFrame, stg_order_items: DataFrame,
         ratio_round("_score", "_score_n", 2).alias("avg_review_score"))
 
 
-def segment_delivery_experience(segments: DataFrame, fact: DataFrame,
-                                stg_order_reviews: DataFrame) -> DataFrame:
+def segment_delivery_experience(segments: DataFrame, weights: DataFrame) -> DataFrame:
     """Delivery experience per segment, weighted by reviews per delivered
-    order; ``segment_revenue`` repeats each customer's total once per such
-    row, as in the reference (so it differs from revenue_by_segment)."""
-    fo = delivered_orders(fact).select("order_id", ID, "delivery_delay_days")
-    x = _with_reviews(fo, stg_order_reviews)
+    order (:func:`order_weights`); ``segment_revenue`` repeats each customer's
+    total once per such row, as in the reference (so it differs from
+    revenue_by_segment)."""
+    x = weights
     known = F.col("delivery_delay_days").isNotNull()
     per_customer = x.groupBy(ID).agg(
         F.sum("w").alias("rows"),
@@ -172,16 +166,12 @@ def segment_delivery_experience(segments: DataFrame, fact: DataFrame,
         ratio_round(F.col("_late") * 100, "_rows", 2).alias("late_delivery_pct"))
 
 
-def category_revenue_delivery(stg_order_items: DataFrame, dim_prod: DataFrame, fact: DataFrame,
-                              stg_order_reviews: DataFrame) -> DataFrame:
+def category_revenue_delivery(items: DataFrame, weights: DataFrame) -> DataFrame:
     """Per category (NULL is a group) over delivered orders; order revenue
-    repeats once per item × review, as in the reference."""
-    fo = delivered_orders(fact).select("order_id", "revenue", "delivery_delay_days")
-    # only items of delivered orders meet the products
-    items = (stg_order_items.select("order_id", "product_id").join(fo, "order_id")
-             .join(dim_prod.select("product_id", "category_en"), "product_id", "left")
-             .groupBy("order_id", "category_en", "revenue", "delivery_delay_days").agg(F.count(F.lit(1)).alias("n_items")))
-    x = _with_reviews(items, stg_order_reviews)
+    repeats once per item × review, as in the reference (``conform.item_facts``,
+    :func:`order_weights`)."""
+    per_order = items.groupBy("order_id", "category_en").agg(F.count(F.lit(1)).alias("n_items"))
+    x = per_order.join(weights, "order_id")
     rows = F.col("n_items") * F.col("w")
     known = F.col("delivery_delay_days").isNotNull()
     g = x.groupBy("category_en").agg(

@@ -63,9 +63,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df, label: str = "table"):
+def materialize(df, label: str = "table", bucket_by: str | None = None, arranged: bool = False):
     """Write ``df`` as a Parquet table in the session's checkpoint folder and
-    return ``(DataFrame reading it, path)`` — lineage cut in one job.
+    return ``(DataFrame reading it, path)`` — lineage cut in one job.  With
+    ``bucket_by`` the table is bucketed (see :func:`write_bucketed`).
 
     ``Dataset.checkpoint(eager=True)`` would compute the plan twice (a count,
     then the checkpoint write) and store row-serialised files.  The folder is
@@ -73,8 +74,12 @@ def materialize(df, label: str = "table"):
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/valuemarts/{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    if bucket_by is None:
+        df.write.mode("error").parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+    count = default_buckets(spark)
+    write_bucketed(df, path, bucket_by, count, arranged)
+    return read_bucketed(spark, path, df.schema, bucket_by, count), path
 
 
 def reliable_checkpoint(df, label: str = "table"):
@@ -82,6 +87,41 @@ def reliable_checkpoint(df, label: str = "table"):
     return materialize(df, label)[0]
 
 
+# -- bucketed tables -----------------------------------------------------------
+
+def default_buckets(spark: SparkSession) -> int:
+    """Tables that are to meet without a shuffle need equal bucket counts, so
+    all of a context's follow ``spark.sql.shuffle.partitions``."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_bucketed(df, path: str, column: str, count: int, arranged: bool = False) -> None:
+    """Write ``df`` to ``path`` in ``count`` buckets of ``column``, one sorted
+    file each: rows are shuffled once, here, by the hash that Spark's joins
+    use, unless they are ``arranged`` so (``count`` partitions by ``column``).
+
+    Only tables of a catalog carry a bucket layout, so an entry is made for
+    the write and dropped again; the files are outside the warehouse and stay.
+    """
+    spark, name = df.sparkSession, f"valuemarts_{uuid.uuid4().hex}"
+    rows = df if arranged else df.repartition(count, column)
+    rows.write.format("parquet").bucketBy(count, column).sortBy(column).option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def read_bucketed(spark: SparkSession, path: str, schema, column: str, count: int):
+    """The table at ``path`` with its bucket layout: joins and aggregations by
+    ``column`` with tables of the same layout need no exchange."""
+    name = f"valuemarts_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{column}`) SORTED BY (`{column}`) INTO {count} BUCKETS "
+              f"LOCATION '{path}'")
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a folder written by :func:`materialize` (any Hadoop file system)."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,17 +12,24 @@ or NOT NULL column or when such a column holds a NULL; other absent columns
 are NULL.  Text longer than its VARCHAR(n) is counted, and fails the load too
 unless ``enforce_lengths`` is off.
 
-Each load writes a new version folder and only then records it in the table's
-manifest; readers follow the manifest, so a failed load leaves the table as it
-was.  A table without a manifest was never loaded and cannot be read; one
-recorded as skipped reads as empty.
+A load writes new version folders and, after the last table, commits one
+*snapshot*: a numbered manifest of all nine tables, made visible by a rename.
+A table whose CSV is absent keeps the version it has, as a load that finds no
+file leaves the rows alone; it is reported as skipped.  Readers pin a snapshot
+and so see one set of tables whatever is loaded meanwhile; a load that fails or
+dies between two tables leaves the former set.  The snapshot before the current
+one is kept for its readers; older ones and their files are deleted by the next
+commit, and ``Snapshots.vacuum`` removes what a dead load left.  A table that no snapshot
+names was never loaded and cannot be read; one that was only ever skipped reads
+as empty.
+
+Tables that meet on the order id are written in buckets of it (``spec``), so
+their joins need no shuffle.
 """
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -30,8 +37,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dedup import keep_first
-from ..session import delete_path
+from ..operators.dedup import keep_by_position, keep_first
+from ..session import default_buckets, delete_path, read_bucketed, write_bucketed
+from .snapshots import Snapshots, file_system
 from .spec import STAGING, TableSpec
 
 REPORT_SCHEMA = T.StructType([
@@ -52,13 +60,8 @@ class LoadError(ValueError):
     """A file breaks its table's declared rules."""
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def _path_exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     return fs.exists(p)
 
 
@@ -76,24 +79,46 @@ def read_raw_csv(spark: SparkSession, path: str, spec: TableSpec) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in header])
     raw = (spark.read.schema(schema).option("header", True)
            .option("multiLine", spec.multiline).option("escape", '"').csv(path))
-    return with_file_position(raw)
+    return with_file_position(raw, path)
+
 
+# Column that records where a row sits in its source.
+POSITION = "_src_position"
+_ROW_BITS, _BLOCK_BITS = 33, 44
 
-# Columns that record where a row sits in its source file.
-POSITION = ("_src_file", "_src_block", "_src_row")
+
+def _file_numbers(spark: SparkSession, path: str) -> DataFrame | None:
+    """(name, number) of a folder's files by name; None for a single file.  As
+    many rows as the driver lists files for the scan."""
+    fs, p = file_system(spark, path)
+    if not fs.getFileStatus(p).isDirectory():
+        return None
+    names = sorted(str(x.getPath().getName()) for x in fs.listStatus(p))
+    return spark.createDataFrame(list(zip(names, range(len(names)))), "_src_name string, _src_number int")
 
 
-def with_file_position(raw: DataFrame) -> DataFrame:
-    """Tag each row with (file, split offset, row id) right after the scan.
+def with_file_position(raw: DataFrame, path: str) -> DataFrame:
+    """Number each row by file, split offset and place in the split, packed into
+    one decimal that a hash aggregate can take the minimum of.
 
     Within a task rows are read in file order and ``monotonically_increasing_id``
-    grows with them; splits of one file are ordered by their start offset.  So
-    the triple orders rows as they appear in the file, and a re-run task reads
-    the same split and assigns the same ids.
+    grows with them (its low 33 bits count the task's rows); splits of one file
+    are ordered by their start offset.  So the number orders rows as they appear
+    in the file, and a re-run task reads the same split and assigns the same.
     """
-    return raw.select("*", F.col("_metadata.file_path").alias(POSITION[0]),
-                      F.col("_metadata.file_block_start").alias(POSITION[1]),
-                      F.monotonically_increasing_id().alias(POSITION[2]))
+    files = _file_numbers(raw.sparkSession, path)
+    tagged = raw.select("*", F.col("_metadata.file_name").alias("_src_name"), F.col("_metadata.file_block_start").alias("_src_block"),
+                        F.monotonically_increasing_id().alias("_src_row"))
+    if files is None:
+        number = F.lit(0)
+    else:
+        tagged = tagged.join(F.broadcast(files), "_src_name", "left")
+        number = F.coalesce("_src_number", F.raise_error(F.concat(F.lit("no number for file "), "_src_name")).cast("int"))
+    wide = "decimal(38,0)"
+    block = (number.cast("decimal(10,0)") * F.lit(1 << _BLOCK_BITS).cast("decimal(15,0)")).cast(wide) + F.col("_src_block").cast(wide)
+    place = F.col("_src_row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    packed = (block.cast("decimal(26,0)") * F.lit(1 << _ROW_BITS).cast("decimal(11,0)")).cast(wide) + place.cast(wide)
+    return tagged.select(*[F.col(f"`{c}`") for c in raw.columns], packed.cast(wide).alias(POSITION))
 
 
 def check_columns(raw: DataFrame, spec: TableSpec) -> None:
@@ -138,12 +163,10 @@ def as_csv_text(df: DataFrame) -> DataFrame:
 def stage(raw: DataFrame, spec: TableSpec) -> DataFrame:
     """Typed table, first row per primary key.  "First" is file order when the
     frame carries file positions (``read_raw_csv``), else the declared order."""
-    located = all(c in raw.columns for c in POSITION)
     if not spec.pk:
         return coerce(raw, spec)
-    if located:
-        typed = coerce(raw, spec, keep=POSITION)
-        return keep_first(typed, spec.pk, list(POSITION)).drop(*POSITION)
+    if POSITION in raw.columns:
+        return keep_by_position(coerce(raw, spec, keep=(POSITION,)), spec.pk, POSITION).drop(POSITION)
     return keep_first(coerce(raw, spec), spec.pk, spec.keep_first_order())
 
 
@@ -159,48 +182,32 @@ class LoadResult:
         return (self.table_name, self.status, self.rows_in, dropped, self.rows_out)
 
 
-# -- versions and manifests ----------------------------------------------------
+# -- versions and snapshots ------------------------------------------------------
 
-def publish(spark: SparkSession, staging_dir: str, table: str, entry: dict) -> None:
-    """Record a table's state.  Manifests are numbered and never replaced; a
-    rename makes the new one visible, and readers take the highest number."""
-    folder = f"{staging_dir.rstrip('/')}/_manifest/{table}"
-    number = max([n for n, _ in _manifests(spark, folder)], default=0) + 1
-    fs, part = _fs(spark, f"{folder}/{uuid.uuid4().hex}.part")
-    out = fs.create(part, False)
-    out.write(bytearray(json.dumps(entry).encode()))
-    out.close()
-    _, final = _fs(spark, f"{folder}/{number:08d}.json")
-    if not fs.rename(part, final):
-        raise LoadError(f"{table}: another load published version {number} meanwhile")
+def write_version(df: DataFrame, staging_dir: str, table: str) -> dict:
+    """Write a new version folder of the table; returns its snapshot entry."""
+    path, column = Snapshots(df.sparkSession, staging_dir).new_version(table), STAGING[table].bucket_by
+    if column is None:
+        df.write.parquet(path)
+        return {"status": "loaded", "path": path}
+    count = default_buckets(df.sparkSession)
+    write_bucketed(df, path, column, count)
+    return {"status": "loaded", "path": path, "bucket_by": column, "buckets": count}
 
 
-def _manifests(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
-    fs, p = _fs(spark, folder)
-    if not fs.exists(p):
-        return []
-    names = [str(x.getPath().getName()) for x in fs.listStatus(p)]
-    return sorted((int(n[:-5]), f"{folder}/{n}") for n in names if re.fullmatch(r"\d+\.json", n))
+def read_version(spark: SparkSession, table: str, entry: dict) -> DataFrame:
+    """A table as a snapshot names it, with its declared schema."""
+    schema = STAGING[table].schema
+    if entry["status"] == "skipped":
+        return spark.createDataFrame([], schema)
+    if "buckets" in entry:
+        return read_bucketed(spark, entry["path"], schema, entry["bucket_by"], entry["buckets"])
+    return spark.read.schema(schema).parquet(entry["path"])
 
 
 def manifest(spark: SparkSession, staging_dir: str, table: str) -> dict | None:
-    """The table's recorded state: status (loaded or skipped), path, counts."""
-    found = _manifests(spark, f"{staging_dir.rstrip('/')}/_manifest/{table}")
-    if not found:
-        return None
-    fs, p = _fs(spark, found[-1][1])
-    stream = fs.open(p)
-    try:
-        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-
-
-def write_version(df: DataFrame, staging_dir: str, table: str) -> str:
-    """Write a new version folder of the table; returns its path."""
-    path = f"{staging_dir.rstrip('/')}/{table}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
+    """The table's entry in the current snapshot."""
+    return Snapshots(spark, staging_dir).current()["tables"].get(table)
 
 
 def _broken_rules(spec: TableSpec) -> dict[str, tuple[str, F.Column]]:
@@ -210,32 +217,57 @@ def _broken_rules(spec: TableSpec) -> dict[str, tuple[str, F.Column]]:
     return rules
 
 
-def load_table(spark: SparkSession, data_dir: str, out_dir: str, spec: TableSpec,
-               enforce_lengths: bool = True) -> LoadResult:
+def stage_table(spark: SparkSession, data_dir: str, out_dir: str, spec: TableSpec,
+                enforce_lengths: bool = True) -> tuple[LoadResult, dict | None]:
+    """Write a new version of one table from its CSV, without publishing it;
+    returns the report row and the snapshot entry (None: no CSV)."""
     path = find_csv(spark, data_dir, spec.csv_stem)
-    before = manifest(spark, out_dir, spec.name)
     if path is None:
-        publish(spark, out_dir, spec.name, {"status": "skipped"})
-        return LoadResult(spec.name, "skipped")
+        return LoadResult(spec.name, "skipped"), None
     seen = Observation(f"load_{spec.name}")
     rules = _broken_rules(spec)
     # rows read and broken rules are counted on the typed rows, before
-    # de-duplication, while the write job runs: no second scan
+    # de-duplication, while the write job runs
     raw = read_raw_csv(spark, path, spec)
-    typed = coerce(raw, spec, keep=POSITION).observe(
+    typed = coerce(raw, spec, keep=(POSITION,))
+    checked = typed.observe(
         seen, F.count(F.lit(1)).alias("rows_in"), *[F.count(F.when(cond, 1)).alias(k) for k, (_, cond) in rules.items()])
-    rows = (keep_first(typed, spec.pk, list(POSITION)) if spec.pk else typed).drop(*POSITION)
-    version = write_version(rows, out_dir, spec.name)
+    rows = (keep_by_position(checked, spec.pk, POSITION, keys=typed) if spec.pk else checked).drop(POSITION)
+    entry = write_version(rows, out_dir, spec.name)
     got = seen.get
     broken = [f"{got[k]} rows {what}" for k, (what, _) in rules.items() if got[k] and (enforce_lengths or k.startswith("null_"))]
     if broken:
-        delete_path(spark, version)
+        delete_path(spark, entry["path"])
         raise LoadError(f"{spec.name}: " + "; ".join(broken))
-    rows_out = spark.read.parquet(version).count()   # from Parquet footers
-    publish(spark, out_dir, spec.name, {"status": "loaded", "path": version, "rows_in": got["rows_in"], "rows_out": rows_out})
-    if before and before["status"] == "loaded":
-        delete_path(spark, before["path"])
-    return LoadResult(spec.name, "loaded", got["rows_in"], rows_out)
+    entry |= {"rows_in": got["rows_in"], "rows_out": spark.read.parquet(entry["path"]).count()}   # from Parquet footers
+    return LoadResult(spec.name, "loaded", entry["rows_in"], entry["rows_out"]), entry
+
+
+def load_tables(spark: SparkSession, data_dir: str, out_dir: str, specs: Sequence[TableSpec], parallel_jobs: int = 4,
+                enforce_lengths: bool = True) -> list[LoadResult]:
+    """Stage the tables and commit them as one snapshot; if one fails, nothing
+    is published and what the others wrote is deleted."""
+    snapshots = Snapshots(spark, out_dir)
+    before = snapshots.current()
+    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
+        jobs = [pool.submit(stage_table, spark, data_dir, out_dir, spec, enforce_lengths) for spec in specs]
+    written = {job.result()[0].table_name: job.result()[1] for job in jobs if not job.exception() and job.result()[1]}
+    try:
+        results = [job.result()[0] for job in jobs]                    # raises the first failure
+        skipped = {r.table_name: {"status": "skipped"} for r in results
+                   if r.status == "skipped" and r.table_name not in before["tables"]}
+        snapshots.commit(before, written | skipped)
+    except BaseException:
+        for entry in written.values():
+            delete_path(spark, entry["path"])
+        raise
+    return results
+
+
+def load_table(spark: SparkSession, data_dir: str, out_dir: str, spec: TableSpec,
+               enforce_lengths: bool = True) -> LoadResult:
+    """Load one table; the others stay as they are."""
+    return load_tables(spark, data_dir, out_dir, [spec], 1, enforce_lengths)[0]
 
 
 def load_all(spark: SparkSession, data_dir: str, out_dir: str, parallel_jobs: int = 4,
@@ -245,28 +277,28 @@ def load_all(spark: SparkSession, data_dir: str, out_dir: str, parallel_jobs: in
     The tables are independent jobs, submitted from a few driver threads so
     they share the cluster instead of queueing one after another.
     """
-    with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
-        results = list(pool.map(lambda spec: load_table(spark, data_dir, out_dir, spec, enforce_lengths),
-                                STAGING.values()))
+    results = load_tables(spark, data_dir, out_dir, list(STAGING.values()), parallel_jobs, enforce_lengths)
     return spark.createDataFrame([r.row() for r in results], REPORT_SCHEMA)
 
 
 class ParquetStaging:
-    """Staging tables written by :func:`load_all` (same interface as the test-data mapping)."""
+    """Staging tables of one snapshot (same interface as the test-data mapping).
+    The snapshot is read when the object is made and pinned: a later load does
+    not show."""
 
     def __init__(self, spark: SparkSession, staging_dir: str):
         self.spark = spark
         self.staging_dir = staging_dir.rstrip("/")
+        self.snapshot = Snapshots(spark, self.staging_dir).current()
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """The table's current version, read with its declared schema; only a
-        table recorded as skipped reads as empty."""
-        state = manifest(self.spark, self.staging_dir, name)
-        if state is None:
-            raise LoadError(f"{name} was never loaded into {self.staging_dir}")
-        if state["status"] == "skipped":
-            return self.spark.createDataFrame([], STAGING[name].schema)
-        return self.spark.read.schema(STAGING[name].schema).parquet(state["path"])
+        """The table's pinned version; one that was only ever skipped is empty."""
+        if name not in self._tables:
+            if name not in self.snapshot["tables"]:
+                raise LoadError(f"{name} was never loaded into {self.staging_dir}")
+            self._tables[name] = read_version(self.spark, name, self.snapshot["tables"][name])
+        return self._tables[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in STAGING:

@@ -36,6 +36,8 @@ class TableSpec:
     # free text that may hold line breaks; such a CSV cannot be split, so only
     # tables that need it read with multiLine
     multiline: bool = False
+    # tables that meet on this column are written in buckets of it
+    bucket_by: str | None = None
 
     @property
     def schema(self) -> T.StructType:
@@ -72,7 +74,7 @@ STAGING = {
          _c("order_status", S, False, 20), _c("order_purchase_timestamp", TS),
          _c("order_approved_at", TS), _c("order_delivered_carrier_date", TS),
          _c("order_delivered_customer_date", TS), _c("order_estimated_delivery_date", TS)),
-        pk=("order_id",),
+        pk=("order_id",), bucket_by="order_id",
         timestamp_cols=("order_purchase_timestamp", "order_approved_at",
                         "order_delivered_carrier_date", "order_delivered_customer_date",
                         "order_estimated_delivery_date")),
@@ -82,21 +84,21 @@ STAGING = {
          _c("product_id", S, False, 50), _c("seller_id", S, False, 50),
          _c("shipping_limit_date", TS), _c("price", MONEY, False),
          _c("freight_value", MONEY, False)),
-        pk=("order_id", "order_item_id"),
+        pk=("order_id", "order_item_id"), bucket_by="order_id",
         timestamp_cols=("shipping_limit_date",)),
     "stg_order_payments": TableSpec(
         "stg_order_payments", "olist_order_payments_dataset",
         (_c("order_id", S, False, 50), _c("payment_sequential", I, False),
          _c("payment_type", S, False, 30), _c("payment_installments", I, False),
          _c("payment_value", MONEY, False)),
-        pk=("order_id", "payment_sequential")),
+        pk=("order_id", "payment_sequential"), bucket_by="order_id"),
     "stg_order_reviews": TableSpec(
         "stg_order_reviews", "olist_order_reviews_dataset",
         (_c("review_id", S, False, 50), _c("order_id", S, False, 50),
          _c("review_score", SMALL, False), _c("review_comment_title", S),
          _c("review_comment_message", S), _c("review_creation_date", TS),
          _c("review_answer_timestamp", TS)),
-        pk=("review_id",),
+        pk=("review_id",), bucket_by="order_id",
         timestamp_cols=("review_creation_date", "review_answer_timestamp"),
         multiline=True),
     "stg_products": TableSpec(

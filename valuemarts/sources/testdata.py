@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 from ..operators.dedup import keep_first
 from ..session import delete_path
-from .ingest import as_csv_text, publish, write_version
+from .ingest import as_csv_text, write_version
+from .snapshots import Snapshots
 from .spec import STAGING
 
 # Order status codes of the test data → the reference's statuses.
@@ -221,7 +222,7 @@ class FaultyStaging:
     without a parent."""
 
     def __init__(self, staging: TestDataStaging):
-        self.staging = staging
+        self.staging, self.spark = staging, staging.spark
 
     def tables(self) -> dict[str, DataFrame]:
         out = dict(self.staging.tables())
@@ -240,12 +241,13 @@ class FaultyStaging:
         return out
 
 
-def write_csv(staging: TestDataStaging, folder: str, absent: tuple[str, ...] = ("stg_geolocation",)) -> None:
+def write_csv(staging: TestDataStaging, folder: str, absent: tuple[str, ...] = ("stg_geolocation",),
+              only: tuple[str, ...] | None = None) -> None:
     """The tables as CSV files for the loader: item and payment keys repeat as
     in the input, every 13th order has a malformed approval time, and the
-    ``absent`` tables have no file."""
+    ``absent`` tables (or all but ``only``) have no file."""
     for name, spec in STAGING.items():
-        if name in absent:
+        if name in absent or only is not None and name not in only:
             continue
         text = as_csv_text(staging.table(name))
         if name == "stg_orders":
@@ -254,9 +256,10 @@ def write_csv(staging: TestDataStaging, folder: str, absent: tuple[str, ...] = (
         text.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{folder}/{spec.csv_stem}.csv")
 
 
-def write_staging(staging: TestDataStaging, out_dir: str, parallel_jobs: int = 4) -> None:
-    """Write the nine staging tables once (the loader's job); marts then read
-    them through ``ingest.ParquetStaging`` instead of re-deriving them.
+def write_staging(staging: TestDataStaging | FaultyStaging, out_dir: str, parallel_jobs: int = 4) -> None:
+    """Write the nine staging tables once (the loader's job) and commit them as
+    one snapshot; marts then read them through ``ingest.ParquetStaging`` instead
+    of re-deriving them.
 
     The de-duplicated lineitem rows feed two tables, so they are written first
     and both are derived from that copy, which is then deleted.  The nine
@@ -265,16 +268,16 @@ def write_staging(staging: TestDataStaging, out_dir: str, parallel_jobs: int = 4
     """
     out = out_dir.rstrip("/")
     spark = staging.spark
-    first = f"{out}/_lineitem_first"
-    staging.lineitem_first.write.parquet(first)
-    staging.__dict__["lineitem_first"] = spark.read.schema(staging.lineitem_first.schema).parquet(first)
-    for cached in ("stg_order_items", "stg_order_payments"):
-        staging.__dict__.pop(cached, None)
-
-    def write(item):
-        name, df = item
-        publish(spark, out, name, {"status": "loaded", "path": write_version(df, out, name)})
-
+    first = None
+    if isinstance(staging, TestDataStaging):
+        first = f"{out}/_lineitem_first"
+        staging.lineitem_first.write.parquet(first)
+        staging.__dict__["lineitem_first"] = spark.read.schema(staging.lineitem_first.schema).parquet(first)
+        for cached in ("stg_order_items", "stg_order_payments"):
+            staging.__dict__.pop(cached, None)
     with ThreadPoolExecutor(max_workers=parallel_jobs) as pool:
-        list(pool.map(write, staging.tables().items()))
-    delete_path(spark, first)
+        entries = dict(pool.map(lambda item: (item[0], write_version(item[1], out, item[0])), staging.tables().items()))
+    snapshots = Snapshots(spark, out)
+    snapshots.commit(snapshots.current(), entries)
+    if first:
+        delete_path(spark, first)
