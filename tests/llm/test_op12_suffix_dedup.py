@@ -2,10 +2,11 @@
 import hashlib
 import random
 
+import duckdb
 import pytest
 
 from valuemarts.llm import suffix_dedup
-from valuemarts.llm.queries import op12_suffix_dedup, table
+from valuemarts.llm.queries import OP12_SQL, op12_suffix_dedup, table
 
 
 def brute(rows, length):
@@ -114,6 +115,14 @@ def test_query(spark, tmp_path):
     assert got == want
 
 
+def test_whole_table_against_duckdb(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(con.sql(OP12_SQL).fetchall())
+    assert sorted(tuple(r) for r in op12_suffix_dedup(spark, sf).collect()) == want and sum(r[2] > 0 for r in want) > 20
+
+
 def test_whole_table_against_plain_search(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

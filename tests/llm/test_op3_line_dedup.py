@@ -9,7 +9,7 @@ from valuemarts.llm import line_dedup
 from valuemarts.llm.queries import ORACLE_SQL, op3_line_dedup
 
 
-def brute(rows, min_sites, max_removed=0.5):
+def brute(rows, min_sites):
     sites = defaultdict(set)
     for _, t, s in rows:
         for x in (t or "").split("\n"):
@@ -18,8 +18,9 @@ def brute(rows, min_sites, max_removed=0.5):
     out = []
     for i, t, _ in rows:
         gone = [x for x in (t or "").split("\n") if len(sites[x.strip(" \t\r")]) >= min_sites]
-        if gone and sum(map(len, gone)) <= max_removed * len(t):
-            t = "\n".join(x for x in t.split("\n") if len(sites[x.strip(" \t\r")]) < min_sites)
+        left = [x for x in (t or "").split("\n") if len(sites[x.strip(" \t\r")]) < min_sites]
+        if gone and any(x.strip(" \t\r") for x in left):
+            t = "\n".join(left)
         else:
             gone = []
         out.append((i, t, len(gone)))
@@ -39,6 +40,14 @@ def test_thresholds(spark, min_sites):
     assert sorted(((r.doc_id, r.text, r["__lines_removed"]) for r in got.collect()), key=str) == brute(rows, min_sites)
 
 
+def test_boilerplate_goes_from_pages_that_are_mostly_boilerplate(spark):
+    line = "one long line that stands on every site and makes up most of each page"
+    rows = [(i, f"{line}\nown {i}", f"site{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r.text for r in line_dedup.clean(df).collect()} == {f"own {i}" for i in range(12)}
+    assert {r.text for r in line_dedup.clean(df, max_removed=0.5).collect()} == {t for _, t, _ in rows}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert line_dedup.clean(df).count() == 0

@@ -6,15 +6,13 @@ estimated with HyperLogLog sketches kept as rows: a site sets one of 64
 registers of a line, registers merge by max, and the sketches of all
 partitions merge in the same aggregation.  Lines estimated within
 ``band`` standard errors of the threshold get exact distinct counts; the
-estimate alone settles the rest.  Sketches of fewer than a third of the
-threshold's registers are settled below.
+estimate alone settles the rest.  With the defaults a line on 10 sites is lost
+only if these fall in 3 of the 64 registers (probability 2e-9).
 
-A document loses its boilerplate lines unless they make up more than
-``max_removed`` of its characters: such a document is a copy spread over
-sites, not a page with boilerplate on it, and is left whole for near-duplicate
-removal.  With ``max_removed`` None, as in the pipeline, boilerplate goes
-wherever it stands, and only a text without any other line is left whole.
-Nothing else of a text changes.
+A document loses its boilerplate lines wherever they stand; a text that has no
+other line is left whole.  ``max_removed`` can also spare documents of which
+such lines make up more than a share of the characters.  Nothing else of a text
+changes.
 
 Edge cases: null and empty texts have no lines and stay as they are; a null
 site counts as no site; repeated rows count one site; ids take no part in the
@@ -59,7 +57,7 @@ def estimates(pairs: DataFrame) -> DataFrame:
     return sums.select("line", F.when((raw <= 2.5 * REGISTERS) & (empty > 0), REGISTERS * F.log(REGISTERS / empty)).otherwise(raw).alias("estimate"))
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 4.0, text: str = "text", site: str = "source") -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 5.0, text: str = "text", site: str = "source") -> DataFrame:
     """(line): hashes of the lines on at least ``min_sites`` sites."""
     pairs = (docs.select(F.explode(F.array_distinct(F.transform(_lines(F.col(f"`{text}`").cast("string")), _key))).alias("line"),
                          F.col(f"`{site}`").cast("string").alias("site")).where("line is not null and site is not null"))
@@ -73,7 +71,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 10, band: float = 4.0, text: s
         return tmp.write(seen.where(F.col("estimate") >= high).select("line").union(exact), "boilerplate", keep=True)
 
 
-def clean(docs: DataFrame, min_sites: int = 10, max_removed: float | None = 0.5, band: float = 4.0, text: str = "text",
+def clean(docs: DataFrame, min_sites: int = 10, max_removed: float | None = None, band: float = 5.0, text: str = "text",
           site: str = "source") -> DataFrame:
     """``docs`` with the text cleaned, all columns kept, and the columns
     __lines_removed and __chars_removed added."""
@@ -93,7 +91,9 @@ def clean(docs: DataFrame, min_sites: int = 10, max_removed: float | None = 0.5,
     joined = joined.withColumns({"__n": F.when(F.col("__drop").isNull(), 0).otherwise(F.size(gone)),
                                  "__c": F.when(F.col("__drop").isNull(), 0).otherwise(chars)})
     own = F.exists(_lines(body), lambda x: _key(x).isNotNull() & ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False)))
-    cut = (F.col("__n") > 0) & (own if max_removed is None else F.col("__c") <= max_removed * F.length(body))
+    cut = (F.col("__n") > 0) & own
+    if max_removed is not None:
+        cut = cut & (F.col("__c") <= max_removed * F.length(body))
     kept = F.array_join(F.filter(_lines(body), lambda x: ~F.coalesce(F.array_contains(drop, _key(x)), F.lit(False))), "\n")
     return joined.select(*[F.when(cut, kept).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
                          F.when(cut, F.col("__n")).otherwise(0).alias("__lines_removed"),
