@@ -1,5 +1,7 @@
 """BPE against the tokenizers library, and exact round trips."""
 import hashlib
+import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -75,3 +77,16 @@ def test_query_and_edges(spark, tmp_path):
     assert sorted(r.text for r in back) == sorted(t or "" for _, t, _ in rows)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_texts(empty, PATH).count() == 0
+
+
+@pytest.mark.parametrize("word", ["random", "run", "pairs", "accents"])
+def test_long_words(model, word):
+    r = random.Random(5)
+    n = 1_000_000
+    text = {"random": "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n)), "run": "a" * n, "pairs": "ab" * (n // 2),
+            "accents": "".join(r.choices("éàßñ日本", k=n // 4))}[word]
+    start = time.perf_counter()
+    ids, off = model.encode([text, "short", text[:700]])
+    assert time.perf_counter() - start < 30
+    want = [LIB.encode(t, add_special_tokens=False).ids for t in (text, "short", text[:700])]
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want

@@ -4,7 +4,10 @@ Pre-tokens of a batch are found on one flat array; the distinct ones not seen
 before are merged together in numpy rounds: all symbols of all words lie in
 one array, each adjacent pair is looked up by binary search in the sorted
 pair keys of the merge table, and each word merges its lowest-ranked pair
-(every occurrence, left to right) until no pair is left.
+(every occurrence, left to right) until no pair is left.  A round costs the
+whole word, so words of more than ``LONG`` bytes, which take as many rounds as
+they hold different pairs, are merged pair by pair from a heap instead: after a
+merge only the pairs beside it are looked up again.
 
 Edge cases: a null text is the empty text with no ids; a special token's
 string in a text is that token, as the tokenizers library does by default;
@@ -15,6 +18,7 @@ each give a row; other columns take no part.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -27,6 +31,8 @@ from valuemarts.llm.common import arrow_map, strings
 from valuemarts.llm.pretoken import TokenCache, safe_pieces
 
 _NONE = np.iinfo(np.int32).max
+#: bytes from which a word is merged from a heap
+LONG = 512
 
 
 def byte_symbols() -> dict[str, int]:
@@ -63,12 +69,19 @@ class BpeModel:
         self.pair_key, self.pair_rank = key[order], order.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         self.size, self.piece = size, piece
+        self.rank_of: dict[int, int] | None = None         # made for the first long word
         self.cache = TokenCache(self.merge)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids per word, ids of the words laid end to end)."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         lens = np.array([len(b) for b in raw], dtype=np.int64)
+        if len(lens) and lens.max() > LONG:
+            short = np.flatnonzero(lens <= LONG)
+            n, flat = self.merge([words[i] for i in short.tolist()])
+            parts = dict(zip(short.tolist(), np.split(flat, np.cumsum(n)[:-1]))) if len(short) else {}
+            parts |= {i: self._merge_long(raw[i]) for i in np.flatnonzero(lens > LONG).tolist()}
+            return np.array([len(parts[i]) for i in range(len(words))]), np.concatenate([parts[i] for i in range(len(words))])
         sym = self.byte_id[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), lens)
         done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -101,6 +114,41 @@ class BpeModel:
         order = np.argsort(word, kind="stable")
         return np.bincount(word, minlength=len(words)), sym[order].astype(np.int32)
 
+    def _merge_long(self, raw: bytes) -> np.ndarray:
+        """Ids of one long word: its pairs in a heap by rank and place."""
+        sym = self.byte_id[np.frombuffer(raw, dtype=np.uint8)]
+        key = sym[:-1] * self.shift + sym[1:]
+        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        known = np.flatnonzero(self.pair_key[at] == key)
+        heap = ((self.pair_rank[at[known]].astype(np.int64) << 40) | known).tolist()
+        heapq.heapify(heap)
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.pair_key.tolist(), self.pair_rank.tolist()))
+        rank_of, merged, shift = self.rank_of, self.merged, int(self.shift)
+        n = len(raw)
+        ids, after, before = sym.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        mask = (1 << 40) - 1
+        while heap:
+            x = heapq.heappop(heap)
+            i, rank = x & mask, x >> 40
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank_of.get(ids[i] * shift + ids[j]) != rank:
+                continue                               # one of the two was merged meanwhile
+            ids[i] = new = int(merged[rank])
+            ids[j] = -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                r = rank_of.get(new * shift + ids[k])
+                if r is not None:
+                    heapq.heappush(heap, (r << 40) | i)
+            h = before[i]
+            if h >= 0:
+                r = rank_of.get(ids[h] * shift + new)
+                if r is not None:
+                    heapq.heappush(heap, (r << 40) | h)
+        return np.array([x for x in ids if x >= 0], dtype=np.int32)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets per text)."""
         return encode_with(self.cache, self.special, self.split, texts, self.piece)

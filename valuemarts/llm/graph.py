@@ -1,8 +1,8 @@
 """Connected components of an edge table.
 
-Edges are first contracted within partitions of bounded size: a partition
-gives a spanning forest of its edges, as stars around each tree's smallest
-node.  Where one such partition holds all edges that is the result; else
+Edges are first contracted within partitions of about ``PARTITION_EDGES``,
+dealt by a hash of both ends, so that a hub's edges spread: a partition gives a
+spanning forest of its edges, as stars around each tree's smallest node.  Where one such partition holds all edges that is the result; else
 alternating large-star and small-star steps (joins and aggregations) finish
 it.  No component is gathered anywhere unless all edges fit one partition.
 """
@@ -50,8 +50,8 @@ def components(edges: DataFrame, scratch: Scratch, partition_edges: int = PARTIT
     component, for every node of an edge between different nodes."""
     e = edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
     parts = max(1, -(-e.count() // partition_edges))
-    e = scratch.write(e.repartition(parts, "v").mapInArrow(_forest, "u bigint, v bigint") if parts > 1 else
-                      e.repartition(1).mapInArrow(_forest, "u bigint, v bigint"), "forest")
+    # dealt by both ends: the links of a hub spread over all partitions
+    e = scratch.write(e.repartition(parts, "u", "v").mapInArrow(_forest, "u bigint, v bigint"), "forest")
     mark = _mark(e) if parts > 1 else (0,)
     while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

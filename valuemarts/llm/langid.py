@@ -8,8 +8,11 @@ kernel ridge regression is solved there.  As k is linear in the bit sets, the
 landmark products and the ridge weights multiply to one bucket-by-language
 matrix, so a batch is scored by one matrix product.
 
-Learning takes a bounded sample: ``per_lang`` texts of each of the
-``max_langs`` most frequent languages, chosen by a hash of the id.
+Every language that a training row names is learned.  Learning takes a bounded
+sample, chosen by a hash of the id: ``per_lang`` texts of each language, fewer
+of each where the languages would make more than ``sample_rows`` together (at
+least ``LEAST_ROWS``); likewise the landmarks.  The model holds 2^15 floats per
+language.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; a
 row with a null id or null language teaches nothing and is still scored; with
@@ -30,6 +33,7 @@ from valuemarts.llm.common import arrow_map, strings
 from valuemarts.llm.pretoken import LETTER, classes, code_points
 
 BITS = 15
+LEAST_ROWS = 8
 GRAMS = 3
 UND = "und"
 
@@ -89,21 +93,21 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id",
-        per_lang: int = 500, landmarks: int = 80, max_langs: int = 64, ridge: float = 1e-2) -> LanguageModel:
+        per_lang: int = 500, landmarks: int = 80, sample_rows: int = 4000, ridge: float = 1e-2) -> LanguageModel:
     """Learn from the rows where ``train`` holds and the language is known."""
     rows = docs.where(train & F.col(f"`{lang}`").isNotNull() & F.col(f"`{key}`").isNotNull())
-    counts = (rows.groupBy(F.col(f"`{lang}`").cast("string").alias("l")).count()
-              .orderBy(F.desc("count"), "l").limit(max_langs).collect())
+    counts = rows.groupBy(F.col(f"`{lang}`").cast("string").alias("l")).count().collect()      # one row per language
     names = sorted(r["l"] for r in counts)
     if not names:
         return LanguageModel([], np.zeros((1 << BITS, 0), dtype=np.float32))
     scale = 1 << 30
-    keep = F.lit(None).cast("long")
-    for r in counts:                                # at most max_langs branches
-        keep = F.when(F.col("__l") == r["l"], F.lit(int(min(1.0, per_lang / r["count"]) * scale))).otherwise(keep)
+    per_lang = max(LEAST_ROWS, min(per_lang, sample_rows // len(names)))
+    landmarks = max(LEAST_ROWS // 2, min(landmarks, sample_rows // 6 // len(names)))
+    shares = docs.sparkSession.createDataFrame([(r["l"], int(min(1.0, per_lang / r["count"]) * scale)) for r in counts], "__share_of string, __share long")
     sample = (rows.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{lang}`").cast("string").alias("__l"),
                           F.col(f"`{text}`").cast("string").alias("__t"))
-              .where(F.pmod(F.xxhash64("__k", F.lit(7)), F.lit(scale)) < keep))
+              .join(F.broadcast(shares), F.col("__l") == F.col("__share_of"))          # one row per language
+              .where(F.pmod(F.xxhash64("__k", F.lit(7)), F.lit(scale)) < F.col("__share")).select("__k", "__l", "__t"))
 
     def features(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, parts = strings(b.column(2)), []
@@ -133,7 +137,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
             prefix: str = "") -> DataFrame:
     """Columns ``keep`` with lang_pred and score (their names after ``prefix``)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # buckets x at most max_langs floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)      # buckets x languages
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -19,10 +19,11 @@ document id and are numbered in that order.
 Passes: ids are written once (the tokenizer runs once) and counted by the same
 tasks (the counts' sums are at most one row per id on the driver), coded, then
 dealt to files by cut keys.  The cut keys are quantiles, by ids, of a sample of
-at most about ``SAMPLE`` rows' keys (document id, number of ids, hash, row), as
-a range partitioner takes them; so files are even in ids also where documents
-are long, where most rows share an id or have none, and where rows repeat.  A
-file has about ``file_ids`` ids, more where there would be over ``MOST_FILES``.
+rows' keys (document id, number of ids, hash, row), about ``PER_FILE`` for each
+file and ``SAMPLE`` at most, as a range partitioner takes them; so files are
+even in ids also where documents are long, where most rows share an id or have
+none, and where rows repeat.  A file has about ``file_ids`` ids, more where
+there would be over ``MOST_FILES``.
 
 The library encodes each distinct pre-token that a worker meets; it encodes a
 pre-token alone as it does inside a text.
@@ -53,7 +54,8 @@ from valuemarts.llm.huffman import Decoder, canonical, code_lengths, pack
 from valuemarts.llm.pretoken import TokenCache
 
 STEP = 128
-MOST_FILES, SAMPLE = 20_000, 400_000
+#: files at most; keys sampled per file, and in all
+MOST_FILES, PER_FILE, SAMPLE = 20_000, 256, 400_000
 
 
 class LibraryEncoder:
@@ -267,7 +269,7 @@ def _cuts(ids: DataFrame, files: int) -> np.ndarray:
     none = np.zeros((4, 0), np.int64)
     if files < 2:
         return none
-    every = max(1, ids.count() // SAMPLE)
+    every = max(1, ids.count() // min(SAMPLE, PER_FILE * files))
     some = ids.select("doc_id", "n", "h", "r").where(F.pmod("r", F.lit(every)) == 0).toArrow()
     if not some.num_rows:
         return none
