@@ -10,8 +10,9 @@ session's checkpoint folder and gives it to the next stage.
   scores below MIN_LANGUAGE_SCORE (no language of the corpus fits).
 * line_dedup cuts cross-site boilerplate lines wherever they stand; every
   document stays, and one that has no other line is left whole.
-* near_dedup keeps one document of each group of near-duplicates (five-word
-  shingles, similarity 0.8): the one with the smallest id, and one row of it.
+* near_dedup keeps one row of each group of near-duplicates (five-word shingles,
+  similarity 0.8): that with the smallest id.  Several texts of one id are
+  judged each by itself; of equal rows one stays.
 * decontaminate drops rows whose text holds a benchmark item or a passage of
   one.
 * bpe adds n_tokens, ids_sha256, decoded_sha256 and ids, the token ids.
@@ -43,24 +44,43 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.clean(docs, max_removed=None).select(*_names(docs))
+    return line_dedup.clean(docs).select(*_names(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_dup.groups(docs, shingle=SHINGLE, threshold=SIMILARITY)
-    gone = groups.where("not kept").select(F.col("id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
-    # several rows of one id that stays: the first text of them
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    if not again.head(1):
-        return kept
-    once = kept.join(again, F.col("doc_id") == F.col("__id"), "left_anti")
+    with Scratch(spark, "near-dedup") as tmp:
+        keyed, repeats = _row_keys(docs, tmp)
+        groups = near_dup.groups(keyed, shingle=SHINGLE, threshold=SIMILARITY, key="__key")
+        gone = tmp.write(groups.where("not kept").select(F.col("id").alias("__id")).distinct(), "gone", keep=True)
+    kept = keyed.join(gone, F.col("__key") == F.col("__id"), "left_anti")
+    if not repeats:
+        return kept.select(*_names(docs))
+    # equal rows share a key: one of them stays
+    again = keyed.where("__key is not null").groupBy("__key").count().where("count > 1").select(F.col("__key").alias("__id"))
+    once = kept.join(again, F.col("__key") == F.col("__id"), "left_anti").select(*_names(docs))
     row = F.struct(*_names(docs))
-    several = (kept.join(again, F.col("doc_id") == F.col("__id"), "left_semi").groupBy(F.col("doc_id").alias("__id"))
-               .agg(F.min_by(row, F.struct("text", F.xxhash64(*_names(docs)))).alias("__r")).select("__r.*"))
+    several = (kept.join(again, F.col("__key") == F.col("__id"), "left_semi").groupBy("__key")
+               .agg(F.min_by(row, F.xxhash64(*_names(docs))).alias("__r")).select("__r.*"))
     return once.unionByName(several)
 
 
+def _row_keys(docs: DataFrame, tmp: Scratch) -> tuple[DataFrame, bool]:
+    """``docs`` with __key: the document's id, or a number beyond all ids for
+    the second, third ... text of an id, so that each text is judged by itself;
+    and whether ids repeat.  Rows with a null id have no key."""
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min(digest).alias("__least")).where("__n > 1")
+    if not ids.head(1):
+        return docs.withColumn("__key", F.col("doc_id").cast("long")), False
+    more = (docs.select(F.col("doc_id").alias("__id"), digest.alias("__digest")).join(ids, "__id").where("__digest <> __least")
+            .select("__id", "__digest").distinct())
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
+    beyond = F.lit(high + 1) + F.monotonically_increasing_id() if high < 1 << 62 else F.lit(low - 1) - F.monotonically_increasing_id()
+    more = tmp.write(more.select("__id", "__digest", beyond.alias("__more")), "row-keys", keep=True)
+    keyed = docs.withColumn("__text", digest).join(more, (F.col("doc_id") == F.col("__id")) & (F.col("__text") == F.col("__digest")), "left")
+    return keyed.select(*_names(docs), F.coalesce("__more", F.col("doc_id").cast("long")).alias("__key")), True
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a row's text alone decides, so rows with null or repeated ids stand for themselves
     keyed = docs.withColumn("__text_key", F.sha2(F.col("text").cast("string"), 256))
