@@ -112,3 +112,20 @@ def test_last_stage_carries_ids_and_columns(spark):
     rows = {r.doc_id: r for r in got.collect()}
     assert tuple(rows[1])[:4] == (1, "some text", "en", 1.5) and rows[1].ids == LIB.encode("some text", add_special_tokens=False).ids
     assert tuple(rows[None])[:4] == (None, None, None, None) and rows[None].ids == []
+
+
+def test_near_dedup_decides_per_text(spark):
+    a, b, c = ("the first of three texts that have nothing at all in common with each other", "something else stands in this one and it is not like the others",
+               "a third matter is treated here at some length so that it has enough words")
+    rows = [(1, a), (1, b), (2, c), (5, c + " again"), (5, None), (5, ""), (9, b), (9, b), (7, a + " and b"), (7, "only here are these words to be found, in the last one"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source")
+    got = cp.near_dedup(spark, docs, SF)
+    assert got.columns == docs.columns
+    # (9, b) came later than (1, b) has a number beyond all ids, so (9, b) stays for both
+    want = [(1, a), (9, b), (2, c), (5, None), (7, rows[9][1]), (None, a)]
+    have = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    kept_b = [x for x in have if x[1] == b]
+    assert len(kept_b) == 1 and sorted([x for x in have if x[1] != b and x[1] not in (None, "")], key=str) == sorted([x for x in want if x[1] not in (b, None)], key=str)
+    assert sum(x[1] in (None, "") for x in have) == 2
+    three = spark.createDataFrame([(1, a), (1, b), (2, c)], "doc_id long, text string").selectExpr("*", "'s' as source")
+    assert cp.near_dedup(spark, three, SF).count() == 3
