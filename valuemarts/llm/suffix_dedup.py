@@ -192,9 +192,7 @@ class _Holders:
         size = np.diff(np.append(head, len(order)))
         shared = np.repeat(size > 1, size)
         ids, hashes = np.array(self.ids, np.int64), np.array(self.hashes, np.int64)
-        rows = []
-        for key, h, names in _by_text(sorted_g[shared], d[order[shared]], ids, hashes):
-            rows.append((self.parts + h % self.parts, key, h, names))
+        rows = [(self.parts + o, x) for o, x in _to_owners(sorted_g[shared], d[order[shared]], ids, hashes, self.parts)]
         known, alone = sorted_g[head[size > 1]], np.sort(order[~shared])
         g, d = g[alone], d[alone]
         part = ((g >> U64(32)) % U64(self.parts)).astype(np.uint16 if self.parts <= 1 << 16 else np.int64)
@@ -206,19 +204,85 @@ class _Holders:
             a, b = cut[p], cut[p + 1]
             flags = known[known_part == p] if len(known) else known
             if a < b or len(flags):
-                rows.append((p, None, None, _pack(g[a:b], d[a:b], ids, hashes, flags)))
+                rows.append((p, _pack(g[a:b], d[a:b], ids, hashes, flags)))
         self.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                                           pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary())],
-                                          ["part", "id", "h", "names"])
+        return _dealt(rows)
+
+
+def _dealt(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    part, data = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+
+
+def _to_owners(code: np.ndarray, row: np.ndarray, ids: np.ndarray, hashes: np.ndarray, parts: int,
+               mask: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
+    """(owner, packed codes) for the partitions that gather the texts' codes
+    again, by the texts' digests; ``row``: the text of each code, ``mask``:
+    bytes that go with it."""
+    owner = np.mod(hashes[row], parts)
+    order = np.lexsort((row, owner))
+    code, row, owner = code[order], row[order], owner[order]
+    mask = np.zeros((len(code), 0), np.uint8) if mask is None else mask[order]
+    cut = np.searchsorted(owner, np.arange(parts + 1))
+    for o in np.flatnonzero(np.diff(cut)).tolist():
+        a, b = cut[o], cut[o + 1]
+        texts, count = np.unique(row[a:b], return_counts=True)
+        body = b"".join([np.array([len(texts), b - a, mask.shape[1]], np.int64).tobytes(), ids[texts].tobytes(), hashes[texts].tobytes(),
+                         count.astype(np.int64).tobytes(), code[a:b].tobytes(), mask[a:b].tobytes()])
+        yield o, len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _gathered(blobs: list[bytes]) -> pa.RecordBatch:
+    """(id, h, data): each text's codes, and after them the bytes that go with them."""
+    ids, hashes, counts, codes, masks = [], [], [], [], []
+    for blob in blobs:
+        body = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+        m, n, width = np.frombuffer(body, np.int64, 3).tolist()
+        at = 24
+        for out, kind, size in ((ids, np.int64, m), (hashes, np.int64, m), (counts, np.int64, m), (codes, U64, n), (masks, np.uint8, n * width)):
+            out.append(np.frombuffer(body, kind, size, at))
+            at += out[-1].nbytes
+        masks[-1] = masks[-1].reshape(n, width)
+    i, h, code, mask = np.concatenate(ids), np.concatenate(hashes), np.concatenate(codes), np.concatenate(masks)
+    order = np.lexsort((h, i))
+    new = np.concatenate([[True], (np.diff(i[order]) != 0) | (np.diff(h[order]) != 0)])
+    text = np.empty(len(i), np.int64)
+    text[order] = np.cumsum(new) - 1
+    i, h = i[order][new], h[order][new]
+    of = np.repeat(text, np.concatenate(counts))
+    order = np.argsort(of, kind="stable")
+    code, mask = code[order], mask[order]
+    cut = np.searchsorted(of[order], np.arange(len(i) + 1)).tolist()
+    data = [code[a:b].tobytes() + mask[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+    return pa.RecordBatch.from_arrays([pa.array(i), pa.array(h), pa.array(data, pa.binary())], ["id", "h", "data"])
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], below: int | None = None) -> Iterator[tuple[int | None, list[bytes]]]:
+    """(part, its data) of rows that come sorted by part; of parts from
+    ``below`` on, single rows."""
+    now, held = None, []
+    for b in batches:
+        for part, data in zip(*(c.to_pylist() for c in b.columns)):
+            if below is not None and part >= below:
+                yield part, [data]
+                continue
+            if part != now and held:
+                yield now, held
+                held = []
+            now = part
+            held.append(data)
+    if held:
+        yield now, held
 
 
-def _by_text(g: np.ndarray, d: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    order = np.argsort(d, kind="stable")
-    g, d = g[order], d[order]
-    head = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-    for a, b in zip(head.tolist(), np.append(head[1:], len(d)).tolist()):
-        yield int(ids[d[a]]), int(hashes[d[a]]), g[a:b].tobytes()
+def _gather(dealt: DataFrame, parts: int) -> DataFrame:
+    """(id, h, data) from rows (part, data) of owners: one row per text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in _by_part(batches):
+            yield _gathered(blobs)
+
+    owned = dealt.select(F.pmod("part", F.lit(parts)).alias("part"), "data")
+    return owned.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "id bigint, h bigint, data binary")
 
 
 def _pack(g: np.ndarray, d: np.ndarray, ids: np.ndarray, hashes: np.ndarray, flags: np.ndarray) -> bytes:
@@ -238,8 +302,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return tuple(out)
 
 
-def _merge(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
-    """(id, digest, names) of the texts whose names are shared in this part."""
+def _merge(blobs: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
+    """The names of a part that different texts share, for the texts' owners."""
     got = [_unpack(b) for b in blobs]
     ids, hashes = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
     g = np.concatenate([x[3] for x in got])
@@ -254,7 +318,7 @@ def _merge(blobs: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     differ = np.minimum.reduceat(h, head) != np.maximum.reduceat(h, head)
     differ |= np.isin(g[head], known)
     keep = np.repeat(differ, np.diff(np.append(head, len(g))))
-    yield from _by_text(g[keep], d[keep], ids, hashes)
+    yield from _to_owners(g[keep], d[keep], ids, hashes, parts)
 
 
 def shared_names(docs: DataFrame, length: int, text: str, key: str) -> DataFrame:
@@ -281,31 +345,12 @@ def shared_names(docs: DataFrame, length: int, text: str, key: str) -> DataFrame
             yield out
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        for part, blobs in _by_part(batches, parts):
+            yield _dealt([(part, blobs[0])] if part >= parts else list(_merge(blobs, parts)))
 
-        def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()),
-                                               pa.array([r[2] for r in found], pa.binary())], ["id", "h", "names"])
-
-        for b in batches:
-            ready = []
-            for part, i, h, names in zip(*(c.to_pylist() for c in b.columns)):
-                if part >= parts:
-                    ready.append((i, h, names))
-                    continue
-                if part != now and blobs:
-                    yield rows(list(_merge(blobs)))
-                    blobs = []
-                now = part
-                blobs.append(names)
-            if ready:
-                yield rows(ready)
-        if blobs:
-            yield rows(list(_merge(blobs)))
-
-    sent = src.mapInArrow(send, "part int, id bigint, h bigint, names binary")
-    return (sent.repartition(parts, "part").sortWithinPartitions("part")
-            .mapInArrow(receive, "id bigint, h bigint, names binary"))
+    sent = src.mapInArrow(send, "part int, data binary")
+    back = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(receive, "part int, data binary")
+    return _gather(back, parts).withColumnRenamed("data", "names")
 
 
 # -- round two: contexts and windows -------------------------------------------
@@ -365,18 +410,6 @@ def _masks(n: int, places: int) -> np.ndarray:
     return np.packbits(np.ones((n, places), np.uint8), axis=1)
 
 
-def _verdicts(ids: np.ndarray, hashes: np.ndarray, code: np.ndarray, mask: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(id, digest, verdict) of each text: its contexts' codes and the bits of
-    their covered windows."""
-    order = np.lexsort((hashes, ids))
-    ids, hashes, code, mask = ids[order], hashes[order], code[order], mask[order]
-    if not len(ids):
-        return
-    head = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])]))
-    for a, b in zip(head.tolist(), np.append(head[1:], len(ids)).tolist()):
-        yield int(ids[a]), int(hashes[a]), len(code[a:b]).to_bytes(8, "little") + code[a:b].tobytes() + mask[a:b].tobytes()
-
-
 def _windows(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, start) of all windows of the contexts."""
     n = end - start - length + 1
@@ -429,7 +462,7 @@ def _send_contexts(found: DataFrame, length: int, parts: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         doc_id, doc_h = b.column(0).to_numpy(), b.column(1).to_numpy()
         sizes, zs, lists = (b.column(c).to_pylist() for c in (2, 3, 4))
-        mine = [np.frombuffer(b"".join(x), U64) for x in lists]
+        mine = [np.frombuffer(x, U64) for x in lists]
         raw, off = _texts(zs, sizes)
         for part, cut, rows, _ in pieces(raw, off, length):
             q, p, r = anchors(part, cut, length)
@@ -447,7 +480,7 @@ def _send_contexts(found: DataFrame, length: int, parts: int) -> DataFrame:
             q, p, e, doc, name, code = q[one], p[one], e[one], doc[one], name[one], code[one]
             ids, hashes = doc_id[doc], doc_h[doc]
             x = _Ranked(part, p, e, name, code, ids)
-            out = [(parts + h % parts, i, h, None, None, v) for i, h, v in _verdicts(ids[x.whole], hashes[x.whole], code[x.whole], _masks(len(x.whole), places))]
+            out = [(parts + o, None, None, None, None, v) for o, v in _to_owners(code[x.whole], doc[x.whole], doc_id, doc_h, parts, _masks(len(x.whole), places))]
             hot = (x.contexts > most)[x.group]
             own = x.rest[hot]
             out += _window_rows(part, p[own], e[own], ids[own], hashes[own], code[own], length, parts)
@@ -473,7 +506,8 @@ def _send_contexts(found: DataFrame, length: int, parts: int) -> DataFrame:
 
 
 def _rank_contexts(sent: DataFrame, length: int, parts: int) -> DataFrame:
-    """Verdicts (id, h, data) and windows still to rank (code, i, data: their digest)."""
+    """Verdicts (part, data: codes of contexts and the bits of their covered
+    windows) and windows still to rank (id, h, code, i, data: their digest)."""
     k, places = length // 2 + 1, length - length // 2
 
     def merge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -484,8 +518,13 @@ def _rank_contexts(sent: DataFrame, length: int, parts: int) -> DataFrame:
         end = np.cumsum(size, dtype=np.int64)
         start = end - size
         name, code = span_hash(raw, start + anchor, start + anchor + k), span_hash(raw, start, end)
+        order = np.lexsort((hashes, ids))
+        new = np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(hashes[order]) != 0)])
+        text = np.empty(len(ids), np.int64)
+        text[order] = np.cumsum(new) - 1
+        text_id, text_h = ids[order][new], hashes[order][new]
         x = _Ranked(raw, start, end, name, code, ids)
-        yield _round_rows([(None, i, h, None, None, v) for i, h, v in _verdicts(ids[x.whole], hashes[x.whole], code[x.whole], _masks(len(x.whole), places))])
+        yield _round_rows([(o, None, None, None, None, v) for o, v in _to_owners(code[x.whole], text[x.whole], text_id, text_h, parts, _masks(len(x.whole), places))])
         hot = np.isin(x.names, marks)[x.group]
         own = x.rest[hot]
         rows = list(_window_rows(raw, start[own], end[own], ids[own], hashes[own], code[own], length, parts))
@@ -506,7 +545,7 @@ def _rank_contexts(sent: DataFrame, length: int, parts: int) -> DataFrame:
         bits[of[later], offset[later]] = 1
         some = np.flatnonzero(bits.any(axis=1))
         own = own[some]
-        yield _round_rows([(None, i, h, None, None, v) for i, h, v in _verdicts(ids[own], hashes[own], code[own], np.packbits(bits[some], axis=1))])
+        yield _round_rows([(o, None, None, None, None, v) for o, v in _to_owners(code[own], text[own], text_id, text_h, parts, np.packbits(bits[some], axis=1))])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -534,9 +573,9 @@ def _removed(raw: np.ndarray, off: np.ndarray, length: int, verdicts: list[list[
     codes, masks = [], []
     for i, (found, more) in enumerate(zip(verdicts, late)):
         for v in found:
-            m = int.from_bytes(v[:8], "little")
-            codes.append(_in_text(np.frombuffer(v, U64, m, 8), np.full(m, i)))
-            masks.append(np.unpackbits(np.frombuffer(v, np.uint8, m * width, 8 + 8 * m).reshape(m, width), axis=1, count=places))
+            m = len(v) // (8 + width)
+            codes.append(_in_text(np.frombuffer(v, U64, m), np.full(m, i)))
+            masks.append(np.unpackbits(np.frombuffer(v, np.uint8, m * width, 8 * m).reshape(m, width), axis=1, count=places))
         for x in more:
             codes.append(_in_text(np.array([x["code"]], np.int64).view(U64), np.array([i])))
             masks.append(np.zeros((1, places), np.uint8))
@@ -578,14 +617,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, text: str = "text", key: s
         least = texts.groupBy("h").agg(F.min("id").alias("least"))
         copies = tmp.write(texts.join(least, "h").select("id", "h", (F.col("id") > F.col("least")).alias("copy")), "copies")
         names = tmp.write(shared_names(docs, length, text, key), "names", codec="zstd")
-        names = names.groupBy("id", "h").agg(F.collect_list("names").alias("names")).join(copies.where("not copy").select("id", "h"), ["id", "h"], "left_semi")
+        names = names.join(copies.where("not copy").select("id", "h"), ["id", "h"], "left_semi")
         found = keyed.where(f"n >= {length}").join(names, ["id", "h"])
         ranked = tmp.write(_rank_contexts(_send_contexts(found, length, parts), length, parts), "ranked", codec="zstd")
         window = ranked.where("code is not null").select("id", "h", "code", "i", F.col("data").alias("w"))
         first = window.groupBy("w").agg(F.min("id").alias("first"))
         late = (window.join(first, "w").where("id > first").groupBy("id", "h", "code").agg(F.collect_list("i").alias("offsets"))
                 .groupBy("id", "h").agg(F.collect_list(F.struct("code", "offsets")).alias("late")))
-        marks = (ranked.where("code is null").select("id", "h", F.col("data").alias("v"), F.lit(False).alias("copy"))
+        verdicts = _gather(ranked.where("code is null"), parts)
+        marks = (verdicts.select("id", "h", F.col("data").alias("v"), F.lit(False).alias("copy"))
                  .unionByName(copies.where("copy").select("id", "h", F.lit(None).cast("binary").alias("v"), "copy"))
                  .groupBy("id", "h").agg(F.collect_list("v").alias("verdicts"), F.max("copy").alias("copy")))
         marks = tmp.write(marks.join(late, ["id", "h"], "full"), "marks", keep=True, codec="zstd")
