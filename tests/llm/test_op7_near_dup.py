@@ -81,7 +81,8 @@ def test_one_hub_is_not_enough(spark):
         rows.append((i, " ".join(t)))
     want = brute(rows, 2)
     assert len({r[2] for r in want}) < 5
-    assert run(spark, rows, 2, open_pairs=0, max_rounds=2) == want      # more hubs, then all open pairs
+    assert run(spark, rows, 2, max_rounds=2) == want                    # fewer hubs, then all open pairs
+    assert run(spark, rows, 2, slack=0.4, fine_slack=0.4, max_rounds=0) == want
 
 
 def test_query_on_tables(spark):
@@ -120,3 +121,13 @@ def test_components(spark):
         for size in (10 ** 6, 70):
             assert sorted(map(tuple, components(df, tmp, size).collect())) == want
         assert components(df.limit(0), tmp).count() == 0
+
+
+def test_a_hub_s_links_spread_over_the_partitions(spark):
+    links = spark.createDataFrame([(5, 10 + i) for i in range(6000)] + [(7, 5)], "x long, y long")
+    with Scratch(spark, "test") as tmp:
+        got = components(links, tmp, 1000).collect()
+    assert len(got) == 6002 and {r.component for r in got} == {5}
+    sizes = [r["n"] for r in links.selectExpr("greatest(x, y) as u", "least(x, y) as v").repartition(7, "u", "v")
+             .selectExpr("spark_partition_id() as p").groupBy("p").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) == 7 and max(sizes) < 1.5 * 6001 / 7

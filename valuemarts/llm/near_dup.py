@@ -10,16 +10,18 @@ differ, hence the similarity, and is most precise where that is high.
 Rows of equal sets form a class; only class representatives (the smallest id)
 are compared.  Candidates share a band key.  In a bucket every member is
 first compared with one hub, so a bucket gives as many pairs as members;
-candidates whose odd sketches put them clearly below the threshold
-(``slack``, about six standard errors of the samples) are dropped, the others are confirmed
-on the full sets, and confirmed links merge into components.  Buckets that
-still hold several components are tried again with other hubs while their
-open pairs outnumber ``open_pairs`` times the documents; then the members
-outside a bucket's largest component are held against all its members of
-other components, by their sketches: first the pairs that the sketches call
-similar are confirmed and merged, then each pair still open that may reach
-the threshold.  So every pair that shares a bucket is either
-connected or compared, without emitting all pairs of a group of copies.
+candidates whose odd sketches put them clearly below the threshold (``slack``,
+more than four standard errors) are dropped, the others are confirmed on the full
+sets, and confirmed links merge into components.  Buckets that still hold several
+components are tried again with other hubs while a round settles two fifths of
+their open pairs, so that a group of near copies merges before its pairs are
+looked at.  Then the members outside a bucket's largest component are held
+against all its members of other components, by their sketches: first the pairs
+that the sketches call similar are confirmed and merged; for the members of
+buckets still open sketches of 4096 samples are made, whose standard error is
+below 0.01, and each pair that these don't rule out (``fine_slack``) is confirmed.
+So every pair that shares a bucket is either connected or compared, without
+emitting all pairs of a group of copies.
 
 Similarity: 100 * |intersection| >= threshold * |union|, threshold in
 percent.  With 16 bands of 3 rows a pair of similarity 0.8 shares no bucket
@@ -82,8 +84,8 @@ def _parameters(k: int) -> tuple[np.ndarray, np.ndarray]:
     return (seed[:k] >> U64(32)).astype(np.uint32), (seed[k:] >> U64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def sketches(sets: np.ndarray, off: np.ndarray, bands: int, rows: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys, odd sketch as 64-bit words) of non-empty sets."""
+def sketches(sets: np.ndarray, off: np.ndarray, bands: int, rows: int, samples: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(band keys, odd sketch of ``bits`` bits as 64-bit words) of non-empty sets."""
     n, k = len(off) - 1, max(samples, bands * rows)
     mins = np.empty((n, k), dtype=np.uint32)
     x = (sets >> U64(32)).astype(np.uint32)
@@ -98,9 +100,9 @@ def sketches(sets: np.ndarray, off: np.ndarray, bands: int, rows: int, samples:
         for r in range(rows):
             h = mix64(h * _M + mins[:, b * rows + r])
         keys[:, b] = h
-    bit = (mix64(mins.astype(U64) * _M + np.arange(k, dtype=U64)[None, :]) >> U64(64 - (SKETCH_BITS - 1).bit_length())).astype(np.int64)
-    at = (np.arange(n)[:, None] * SKETCH_BITS + bit).reshape(-1)
-    odd = (np.bincount(at, minlength=n * SKETCH_BITS) & 1).astype(np.uint8).reshape(n, SKETCH_BITS)
+    bit = (mix64(mins.astype(U64) * _M + np.arange(k, dtype=U64)[None, :]) >> U64(64 - (bits - 1).bit_length())).astype(np.int64)
+    at = (np.arange(n)[:, None] * bits + bit).reshape(-1)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
     return keys.view(np.int64), np.packbits(odd, axis=1).view(np.int64)
 
 
@@ -111,7 +113,7 @@ def _lists(a: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame, shingle: int = 5, bands: int = 16, rows: int = 3, samples: int = 256, text: str = "text",
-               key: str = "doc_id") -> DataFrame:
+               key: str = "doc_id", bits: int = SKETCH_BITS) -> DataFrame:
     """(id, n, a, b, bands, odd): set size, set hash, band keys and odd sketch of each row."""
     src = docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string"))
 
@@ -119,8 +121,8 @@ def signatures(docs: DataFrame, shingle: int = 5, bands: int = 16, rows: int = 3
         raw, off = flat_utf8(batch.column(1))
         total = batch.num_rows
         n, a, b = np.zeros(total, np.int64), np.zeros(total, np.int64), np.zeros(total, np.int64)
-        keys, odd = [np.zeros((0, bands), np.int64)], [np.zeros((0, SKETCH_BITS // 64), np.int64)]
-        for i, j in chunks(off):
+        keys, odd = [np.zeros((0, bands), np.int64)], [np.zeros((0, bits // 64), np.int64)]
+        for i, j in chunks(off, (1 << 28) // max(samples, 256)):
             sets, cut = shingle_sets(raw[off[i]:off[j]], off[i:j + 1] - off[i], shingle)
             size = np.diff(cut)
             n[i:j] = size
@@ -129,7 +131,7 @@ def signatures(docs: DataFrame, shingle: int = 5, bands: int = 16, rows: int = 3
                 head = cut[:-1][full]
                 a[i + full] = np.add.reduceat(mix64(sets), head).view(np.int64)
                 b[i + full] = np.add.reduceat(mix64(sets ^ _M), head).view(np.int64)
-                k, o = sketches(sets, np.append(head, len(sets)), bands, rows, samples)
+                k, o = sketches(sets, np.append(head, len(sets)), bands, rows, samples, bits)
                 keys.append(k)
                 odd.append(o)
         some = np.flatnonzero(n)
@@ -178,16 +180,20 @@ def similar(pairs: DataFrame, docs: DataFrame, shingle: int, threshold: int, tex
     return arrow_map(both, run, "x bigint, y bigint")
 
 
-def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, slack: float) -> Column:
+def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, slack: float, bits: int = SKETCH_BITS) -> Column:
     """Sizes allow the threshold and the odd sketches don't rule it out."""
     differ = 2 * samples * (1 - threshold / 100 + slack)
-    most = SKETCH_BITS / 2 * (1 - np.exp(-2 * differ / SKETCH_BITS))
-    z = sum((F.bit_count(F.col(ox)[i].bitwiseXOR(F.col(oy)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    most = bits / 2 * (1 - np.exp(-2 * differ / bits))
+    if bits > SKETCH_BITS:                             # too many words to write out
+        z = F.aggregate(F.zip_with(ox, oy, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
+    else:
+        z = sum((F.bit_count(F.col(ox)[i].bitwiseXOR(F.col(oy)[i])) for i in range(bits // 64)), F.lit(0))
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * threshold) & (z <= float(most))
 
 
 def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 16, rows: int = 3, samples: int = 256,
-           slack: float = 0.15, open_pairs: int = 2000, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+           slack: float = 0.15, fine_samples: int = 4096, fine_bits: int = 8192, fine_slack: float = 0.045, max_rounds: int = 24,
+           text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, kept."""
     spark, samples = docs.sparkSession, max(samples, bands * rows)
     with Scratch(spark, "near-dup") as tmp:
@@ -200,12 +206,22 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
         shared = member.groupBy("bucket").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1")
         member = tmp.write(member.join(shared, "bucket"), "buckets")
 
-        def looks(side: str, *more: str) -> DataFrame:
-            return reps.select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"o{side}"), *[F.col(m).alias(f"{m}{side}") for m in more])
+        def looks(side: str, *more: str, of: DataFrame | None = None) -> DataFrame:
+            return (reps if of is None else of).select(F.col("rep").alias(side), F.col("n").alias(f"n{side}"), F.col("odd").alias(f"o{side}"),
+                                                       *[F.col(m).alias(f"{m}{side}") for m in more])
 
         def close(slack: float) -> Column:
             return _close("nx", "ny", "ox", "oy", samples, threshold, slack)
 
+        def finer(live: DataFrame) -> DataFrame:
+            """The classes of the open buckets with larger sketches."""
+            ids = tmp.write(live.select(F.col("rep").alias("__id")).distinct(), "open-ids")
+            some = docs.join(ids, F.col(f"`{key}`").cast("long") == F.col("__id"), "left_semi")
+            fine = signatures(some, shingle, bands, rows, fine_samples, text, key, fine_bits).where("n > 0")
+            fine = fine.groupBy(F.col("id").alias("rep"), "a", "b", "n").agg(F.first("odd").alias("fine"))
+            return tmp.write(fine.join(reps, ["rep", "a", "b", "n"]), "finer")
+
+        before = None                                  # open pairs of the round before
         sure = False                                   # the likely links among the open pairs are done
         for turn in range(max_rounds + 3):
             last = every_pair = False
@@ -223,19 +239,23 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
                 left = live.groupBy("bucket").agg(F.first("open").alias("open")).agg(F.sum("open")).head()[0]
                 if not left:
                     break
-                every_pair = sure or turn > max_rounds or left <= open_pairs * n_reps
-                last = sure or left <= n_reps
+                # hubs go on while they settle most open pairs
+                every_pair = sure or turn > max_rounds or left <= n_reps or (before is not None and left > 0.6 * before)
+                last, before = sure, left
                 if not every_pair:
                     hub = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("h"))
                     stars = live.join(hub, "bucket").where("comp <> h.comp").select("rep", F.col("h.rep").alias("hub"))
             if every_pair:
                 # the pairs that the sketches call similar first: most merge, and few are left for the rest
                 sure = True
-                few = live.where("comp <> most").select("bucket", F.col("rep").alias("x"), "comp").join(looks("x", "bands"), "x")
-                every = live.select(F.col("bucket").alias("__b"), F.col("rep").alias("y"), F.col("comp").alias("cy")).join(looks("y", "bands"), "y")
+                of = finer(live) if last else reps
+                near = close(slack) & _close("nx", "ny", "finex", "finey", fine_samples, threshold, fine_slack, fine_bits) if last else close(0.02)
+                more = ("bands", "fine") if last else ("bands",)
+                few = live.where("comp <> most").select("bucket", F.col("rep").alias("x"), "comp").join(looks("x", *more, of=of), "x")
+                every = live.select(F.col("bucket").alias("__b"), F.col("rep").alias("y"), F.col("comp").alias("cy")).join(looks("y", *more, of=of), "y")
                 # a pair is taken in the first bucket that it shares
-                pairs = few.join(every, (F.col("bucket") == F.col("__b")) & (F.col("comp") != F.col("cy")) & close(slack if last else 0.02)
-                                 & (F.array_intersect("bandsx", "bandsy")[0] == F.col("bucket")))
+                pairs = few.join(every, (F.col("bucket") == F.col("__b")) & (F.col("comp") != F.col("cy"))
+                                 & (F.array_intersect("bandsx", "bandsy")[0] == F.col("bucket")) & near)
                 pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
             else:
                 pairs = stars.select(F.least("rep", "hub").alias("x"), F.greatest("rep", "hub").alias("y")).distinct()
