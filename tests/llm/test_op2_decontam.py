@@ -129,3 +129,10 @@ def test_bands_follow_each_item():
     items = [" ".join(f"word{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"), "one two three four five six seven eight"]
     idx = decontam.index_items([1, 2], items, 12, 0.08, 12, 0)
     assert (idx.width == idx.budget + 1).all() and idx.width[0] > 10 * idx.width[1]
+
+
+def test_very_short_items_match_whole_texts_only(spark):
+    d = spark.createDataFrame([(0, "Yes"), (1, " yes!"), (2, "yes it is"), (3, "it is, yes"), (4, "no"), (5, "Yes and yes"), (6, "")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, "yes"), (2, "It is, yes.")], "item_id long, text string")
+    assert sorted((r.id, r.item_id) for r in decontam.matches(d, b).collect()) == [(0, 1), (1, 1), (3, 2)]
+    assert sorted((r.id, r.item_id) for r in decontam.matches(d, b, whole_below=0).collect()) == [(0, 1), (1, 1), (2, 1), (3, 1), (3, 2), (5, 1), (5, 1)]

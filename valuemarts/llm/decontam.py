@@ -10,18 +10,24 @@ of width 2w that overlap by half, w = e + 1 of the item, so any e + 1
 diagonals lie in one band), keep bands that reach the bound, and verify each
 by alignment within the band (free start and end in the document).
 
-The benchmark is a reference set: it is read in blocks of at most
-``block_chars`` characters, each broadcast and held against all documents, so
-its size is bounded however large the benchmark is.
+The benchmark is a reference set: tasks pack it into blocks of about
+``block_chars`` characters, which are fetched, broadcast and held against all
+documents one after the other; with more than one, a block's matches are written
+and its broadcast ended before the next one is fetched.  So the driver and the
+tasks hold one block however large the benchmark is, and documents are read once
+per block.
 
 An item whose bound is below ``least_shared`` (too short, or too many edits
 for its length) uses the largest e that keeps it there.  Items of fewer than
-q + least_shared - 1 folded characters match exactly, between word ends.
+q + least_shared - 1 folded characters match exactly, between word ends; those
+of fewer than ``whole_below`` only a text that holds nothing else, since a word
+such as "yes" is no sign of contamination.
 
 With ``part_words``, a passage of a longer item matches as well: the item's
 overlapping parts of that many words (each begins part_words // 2 words after
 the one before) are searched beside the whole item, each with an e, bound and
-bands of its own, so that every passage of 1.5 times as many words holds one.
+bands of its own, so that every passage of 1.5 times as many words holds one;
+shorter passages of longer items are not looked for.
 The parts of an item that overlap or touch in a document are one match, with
 the most edits and the fewest shared q-grams among them; parts inside a match
 of the whole item are that match.
@@ -33,6 +39,7 @@ texts of any length count whole; other columns take no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,12 +48,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from valuemarts.llm.common import U64, arrow_map, mix64, span_hash, strings
+from valuemarts.llm.common import U64, Scratch, arrow_map, mix64, span_hash, strings
 from valuemarts.llm.pretoken import LETTER, NUMBER, classes, code_points
 
 TABLE_BITS = 20
 #: words of the parts that the query and the pipeline search
 PASSAGE_WORDS = 13
+#: folded characters below which an item matches whole texts only
+WHOLE_BELOW = 12
 
 
 def fold(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,7 +295,7 @@ def find(items: Items, texts: list[str], size: int = 1 << 19, group: int = 256)
     return found
 
 
-def find_short(items: Items, texts: list[str], size: int = 1 << 19) -> list[tuple[int, int, int, int, int, int]]:
+def find_short(items: Items, texts: list[str], whole_below: int = 0, size: int = 1 << 19) -> list[tuple[int, int, int, int, int, int]]:
     """(text, number of the item, start, end, 0, shared q-grams) of every place
     between word ends where a short item stands."""
     res: list[tuple[int, int, int, int, int, int]] = []
@@ -304,9 +313,12 @@ def find_short(items: Items, texts: list[str], size: int = 1 << 19) -> list[tupl
         start = np.flatnonzero(begin & (cp != 32))
         doc = np.searchsorted(off, start, side="right") - 1
         last = off[doc + 1]
+        begins = off[:-1] + (cp[np.minimum(off[:-1], len(cp) - 1)] == 32) if len(cp) else off[:-1]      # past a first blank
         for m, key in keys.items():
             end = start + m
             ok = (end <= last) & ((end == last) | (cp[np.minimum(end, len(cp) - 1)] == 32))
+            if m < whole_below:                    # the whole text, but for a last blank
+                ok &= (start == begins[doc]) & (end >= last - (cp[np.maximum(last - 1, 0)] == 32))
             a, d = start[ok], doc[ok]
             hit = np.isin(span_hash(cp, a, a + m), key)
             for x, y in zip(a[hit].tolist(), d[hit].tolist()):
@@ -338,7 +350,7 @@ def join_parts(items: Items, found: list[tuple[int, int, int, int, int, int]]) -
 
 def matches(docs: DataFrame, benchmark: DataFrame, q: int = 12, edits: float = 0.08, least_shared: int = 12,
             part_words: int = 0, block_chars: int = 1 << 22, text: str = "text", key: str = "doc_id",
-            item_text: str = "text", item_key: str = "item_id") -> DataFrame:
+            item_text: str = "text", item_key: str = "item_id", whole_below: int = WHOLE_BELOW) -> DataFrame:
     """One row per match: id, item_id, start, end, edits, shared_qgrams."""
     spark = docs.sparkSession
     src = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("__text"))
@@ -346,32 +358,58 @@ def matches(docs: DataFrame, benchmark: DataFrame, q: int = 12, edits: float = 0
     item_type = benchmark.schema[item_key].dataType
     b_type = to_arrow_type(item_type)
     schema = f"id {kind}, item_id {item_type.simpleString()}, start int, end int, edits int, shared_qgrams int"
-    out = None
     rows = benchmark.select(F.col(f"`{item_key}`").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).where("t is not null")
-    for block in _blocks(rows, block_chars):
-        shared = spark.sparkContext.broadcast(index_items([r["i"] for r in block], [r["t"] for r in block], q, edits, least_shared, part_words, with_whole=True))
 
-        def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+    def found(shared) -> DataFrame:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
             items = shared.value
             texts = strings(b.column(1))
-            res = sorted(join_parts(items, find(items, texts)) + find_short(items, texts))
+            res = sorted(join_parts(items, find(items, texts)) + find_short(items, texts, whole_below))
             take = b.column(0).take(pa.array([r[0] for r in res], pa.int64()))
             cols = [pa.array([items.all_ids[r[1]] for r in res], b_type)] + [pa.array([r[k] for r in res], pa.int32()) for k in (2, 3, 4, 5)]
             return pa.RecordBatch.from_arrays([take, *cols], ["id", "item_id", "start", "end", "edits", "shared_qgrams"])
 
-        one = arrow_map(src, run, schema)
-        out = one if out is None else out.union(one)
+        return arrow_map(src, run, schema)
+
+    with Scratch(spark, "decontaminate") as tmp:
+        blocks, many = _blocks(rows, block_chars, tmp, b_type)
+        out = None
+        for ids, texts in blocks:
+            shared = spark.sparkContext.broadcast(index_items(ids, texts, q, edits, least_shared, part_words, with_whole=True))
+            one = found(shared)
+            if many:
+                one = tmp.write(one, "matches", keep=True)
+                shared.unpersist()
+            out = one if out is None else out.union(one)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _blocks(rows: DataFrame, block_chars: int):
-    """The benchmark in blocks of bounded size, one in memory at a time."""
-    block, size = [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        block.append(r)
-        size += len(r["t"])
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _blocks(rows: DataFrame, block_chars: int, tmp: Scratch, item_type: pa.DataType) -> tuple[Iterator[tuple[list, list]], bool]:
+    """The benchmark's blocks (ids, texts), fetched one at a time, and whether
+    there are several.  Tasks pack their rows; a small benchmark is one block."""
+    size = rows.agg(F.sum(F.length("t"))).head()[0]
+    if size is None:
+        return iter(()), False
+    if size <= block_chars:
+        got = rows.orderBy("i", "t").collect()
+        return iter([([r["i"] for r in got], [r["t"] for r in got])]), False
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(item_type)), pa.array([texts], pa.list_(pa.string()))], ["i", "t"])
+
+        ids, texts, held = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if texts and held + len(t) > block_chars:
+                    yield out()
+                    ids, texts, held = [], [], 0
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
+        if texts:
+            yield out()
+
+    kind = rows.schema["i"].dataType.simpleString()
+    packed = tmp.write(rows.mapInArrow(pack, f"i array<{kind}>, t array<string>"), "blocks")
+    return ((list(r["i"]), list(r["t"])) for r in packed.toLocalIterator()), True
