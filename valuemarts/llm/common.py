@@ -30,10 +30,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/valuemarts/{name}-{uuid.uuid4().hex}"
 
 
+#: folders that results still read: (session's application, path)
+_KEPT: list[tuple[str, str]] = []
+
+
+def keep_until_release(spark: SparkSession, path: str) -> str:
+    """Note a folder that a result reads; :func:`release` deletes it."""
+    _KEPT.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that the results handed out so far read, in this
+    session's application; such results must not be used afterwards."""
+    mine = [x for x in _KEPT if x[0] == spark.sparkContext.applicationId]
+    for x in mine:
+        delete_path(spark, x[1])
+        _KEPT.remove(x)
+    return len(mine)
+
+
 class Scratch:
     """Tables below the shared checkpoint folder, written as Parquet and read
     back: this cuts the lineage and survives lost executors.  Leaving the
-    ``with`` block deletes those not marked ``keep``."""
+    ``with`` block deletes those not marked ``keep``; the others, which the
+    caller's result reads, go with :func:`release`."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, []
@@ -48,7 +69,9 @@ class Scratch:
     def write(self, df: DataFrame, name: str, keep: bool = False, codec: str | None = None) -> DataFrame:
         path = scratch_path(self.spark, f"{self.name}-{name}")
         (df.write.option("compression", codec) if codec else df.write).parquet(path)
-        if not keep:
+        if keep:
+            keep_until_release(self.spark, path)
+        else:
             self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from valuemarts.llm import ann, ball_tree, bpe, decontam, langid, line_dedup, lm_score, near_dup, phrases, secret_scan, suffix_dedup, token_file, toxicity
-from valuemarts.llm.common import scratch_path, split_of
+from valuemarts.llm.common import keep_until_release, release, scratch_path, split_of
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+__all__ = ["ORACLE_SQL", "QUERIES", "TOKENIZER", "release", "table"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,7 +88,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "token-files")
+    path = keep_until_release(spark, scratch_path(spark, "token-files"))
     token_file.write(table(spark, sf_dir, "documents"), path, TOKENIZER, end_id=2)
     return token_file.read_digests(spark, path)
 
