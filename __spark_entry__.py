@@ -146,11 +146,15 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
 
 @atexit.register
 def release_all() -> None:
-    """Delete what the contexts of running sessions wrote."""
+    """Delete what the contexts of running sessions wrote, and the tables that
+    results of the text operators read."""
     for c in _CONTEXTS.values():
         if c.spark.sparkContext._jsc is not None:
             c.release()
     _CONTEXTS.clear()
+    spark = SparkSession.getActiveSession()
+    if llm is not None and spark is not None and spark.sparkContext._jsc is not None:
+        llm.release(spark)
 
 
 def _staging(table: str) -> Callable[[SparkSession, str], DataFrame]:

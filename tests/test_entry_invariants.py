@@ -41,7 +41,8 @@ def _bag(rows, cols):
                    for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("key", ["ingest_report", "dedup_order_items", "dq_pk_violations", "fact_orders",
+@pytest.mark.parametrize("key", ["ingest_report", "reload_report", "reload_rows", "reload_orders", "dedup_order_items",
+                                 "dq_pk_violations", "dq_orphans", "fact_orders", "fact_order_items", "cohort_retention_grid",
                                  "rfm_segments", "cohort_retention_rates", "revenue_by_segment",
                                  "delivery_delay_by_seller_state", "top_categories", "cohort_matrix",
                                  "segment_labels", "delivery_labels"])
