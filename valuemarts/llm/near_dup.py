@@ -13,15 +13,15 @@ first compared with one hub, so a bucket gives as many pairs as members;
 candidates whose odd sketches put them clearly below the threshold (``slack``,
 more than four standard errors) are dropped, the others are confirmed on the full
 sets, and confirmed links merge into components.  Buckets that still hold several
-components are tried again with other hubs while a round settles two fifths of
-their open pairs, so that a group of near copies merges before its pairs are
-looked at.  Then the members outside a bucket's largest component are held
-against all its members of other components, by their sketches: first the pairs
-that the sketches call similar are confirmed and merged; for the members of
-buckets still open sketches of 4096 samples are made, whose standard error is
-below 0.01, and each pair that these don't rule out (``fine_slack``) is confirmed.
-So every pair that shares a bucket is either connected or compared, without
-emitting all pairs of a group of copies.
+components are tried again with other hubs while their open pairs outnumber
+``open_pairs`` times the documents and a round settles two fifths of them.  For
+the members of buckets that are open then, sketches of 4096 samples are made,
+whose standard error is below 0.01.  Members outside a bucket's largest component
+are held against all its members of other components by these: first the pairs
+whose estimate reaches the threshold are confirmed and merged, then those still
+open that the sketches don't rule out (``fine_slack``, more than five standard
+errors).  So every pair that shares a bucket is either connected or compared,
+without emitting all pairs of a group of copies.
 
 Similarity: 100 * |intersection| >= threshold * |union|, threshold in
 percent.  With 16 bands of 3 rows a pair of similarity 0.8 shares no bucket
@@ -192,8 +192,8 @@ def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, sla
 
 
 def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 16, rows: int = 3, samples: int = 256,
-           slack: float = 0.15, fine_samples: int = 4096, fine_bits: int = 8192, fine_slack: float = 0.045, max_rounds: int = 24,
-           text: str = "text", key: str = "doc_id") -> DataFrame:
+           slack: float = 0.15, fine_samples: int = 4096, fine_bits: int = 8192, fine_slack: float = 0.045, open_pairs: int = 2000,
+           max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, kept."""
     spark, samples = docs.sparkSession, max(samples, bands * rows)
     with Scratch(spark, "near-dup") as tmp:
@@ -239,22 +239,21 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
                 left = live.groupBy("bucket").agg(F.first("open").alias("open")).agg(F.sum("open")).head()[0]
                 if not left:
                     break
-                # hubs go on while they settle most open pairs
-                every_pair = sure or turn > max_rounds or left <= n_reps or (before is not None and left > 0.6 * before)
+                # hubs go on while there are very many open pairs and a round settles most of them
+                every_pair = sure or turn > max_rounds or left <= open_pairs * n_reps or (before is not None and left > 0.6 * before)
                 last, before = sure, left
                 if not every_pair:
                     hub = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("h"))
                     stars = live.join(hub, "bucket").where("comp <> h.comp").select("rep", F.col("h.rep").alias("hub"))
             if every_pair:
                 # the pairs that the sketches call similar first: most merge, and few are left for the rest
-                sure = True
-                of = finer(live) if last else reps
-                near = close(slack) & _close("nx", "ny", "finex", "finey", fine_samples, threshold, fine_slack, fine_bits) if last else close(0.02)
-                more = ("bands", "fine") if last else ("bands",)
+                of = of if sure else finer(live)
+                sure, more = True, ("bands", "fine")
+                near = _close("nx", "ny", "finex", "finey", fine_samples, threshold, fine_slack if last else 0.0, fine_bits)
                 few = live.where("comp <> most").select("bucket", F.col("rep").alias("x"), "comp").join(looks("x", *more, of=of), "x")
                 every = live.select(F.col("bucket").alias("__b"), F.col("rep").alias("y"), F.col("comp").alias("cy")).join(looks("y", *more, of=of), "y")
                 # a pair is taken in the first bucket that it shares
-                pairs = few.join(every, (F.col("bucket") == F.col("__b")) & (F.col("comp") != F.col("cy"))
+                pairs = few.join(every, (F.col("bucket") == F.col("__b")) & (F.col("comp") != F.col("cy")) & close(slack)
                                  & (F.array_intersect("bandsx", "bandsy")[0] == F.col("bucket")) & near)
                 pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
             else:
