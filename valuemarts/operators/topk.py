@@ -30,7 +30,7 @@ def hash_threshold(df: DataFrame, key: str, size: int) -> int | None:
     while True:
         width = -(-limit // _BINS)
         bins = (df.select(hash_prefix(key).alias("h")).where(F.col("h") < limit)
-                .groupBy(F.floor(F.col("h") / width).cast("int").alias("b")).count().collect())     # 256 rows at most
+                .groupBy(F.expr(f"h div {width}").alias("b")).count().collect())     # 256 rows at most
         total = 0
         for b, n in sorted(tuple(r) for r in bins):
             total += n

@@ -114,8 +114,9 @@ def read_bucketed(spark: SparkSession, path: str, schema, column: str, count: in
     ``column`` with tables of the same layout need no exchange."""
     name = f"valuemarts_{uuid.uuid4().hex}"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (`{column}`) SORTED BY (`{column}`) INTO {count} BUCKETS "
-              f"LOCATION '{path}'")
+              f"LOCATION '{place}'")
     try:
         return spark.table(name)
     finally:
