@@ -12,9 +12,12 @@ are compared.  Candidates share a band key.  In a bucket every member is
 first compared with one hub, so a bucket gives as many pairs as members;
 candidates whose odd sketches put them clearly below the threshold (``slack``,
 more than four standard errors) are dropped, the others are confirmed on the full
-sets, and confirmed links merge into components.  Buckets that still hold several
-components are tried again with other hubs while their open pairs outnumber
-``open_pairs`` times the documents and a round settles two fifths of them.  For
+sets, and confirmed links merge into components.  Where buckets still hold more
+open pairs (of different components) than there are documents, ``hub_rounds``
+rounds follow, and more while open pairs outnumber ``open_pairs`` times the
+documents: the members of a bucket that share another band key too, and so are
+more alike, have a hub of their own.  So each text meets many hubs near it and a
+family of edited copies merges without emitting its pairs.  For
 the members of buckets that are open then, sketches of 4096 samples are made,
 whose standard error is below 0.01.  Members outside a bucket's largest component
 are held against all its members of other components by these: first the pairs
@@ -192,8 +195,8 @@ def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, sla
 
 
 def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 16, rows: int = 3, samples: int = 256,
-           slack: float = 0.15, fine_samples: int = 4096, fine_bits: int = 8192, fine_slack: float = 0.045, open_pairs: int = 2000,
-           max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+           slack: float = 0.15, fine_samples: int = 4096, fine_bits: int = 8192, fine_slack: float = 0.045, hub_rounds: int = 2,
+           open_pairs: int = 2000, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, kept."""
     spark, samples = docs.sparkSession, max(samples, bands * rows)
     with Scratch(spark, "near-dup") as tmp:
@@ -221,7 +224,6 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
             fine = fine.groupBy(F.col("id").alias("rep"), "a", "b", "n").agg(F.first("odd").alias("fine"))
             return tmp.write(fine.join(reps, ["rep", "a", "b", "n"]), "finer")
 
-        before = None                                  # open pairs of the round before
         sure = False                                   # the likely links among the open pairs are done
         for turn in range(max_rounds + 3):
             last = every_pair = False
@@ -239,12 +241,14 @@ def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int =
                 left = live.groupBy("bucket").agg(F.first("open").alias("open")).agg(F.sum("open")).head()[0]
                 if not left:
                     break
-                # hubs go on while there are very many open pairs and a round settles most of them
-                every_pair = sure or turn > max_rounds or left <= open_pairs * n_reps or (before is not None and left > 0.6 * before)
-                last, before = sure, left
+                every_pair = sure or turn > max_rounds or left <= n_reps or (turn > hub_rounds and left <= open_pairs * n_reps)
+                last = sure
                 if not every_pair:
-                    hub = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("h"))
-                    stars = live.join(hub, "bucket").where("comp <> h.comp").select("rep", F.col("h.rep").alias("hub"))
+                    # hubs of the members that share another band key too, two keys a round
+                    other = F.array(*[F.col("bands")[(2 * turn + i) % bands] for i in (0, 1)])
+                    near = live.join(reps.select("rep", "bands"), "rep").select("bucket", "rep", "comp", F.explode(other).alias("also"))
+                    hub = near.groupBy("bucket", "also").agg(F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "comp")).alias("h"))
+                    stars = near.join(hub, ["bucket", "also"]).where("comp <> h.comp").select("rep", F.col("h.rep").alias("hub"))
             if every_pair:
                 # the pairs that the sketches call similar first: most merge, and few are left for the rest
                 of = of if sure else finer(live)
