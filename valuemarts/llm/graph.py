@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from valuemarts.llm.common import Scratch
 
-PARTITION_EDGES = 250_000
+PARTITION_EDGES = 2_000_000
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -187,7 +187,7 @@ def _close(nx: str, ny: str, ox: str, oy: str, samples: int, threshold: int, sla
 
 
 def groups(docs: DataFrame, shingle: int = 5, threshold: int = 80, bands: int = 16, rows: int = 3, samples: int = 256,
-           slack: float = 0.15, open_pairs: int = 2000, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
+           slack: float = 0.15, open_pairs: int = 200, max_rounds: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document row: id, n_shingles, component_id, kept."""
     spark, samples = docs.sparkSession, max(samples, bands * rows)
     with Scratch(spark, "near-dup") as tmp:
