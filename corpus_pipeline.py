@@ -68,12 +68,12 @@ def _row_keys(docs: DataFrame, tmp: Scratch) -> tuple[DataFrame, bool]:
     """``docs`` with __key: the document's id, or a number beyond all ids for
     the second, third ... text of an id, so that each text is judged by itself;
     and whether ids repeat.  Rows with a null id have no key."""
-    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
-    ids = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.min(digest).alias("__least")).where("__n > 1")
-    if not ids.head(1):
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    if not repeated.head(1):
         return docs.withColumn("__key", F.col("doc_id").cast("long")), False
-    more = (docs.select(F.col("doc_id").alias("__id"), digest.alias("__digest")).join(ids, "__id").where("__digest <> __least")
-            .select("__id", "__digest").distinct())
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    texts = docs.join(repeated, F.col("doc_id") == F.col("__id"), "left_semi").select(F.col("doc_id").alias("__id"), digest.alias("__digest")).distinct()
+    more = texts.join(texts.groupBy("__id").agg(F.min("__digest").alias("__least")), "__id").where("__digest <> __least")
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).head()
     beyond = F.lit(high + 1) + F.monotonically_increasing_id() if high < 1 << 62 else F.lit(low - 1) - F.monotonically_increasing_id()
     more = tmp.write(more.select("__id", "__digest", beyond.alias("__more")), "row-keys", keep=True)
