@@ -12,7 +12,8 @@ session's checkpoint folder and gives it to the next stage.
   document stays, and one that has no other line is left whole.
 * near_dedup keeps one row of each group of near-duplicates (five-word shingles,
   similarity 0.8): that with the smallest id.  Several texts of one id are
-  judged each by itself; of equal rows one stays.
+  judged each by itself, the second and further ones as if their ids were larger
+  than all others; of rows with equal id and text (null: empty) one stays.
 * decontaminate drops rows whose text holds a benchmark item or a passage of
   one.
 * bpe adds n_tokens, ids_sha256, decoded_sha256 and ids, the token ids.
