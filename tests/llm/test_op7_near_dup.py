@@ -84,6 +84,35 @@ def test_one_hub_is_not_enough(spark):
     assert run(spark, rows, 2, open_pairs=0, max_rounds=2) == want      # more hubs, then all open pairs
 
 
+def edits(n, seed):
+    """Edits of one base: most pairs are a little less similar than the threshold."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(n, " ".join(base))]
+    for i in range(n):
+        t = list(base)
+        for j in rng.sample(range(60), 4):
+            t[j] = f"e{i % 40}_{j}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def test_a_large_group_gives_no_pair_per_pair_of_members(spark, monkeypatch):
+    rows, seen, plain = edits(300, 5), [], near_dup.similar
+    monkeypatch.setattr(near_dup, "similar", lambda pairs, *a: seen.append(pairs.count()) or plain(pairs, *a))
+    assert run(spark, rows, 2) == brute(rows, 2)
+    assert sum(seen) < 12 * len(rows)                                    # not 300 * 299 / 2
+
+
+@pytest.mark.parametrize("block", [(16, 1 << 20), (1024, 500)])
+def test_blocks_of_a_bucket_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "SMALL", 3)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", block[0])
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", block[1])
+    rows = edits(90, 8) + [(3, "b1 b2 b3"), (None, "b1 b2 b3"), (500, "b1 b2 b3"), (501, "")]
+    assert run(spark, rows, 2) == brute(rows, 2)
+
+
 def test_query_on_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, op7_near_dup(spark, "/root/testdata/sf0.001").collect()), key=str)
