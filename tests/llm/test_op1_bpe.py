@@ -2,16 +2,18 @@
 import hashlib
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from valuemarts.llm import bpe
+from valuemarts.llm import bpe, pretoken
 from valuemarts.llm.queries import op1_bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,3 +92,28 @@ def test_long_words(model, word):
     assert time.perf_counter() - start < 30
     want = [LIB.encode(t, add_special_tokens=False).ids for t in (text, "short", text[:700])]
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
+
+
+def test_a_batch_is_encoded_in_slices(model):
+    texts = [None if i % 50 == 7 else f"word{i % 9} " * (i % 300) for i in range(4000)] + ["long text " * 200_000, ""]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 3)), pa.array(["x", "y", "z", *texts])], ["k", "__text"])
+    batch = whole.slice(3)                                             # an Arrow slice begins within its buffers
+    parts = list(bpe.encode_batch(model, batch, True))
+    assert all(p.num_rows == 1 or sum(len(texts[i - 3] or "") for i in p.column(0).to_pylist()) <= 1 << 20 for p in parts)
+    got = pa.Table.from_batches(parts)
+    assert got["k"].to_pylist() == list(range(3, len(texts) + 3))
+    flat, off = model.encode([t or "" for t in texts])
+    assert got["ids"].to_pylist() == [flat[x:y].tolist() for x, y in zip(off[:-1], off[1:])]
+    assert got["n_tokens"].to_pylist() == np.diff(off).tolist()
+
+
+def test_the_class_table_needs_little_memory(monkeypatch):
+    monkeypatch.setattr(pretoken, "_CLASS", [])
+    tracemalloc.start()
+    try:
+        table = pretoken.classes()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 << 20                                             # an object per code point takes 100 MB
+    assert [int(table[ord(c)]) for c in "aÿ7 _ 日Ⅷ"] == [1, 1, 2, 4, 3, 4, 1, 2]

@@ -126,3 +126,17 @@ def test_near_dedup_decides_per_text(spark):
     assert len(have) == len(groups) and all(sum(x in g for x in have) == 1 for g in groups)
     three = spark.createDataFrame([(1, a), (1, b), (2, c)], "doc_id long, text string").selectExpr("*", "'s' as source")
     assert cp.near_dedup(spark, three, SF).count() == 3
+
+
+def test_run_restores_the_sessions_batch_size(spark):
+    before = spark.conf.get(cp.ARROW_ROWS, None)
+    seen, plain = [], list(cp.STAGES)
+    try:
+        for named, within in ((None, "1000"), ("77", "77")):
+            spark.conf.unset(cp.ARROW_ROWS) if named is None else spark.conf.set(cp.ARROW_ROWS, named)
+            cp.STAGES[:] = [plain[0], ("look", lambda spark, docs, sf_dir: seen.append(spark.conf.get(cp.ARROW_ROWS, None)) or docs)]
+            cp.run(spark, "/root/testdata/sf0.001")
+            assert (seen.pop(), spark.conf.get(cp.ARROW_ROWS, None)) == (within, named)
+    finally:
+        cp.STAGES[:] = plain
+        spark.conf.unset(cp.ARROW_ROWS) if before is None else spark.conf.set(cp.ARROW_ROWS, before)
